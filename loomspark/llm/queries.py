@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, classifier, exact_dedup, html_extract, line_dedup, minhash, mixing, preference, quality_rules, secrets_scan
 from .common import table
 
 
@@ -40,8 +41,88 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preference.conversations_of(table(spark, sf_dir, "conversations"))
+    return preference.digest(preference.format_pairs(preference.adjacent_pairs(convs)))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+sized AS (
+  SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, length(role) + 13 AS head FROM t
+),
+pairs AS (SELECT pair_id FROM t GROUP BY pair_id HAVING count(DISTINCT side) = 2),
+met AS (
+  SELECT pair_id, k, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
+  FROM t JOIN pairs USING (pair_id) GROUP BY pair_id, k
+),
+common AS (SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS n_common FROM met GROUP BY pair_id),
+placed AS (
+  SELECT s.*, n_common, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM sized s JOIN common USING (pair_id)
+)
+SELECT pair_id,
+       min(conv_id) FILTER (side = 0) AS chosen_id,
+       min(conv_id) FILTER (side = 1) AS rejected_id,
+       CAST(any_value(n_common) AS BIGINT) AS n_common,
+       coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k <= n_common), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k > n_common), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 1 AND k > n_common), '') AS rejected,
+       coalesce(string_agg((pos + head) || ':' || (pos + length(shown)), ',' ORDER BY k) FILTER (side = 0 AND k > n_common AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((pos + head) || ':' || (pos + length(shown)), ',' ORDER BY k) FILTER (side = 1 AND k > n_common AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY pair_id
+"""
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.repeated_lines(table(spark, sf_dir, "documents")))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.plan(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.secret_scan(table(spark, sf_dir, "documents")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op2_bpe_encode_decode": op2_bpe_encode_decode,
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_bpe_encode_decode,
+        op3_quality_rules,
+        op4_html_extract,
+        op5_preference_format,
+        op6_minhash_near_dedup,
+        op7_line_dedup,
+        op8_mix_sources,
+        op9_secret_scan,
+        op10_quality_classifier,
+    )
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_preference_format": OP5_SQL}
