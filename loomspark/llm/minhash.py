@@ -16,7 +16,7 @@ below. Repeated and null ids are allowed; a component of null ids only has a nul
 4. *The rest, exactly*: only lists that still hold different components can hide a link that matters. Their classes are
    compared across components; a list longer than ``LIST`` is first merged with the next coordinates of the prefix (a pair agrees
    in ``T`` coordinates, so it must agree in another one early as well), which skips classes that share just a common passage.
-   What is still long after ``LEVELS`` merges is compared in blocks. Pairs that reach the threshold are confirmed as before. So no
+   Lists that merging doesn't shorten, groups of near copies, are compared in blocks, and so is what is long after ``LEVELS`` merges. Pairs that reach the threshold are confirmed as before. So no
    link between different components is lost, and a link inside a component changes nothing.
 5. *Components* by alternating large-star and small-star steps, as tables; no links or labels come to the driver.
 """
@@ -40,6 +40,7 @@ PREFIX = K1 - T + 1
 LIST = 256
 LEVELS = 2
 BLOCK = 1024
+DENSE = 0.3
 PERCENT = 80
 SHINGLE = 4
 
@@ -87,8 +88,8 @@ def set_digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-_SIGNED = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
-_SIGNED_DDL = "_rid long, doc_id long, n_shingles long, node binary, keys array<long>, sig binary"
+_SIGNED = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SIGNED_DDL = "_rid long, doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"
 _SALT = np.arange(PREFIX + LEVELS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,37 +106,37 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node not in seen:
                 v = signature(s)
                 keys = _mixed(v[: len(_SALT)] + _SALT).view(np.int64).tolist()
-                seen[node] = (keys, (v >> np.uint64(40)).astype(np.uint16).tobytes())  # 16 bits a coordinate for counting collisions
+                seen[node] = (keys, (v >> np.uint64(40)).astype(np.uint8).tobytes())  # 8 bits a coordinate for counting collisions
             out.append((rid, doc_id, len(s), node, *seen[node]))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(_SIGNED), _SIGNED)], schema=_SIGNED)
 
 
 def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs (a, b, sig a, sig b) that agree in enough coordinates."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, K) for c in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in (2, 3))
         keep = pa.array((x == y).sum(axis=1) >= T_ALL)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
 
 def _candidate_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, set) of the texts that have the node's digest."""
-    schema, hashes = pa.schema([("node", pa.binary()), ("members", pa.binary())]), _WordHashes()
+    schema, hashes = pa.schema([("node", pa.int64()), ("members", pa.binary())]), _WordHashes()
     for b in batches:
         out = []
-        for node, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+        for node, digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
             s = shingles(text, hashes)
-            if set_digest(s) == node:
+            if set_digest(s) == digest:
                 out.append((node, s.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[], []], schema)], schema=schema)
 
 
 def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
     """left: (a, b, set b) of one a; right: its set. Keep the pairs whose sets are similar enough."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
     s = np.frombuffer(right.column("hub_members")[0].as_py(), np.uint64)
@@ -155,16 +156,16 @@ PAIRS_A_TASK = 256
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have the similarity. ``reps``: (node, doc_id) of a document of each node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "doc_id")
+    """The pairs (a, b) of nodes whose full sets have the similarity. ``reps``: (node, digest, doc_id) of a document of each node."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "digest", "doc_id")
     texts = rows_of(docs).select(F.col("doc_id"), "text")
-    found = wanted.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))).select("w.node", "t.text")
-    sets = materialize(found.mapInArrow(_candidate_sets, "node binary, members binary").dropDuplicates(["node"]), "near-sets")
+    found = wanted.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))).select("w.node", "w.digest", "t.text")
+    sets = materialize(found.mapInArrow(_candidate_sets, "node long, members binary").dropDuplicates(["node"]), "near-sets")
     # A node with many partners is dealt in parts of a few hundred.
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
     hubs = parts.join(sets, parts.a == sets.node).select(F.col("a").alias("hub"), F.col("members").alias("hub_members"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hub_part"))
     left = pairs.join(parts, "a").join(sets, F.col("b") == F.col("node")).select("a", "b", "members", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    return left.groupBy("a", "part").cogroup(hubs.groupBy("hub", "hub_part")).applyInArrow(_confirm, "a binary, b binary")
+    return left.groupBy("a", "part").cogroup(hubs.groupBy("hub", "hub_part")).applyInArrow(_confirm, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,11 +190,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (list, tile, side, node, root, sig) in order of list and tile: pairs of a tile across components that agree enough."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        roots: dict[bytes, int] = {}
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(-1, K)
+        roots: dict[int, int] = {}
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, K)
         root = np.array([roots.setdefault(r[4], len(roots)) for r in rows])
         side = np.array([r[2] for r in rows])
         if len(roots) < 2:
@@ -210,7 +211,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a += [rows[i][3]] * len(js)
                 b += [rows[j][3] for j in js]
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     now, rows = None, []
     for batch in batches:
@@ -230,34 +231,38 @@ def _mixed_lists(postings: DataFrame) -> DataFrame:
     return postings.join(materialize(lists, "near-lists"), "list")
 
 
-def rest(postings: DataFrame) -> DataFrame:
-    """Pairs across components that share a list and agree in enough coordinates. postings: list, at, node, root, keys, sig."""
-    found = None
+def rest(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs across components that share a list and agree in enough coordinates. postings: list, at, node, root."""
+    found, keys, sigs = None, classes.select("node", "keys"), classes.select("node", "sig")
     for level in range(LEVELS + 1):
         mixed = materialize(_mixed_lists(postings), "near-mixed")
-        last = level == LEVELS
-        here = mixed if last else mixed.filter(F.col("n") <= LIST)
+        here = mixed.filter(F.col("n") <= LIST) if level < LEVELS else mixed
+        if level < LEVELS:
+            longer = mixed.filter((F.col("n") > LIST) & (F.col("at") < PREFIX + level))
+            further = F.explode(F.sequence(F.col("at") + 1, F.lit(PREFIX + level))).alias("next")
+            merged = longer.join(keys, "node").select(F.col("list").alias("parent"), "n", further, "node", "root", "keys")
+            merged = materialize(merged.select("parent", "n", F.xxhash64("parent", F.get("keys", F.col("next"))).alias("list"), F.col("next").alias("at"), "node", "root"), "near-merged")
+            # A list whose members agree in other coordinates too is a group of near copies: merging would only repeat it.
+            dense = merged.groupBy("parent", "list").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("parent").agg((F.max("m") >= DENSE * F.max("n")).alias("dense")).filter("dense").select("parent")
+            dense = materialize(dense, "near-dense")
+            here = here.union(mixed.filter(F.col("n") > LIST).join(dense.withColumnRenamed("parent", "list"), "list", "left_semi").select(*mixed.columns))
+            postings = merged.join(dense, "parent", "left_anti").select("list", "at", "node", "root")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         block = F.pmod(F.xxhash64("node"), blocks).cast("int")
         tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct((F.least(x, block) * blocks + F.greatest(x, block)).alias("tile"), F.when(x == block, 0).when(block < x, 1).otherwise(2).alias("side")))
-        rows = here.select("list", F.explode(tiles).alias("t"), "node", "root", "sig").select("list", "t.tile", "t.side", "node", "root", "sig")
+        rows = here.join(sigs, "node").select("list", F.explode(tiles).alias("t"), "node", "root", "sig").select("list", "t.tile", "t.side", "node", "root", "sig")
         rows = rows.repartition("list", "tile").sortWithinPartitions("list", "tile")
-        new = rows.mapInArrow(_across, "a binary, b binary")
+        new = rows.mapInArrow(_across, "a long, b long")
         found = new if found is None else found.union(new)
-        if not last:
-            longer = mixed.filter(F.col("n") > LIST).drop("n")
-            further = F.explode(F.sequence(F.col("at") + 1, F.lit(PREFIX + level))).alias("next")
-            longer = longer.filter(F.col("at") < PREFIX + level).select("list", further, "node", "root", "keys", "sig")
-            postings = longer.select(F.xxhash64("list", F.get("keys", F.col("next"))).alias("list"), F.col("next").alias("at"), "node", "root", "keys", "sig")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """_rid, doc_id, n_shingles, component_id, kept (doc_id is the component's)."""
     signed = materialize(rows_of(docs).mapInArrow(_sign, _SIGNED_DDL), "near-signed")
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "near-classes")
-    reps = classes.select("node", "doc_id")
+    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # numbered once, in the table
+    reps = classes.select("node", "digest", "doc_id")
 
     posted = classes.select("node", F.posexplode(F.slice("keys", 1, PREFIX)).alias("at", "list"))
     lists = materialize(posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1"), "near-lists")
@@ -267,21 +272,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     pairs = shared.join(hubs, "list").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     sigs = classes.select("node", "sig")
     counted = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    likely = materialize(counted.mapInArrow(_collisions, "a binary, b binary"), "near-pairs")
+    likely = materialize(counted.mapInArrow(_collisions, "a long, b long"), "near-pairs")
     links = materialize(confirmed(likely, docs, reps), "near-links")
     roots = materialize(components(links), "near-roots")
 
     labelled = shared.join(roots, "node", "left").select("list", "at", "node", F.coalesce("root", "node").alias("root"))
-    mixed = materialize(_mixed_lists(labelled).drop("n"), "near-open")
-    open_lists = mixed.join(classes.select("node", "keys", "sig"), "node").select("list", "at", "node", "root", "keys", "sig")
     # A pair that a star has counted already was confirmed or refused there.
-    more = materialize(rest(open_lists).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
+    more = materialize(rest(labelled, classes).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
         roots = materialize(components(links.union(confirmed(more, docs, reps))), "near-roots")
 
-    named = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("digest", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(names, "root").select("node", "component_id"), "near-named")
-    out = signed.select("_rid", "doc_id", "n_shingles", "node").join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    named = materialize(named.join(names, "root").select("digest", "component_id"), "near-named")
+    out = signed.select("_rid", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("_rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
