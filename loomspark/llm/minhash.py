@@ -16,7 +16,8 @@ below. Repeated and null ids are allowed; a component of null ids only has a nul
 4. *The rest, exactly*: only lists that still hold different components can hide a link that matters. Their classes are
    compared across components; a list longer than ``LIST`` is first merged with the next coordinates of the prefix (a pair agrees
    in ``T`` coordinates, so it must agree in another one early as well), which skips classes that share just a common passage.
-   Lists that merging doesn't shorten, groups of near copies, are compared in blocks, and so is what is long after ``LEVELS`` merges. Pairs that reach the threshold are confirmed as before. So no
+   Lists that merging doesn't shorten, groups of near copies, are compared in blocks, and so is what is long after ``LEVELS`` merges. Classes with
+   more shingles of their own than a link allows are left out, then pairs that reach the threshold are confirmed as before. So no
    link between different components is lost, and a link inside a component changes nothing.
 5. *Components* by alternating large-star and small-star steps, as tables; no links or labels come to the driver.
 """
@@ -155,12 +156,20 @@ def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
 PAIRS_A_TASK = 256
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have the similarity. ``reps``: (node, digest, doc_id) of a document of each node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "digest", "doc_id")
-    texts = rows_of(docs).select(F.col("doc_id"), "text")
+def sets_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, members): the full sets of the nodes, from the texts. ``reps``: (node, digest, doc_id) of a document of each node."""
+    wanted = nodes.join(reps, "node").select("node", "digest", "doc_id")
+    texts = rows_of(docs).select("doc_id", "text")
     found = wanted.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))).select("w.node", "w.digest", "t.text")
-    sets = materialize(found.mapInArrow(_candidate_sets, "node long, members binary").dropDuplicates(["node"]), "near-sets")
+    return materialize(found.mapInArrow(_candidate_sets, "node long, members binary").dropDuplicates(["node"]), "near-sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets have the similarity."""
     # A node with many partners is dealt in parts of a few hundred.
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
     hubs = parts.join(sets, parts.a == sets.node).select(F.col("a").alias("hub"), F.col("members").alias("hub_members"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hub_part"))
@@ -168,6 +177,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(hubs.groupBy("hub", "hub_part")).applyInArrow(_confirm, "a long, b long")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for node, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            s = np.frombuffer(members, np.int64)
+            for i in range(0, len(s), 50_000):
+                part = s[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(s)))], names=["shingle", "node", "size"])
+
+
+def linkable(sets: DataFrame) -> DataFrame:
+    """The nodes whose sets can be similar to another's: at most ``100 - PERCENT`` per cent of their shingles are theirs alone.
+
+    An intersection holds no shingle that only one of the sets has, so with more of them it is too small for any partner.
+    """
+    own = sets.mapInArrow(_members, "shingle long, node long, size long").groupBy("shingle").agg(F.count("*").alias("n"), F.max("node").alias("node"), F.max("size").alias("size"))
+    alone = own.filter("n = 1").groupBy("node").agg((100 * F.count("*") > (100 - PERCENT) * F.max("size")).alias("out")).filter("out").select("node")
+    return sets.select("node").join(alone, "node", "left_anti")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of the links (a, b); root is the smallest node of the component."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "near-edges")
@@ -188,41 +216,54 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, tile, side, node, root, sig) in order of list and tile: pairs of a tile across components that agree enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _across(pairs: bool):
+    """Rows (list, tile, side, node, root, sig) in order of list and tile: pairs of a tile across components that agree enough.
+
+    Emits the pairs, or just each node of a tile that is in one.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())] if pairs else [("node", pa.int64())])
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         roots: dict[int, int] = {}
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, K)
         root = np.array([roots.setdefault(r[4], len(roots)) for r in rows])
-        side = np.array([r[2] for r in rows])
         if len(roots) < 2:
             return
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, K)
+        node, side = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
         # side 0: both sides of a tile on the diagonal; 1 and 2: the two sides of another tile
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        a, b = [], []
+        hit = np.zeros(len(rows), bool)
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
         for i in left:
             js = right[(root[right] != root[i]) & ((right > i) | (side[i] == 1))]
             if len(js):
-                near = (sig[js, :16] == sig[i, :16]).sum(axis=1) >= 2  # of 16 coordinates a pair that counts has two but for 1e-10
-                js = js[near]
+                js = js[(sig[js, :16] == sig[i, :16]).sum(axis=1) >= 2]  # of 16 coordinates a pair that counts has two but for 1e-10
                 js = js[(sig[js] == sig[i]).sum(axis=1) >= T_ALL]
-                a += [rows[i][3]] * len(js)
-                b += [rows[j][3] for j in js]
+            if len(js) and pairs:
+                a.append(np.full(len(js), node[i]))
+                b.append(node[js])
+            elif len(js):
+                hit[i] = True
+                hit[js] = True
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[hit]))], schema=schema)
 
-    now, rows = None, []
-    for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if r[:2] != now:
-                if len(rows) > 1:
-                    yield from pairs(rows)
-                now, rows = r[:2], []
-            rows.append(r)
-    if len(rows) > 1:
-        yield from pairs(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[:2] != now:
+                    if len(rows) > 1:
+                        yield from compare(rows)
+                    now, rows = r[:2], []
+                rows.append(r)
+        if len(rows) > 1:
+            yield from compare(rows)
+
+    return run
 
 
 def _mixed_lists(postings: DataFrame) -> DataFrame:
@@ -231,9 +272,9 @@ def _mixed_lists(postings: DataFrame) -> DataFrame:
     return postings.join(materialize(lists, "near-lists"), "list")
 
 
-def rest(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs across components that share a list and agree in enough coordinates. postings: list, at, node, root."""
-    found, keys, sigs = None, classes.select("node", "keys"), classes.select("node", "sig")
+def _open_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """(list, n, node, root) of the lists to compare in full. postings: list, at, node, root."""
+    keys, found = classes.select("node", "keys"), None
     for level in range(LEVELS + 1):
         mixed = materialize(_mixed_lists(postings), "near-mixed")
         here = mixed.filter(F.col("n") <= LIST) if level < LEVELS else mixed
@@ -247,14 +288,34 @@ def rest(postings: DataFrame, classes: DataFrame) -> DataFrame:
             dense = materialize(dense, "near-dense")
             here = here.union(mixed.filter(F.col("n") > LIST).join(dense.withColumnRenamed("parent", "list"), "list", "left_semi").select(*mixed.columns))
             postings = merged.join(dense, "parent", "left_anti").select("list", "at", "node", "root")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct((F.least(x, block) * blocks + F.greatest(x, block)).alias("tile"), F.when(x == block, 0).when(block < x, 1).otherwise(2).alias("side")))
-        rows = here.join(sigs, "node").select("list", F.explode(tiles).alias("t"), "node", "root", "sig").select("list", "t.tile", "t.side", "node", "root", "sig")
-        rows = rows.repartition("list", "tile").sortWithinPartitions("list", "tile")
-        new = rows.mapInArrow(_across, "a long, b long")
-        found = new if found is None else found.union(new)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        here = here.select("list", "n", "node", "root")
+        found = here if found is None else found.union(here)
+    return materialize(found, "near-open")
+
+
+def _compared(lists: DataFrame, classes: DataFrame, pairs: bool) -> DataFrame:
+    """Compare the lists across components, long ones in tiles of ``BLOCK`` by ``BLOCK``."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct((F.least(x, block) * blocks + F.greatest(x, block)).alias("tile"), F.when(x == block, 0).when(block < x, 1).otherwise(2).alias("side")))
+    rows = lists.join(classes.select("node", "sig"), "node").select("list", F.explode(tiles).alias("t"), "node", "root", "sig").select("list", "t.tile", "t.side", "node", "root", "sig")
+    rows = rows.repartition("list", "tile").sortWithinPartitions("list", "tile")
+    return rows.mapInArrow(_across(pairs), "a long, b long" if pairs else "node long").distinct()
+
+
+def rest(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """The confirmed links across components; none if no two classes in a list agree in enough coordinates."""
+    lists = _open_lists(postings, classes)
+    nodes = materialize(_compared(lists, classes, pairs=False), "near-nodes")
+    if nodes.isEmpty():
+        return None
+    sets = sets_of(nodes, docs, classes.select("node", "digest", "doc_id"))
+    able = materialize(linkable(sets), "near-linkable")
+    lists = lists.join(able, "node", "left_semi").drop("n")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("list", "n")
+    pairs = _compared(lists.join(sizes, "list"), classes, pairs=True)
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    return confirmed(pairs, sets)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -273,14 +334,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sigs = classes.select("node", "sig")
     counted = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     likely = materialize(counted.mapInArrow(_collisions, "a long, b long"), "near-pairs")
-    links = materialize(confirmed(likely, docs, reps), "near-links")
+    links = materialize(confirmed(likely, sets_of(_ends(likely), docs, reps)), "near-links")
     roots = materialize(components(links), "near-roots")
 
     labelled = shared.join(roots, "node", "left").select("list", "at", "node", F.coalesce("root", "node").alias("root"))
-    # A pair that a star has counted already was confirmed or refused there.
-    more = materialize(rest(labelled, classes).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        roots = materialize(components(links.union(confirmed(more, docs, reps))), "near-roots")
+    more = rest(labelled, docs, classes)
+    if more is not None:
+        roots = materialize(components(links.union(more)), "near-roots")
 
     named = classes.select("digest", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
