@@ -1,15 +1,16 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through tables of distinct words.
 
 Words are the runs ``[^\\x20\\x09-\\x0D]+`` of a text. The vocabularies served here drop white space before merging and never
 merge across it, so the ids of a text are the ids of its words in order, special tokens included (they hold no white space).
 Null and empty texts, and texts of white space only, have no ids and decode to the empty text. Repeated rows give repeated
-results, an empty table an empty one.
+results, an empty table an empty one. Very long texts and words are whole.
 
-1. Each task cuts its documents into blocks of bounded size. A document becomes the positions of its words in the block's
-   own word list; the list is stored once a block. So a frequent word travels once a block, not once an occurrence.
-2. The word lists of all blocks are grouped to the table of distinct words, each of which is encoded once.
-3. The ids are exploded and joined with the id-to-piece table (its size is the vocabulary's) for decoding.
-4. Ids and pieces are joined to the blocks' word lists, and back to the documents by position.
+Each task splits its documents into words, gathers those that its table doesn't hold yet, encodes each once, joins the ids with
+the id-to-piece table (its size is the vocabulary's), and joins ids and pieces back to the documents by position. A table that
+reaches ``TABLE_WORDS`` words or ``TABLE_BYTES`` is begun anew, so memory is bounded whatever the vocabulary of the corpus.
+
+One table for all tasks would encode fewer words, but distinct words grow nearly with the text here (1.5 million in 0.1 GB), and
+sending every task's words to that table and the ids back took 3.7 times the disk that the texts themselves take; see the README.
 """
 
 from __future__ import annotations
@@ -22,17 +23,14 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
-
-BLOCK_BYTES = 8 << 20
-BLOCK_WORDS = 60_000
+from .common import rows_of
 
-_BLOCKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("positions", pa.binary()), ("wide", pa.bool_()), ("pos", pa.int32()), ("word", pa.string())])
-_BLOCKS_DDL = "kind int, block long, rid long, doc_id long, positions binary, wide boolean, pos int, word string"
+TABLE_WORDS = 300_000
+TABLE_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -47,94 +45,82 @@ def load_tokenizer(blob: str):
     return t
 
 
-class _Numbering(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, made, size, words = TaskContext.get().partitionId() << 32, 0, 0, _Numbering()
-    out: list[tuple] = []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        n, block = len(words), base + made
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _BLOCKS)], schema=_BLOCKS)
-        if n:
-            known = {"kind": [1] * n, "block": [block] * n, "pos": range(n), "word": pa.array(list(words), pa.binary()).cast(pa.string())}
-            yield pa.RecordBatch.from_arrays([pa.array(known[f.name], f.type) if f.name in known else pa.nulls(n, f.type) for f in _BLOCKS], schema=_BLOCKS)
-
-    for b in batches:
-        for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-            at = list(map(words.__getitem__, text.split()))
-            wide = len(words) > 65_535
-            out.append((0, base + made, rid, doc_id, array("I" if wide else "H", at).tobytes(), wide, None, None))
-            size += len(text) + 100
-            if size > BLOCK_BYTES or len(words) > BLOCK_WORDS:
-                yield from close()
-                out, size, words, made = [], 0, _Numbering(), made + 1
-    yield from close()
-
-
-_IDS = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
-
-
-def _encode_words(blob):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load_tokenizer(blob.value)
-        for b in batches:
-            words = b.column(0).to_pylist()
-            ids = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], schema=_IDS)
-
-    return run
-
-
 def id_pieces(spark, path: str) -> DataFrame:
     """(id, piece) of a vocabulary; tens of thousands of rows, fixed by the file."""
     t = load_tokenizer(Path(path).read_text())
     return spark.createDataFrame(sorted((i, p) for p, i in t.get_vocab(with_added_tokens=True).items()), "id int, piece string")
 
 
-def distinct_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, pieces): every distinct word encoded once, and decoded by a join of its ids with the pieces."""
-    blob = words.sparkSession.sparkContext.broadcast(Path(path).read_text())  # the vocabulary file, a few MB; executors need no copy
-    ids = materialize(words.select("word").distinct().mapInArrow(_encode_words(blob), "word string, ids array<int>"), "bpe-words")
-    pieces = F.broadcast(id_pieces(words.sparkSession, path))  # bounded by the vocabulary
-    decoded = (
-        ids.select("word", F.posexplode("ids").alias("at", "id"))
-        .join(pieces, "id")
-        .groupBy("word")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
-        .select("word", F.array_join(F.col("p.piece"), " ").alias("pieces"))
-    )
-    return ids.join(decoded, "word", "left").select("word", "ids", F.coalesce("pieces", F.lit("")).alias("pieces"))
+def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, decoded) of an array of ids per key, special tokens included, by the id-to-piece join.
+
+    Ids that the vocabulary lacks are skipped. Keys are meant to be unique; the pieces of one key are gathered.
+    """
+    at = encoded.select(key, F.posexplode_outer(ids).alias("_at", "id"))
+    pieces = at.join(F.broadcast(id_pieces(encoded.sparkSession, path)), "id", "left")  # bounded by the vocabulary
+    joined = pieces.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("_at", "piece")))).alias("_p"))
+    return joined.select(key, F.array_join(F.col("_p.piece"), " ").alias("decoded"))
+
+
+class WordTable:
+    """Distinct words with their ids (little-endian unsigned 32-bit) and their pieces joined by spaces."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.pieces_of = {i: p.encode() for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.bytes = 0
+
+    def learn(self, words: list[list[bytes]]) -> None:
+        """Encode the words that aren't known yet, each once."""
+        new = list(set().union(*words).difference(self.ids))
+        if len(self.ids) + len(new) > TABLE_WORDS or self.bytes > TABLE_BYTES:
+            self.clear()
+            new = list(set().union(*words))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.ids[w] = ids = array("I", e.ids).tobytes()
+                self.pieces[w] = pieces = b" ".join(map(self.pieces_of.__getitem__, e.ids))
+                self.bytes += len(w) + len(ids) + len(pieces)
 
 
 _DOCS = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _DIGESTS = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _by_position(digests: bool):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at = words.column("pos").to_pylist()
-        ids: list[bytes] = [b""] * len(at)
-        pieces: list[bytes] = [b""] * len(at)
-        for i, x, p in zip(at, words.column("ids").to_pylist(), words.column("pieces").to_pylist()):
-            ids[i] = array("I", x).tobytes()
-            pieces[i] = p.encode()
+def _encode(blob, digests: bool):
+    schema = _DIGESTS if digests else _DOCS
+
+    def results(table: WordTable, docs: list[tuple]) -> pa.RecordBatch:
+        table.learn([words for _, _, words in docs])
         out = []
-        for rid, doc_id, pos, wide in zip(*(docs.column(c).to_pylist() for c in ("rid", "doc_id", "positions", "wide"))):
-            where = array("I" if wide else "H", pos)
-            got = b"".join(map(ids.__getitem__, where))
-            text = b" ".join(filter(None, map(pieces.__getitem__, where)))
+        for rid, doc_id, words in docs:
+            ids = b"".join(map(table.ids.__getitem__, words))
+            text = b" ".join(filter(None, map(table.pieces.__getitem__, words)))
             if digests:
-                out.append((rid, doc_id, len(got) // 4, hashlib.sha256(got).hexdigest(), hashlib.sha256(text).hexdigest()))
+                out.append((rid, doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
             else:
-                out.append((rid, doc_id, len(got) // 4, array("i", got).tolist(), text.decode()))
-        schema = _DIGESTS if digests else _DOCS
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
+                out.append((rid, doc_id, len(ids) // 4, array("i", ids), text.decode()))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(load_tokenizer(blob.value))
+        for b in batches:
+            docs, size = [], 0
+            for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                text = text.as_py()
+                docs.append((rid, doc_id, text.split()))
+                size += len(text)
+                if size > BATCH_BYTES:
+                    yield results(table, docs)
+                    docs, size = [], 0
+            if docs:
+                yield results(table, docs)
 
     return run
 
@@ -144,10 +130,6 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
     """
-    blocks = materialize(rows_of(docs).mapInArrow(_split, _BLOCKS_DDL), "bpe-blocks")
-    words = blocks.filter("kind = 1").select("block", "pos", "word")
-    known = materialize(distinct_words(words, path), "bpe-ids")
-    lists = words.join(known, "word").select(F.col("block").alias("list"), "pos", "ids", "pieces")
-    texts = blocks.filter("kind = 0").select("block", "rid", "doc_id", "positions", "wide")
+    blob = docs.sparkSession.sparkContext.broadcast(Path(path).read_text())  # the vocabulary file, a few MB; executors need no copy
     ddl = "_rid long, doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return texts.groupBy("block").cogroup(lists.groupBy("list")).applyInArrow(_by_position(digests), ddl)
+    return rows_of(docs).mapInArrow(_encode(blob, digests), ddl)

@@ -30,7 +30,7 @@ def brute(text):
 
 
 def test_same_as_library_on_edge_cases(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 5)
     docs = spark.createDataFrame([(i, t, "x", "clash") for i, t in CASES], "doc_id long, text string, word string, block string").coalesce(2)
     got = bpe.encode_decode(docs, vocabulary(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *brute(t))) for i, t in CASES)
@@ -46,3 +46,10 @@ def test_whole_table(spark, sf):
     got = op2_bpe_encode_decode(spark, sf).collect()
     assert len(got) == len(texts)
     assert all(tuple(r)[1:] == brute(texts[r.doc_id]) for r in got)
+
+
+def test_decode_by_join(spark):
+    docs = spark.createDataFrame([(1, "Hello  wörld, it's"), (2, ""), (3, None)], "doc_id long, text string")
+    got = bpe.encode_decode(docs, vocabulary())
+    joined = {r.doc_id: r.decoded for r in bpe.decode(got, vocabulary()).collect()}
+    assert joined == {r.doc_id: r.decoded for r in got.collect()}
