@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-TABLE_WORDS = 300_000
-TABLE_BYTES = 64 << 20
+TABLE_WORDS = 800_000
+TABLE_BYTES = 96 << 20
 BATCH_BYTES = 4 << 20
 
 

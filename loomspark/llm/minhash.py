@@ -16,8 +16,9 @@ below. Repeated and null ids are allowed; a component of null ids only has a nul
 4. *The rest, exactly*: only lists that still hold different components can hide a link that matters. Their classes are
    compared across components; a list longer than ``LIST`` is first merged with the next coordinates of the prefix (a pair agrees
    in ``T`` coordinates, so it must agree in another one early as well), which skips classes that share just a common passage.
-   Lists that merging doesn't shorten, groups of near copies, are compared in blocks, and so is what is long after ``LEVELS`` merges. Classes with
-   more shingles of their own than a link allows are left out, then pairs that reach the threshold are confirmed as before. So no
+   Lists that merging doesn't shorten, groups of near copies, are compared in blocks, and so is what is long after ``LEVELS`` merges. Classes that
+   agree enough, directly or over others, form regions; those with more shingles of their own than a link allows are left out, and
+   a region is compared across components on the full sets, in blocks, inside the tasks: only links that connect come out. So no
    link between different components is lost, and a link inside a component changes nothing.
 5. *Components* by alternating large-star and small-star steps, as tables; no links or labels come to the driver.
 """
@@ -41,7 +42,9 @@ PREFIX = K1 - T + 1
 LIST = 256
 LEVELS = 2
 BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 DENSE = 0.3
+PROBES = (1, 7, 13)
 PERCENT = 80
 SHINGLE = 4
 
@@ -216,54 +219,87 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _across(pairs: bool):
-    """Rows (list, tile, side, node, root, sig) in order of list and tile: pairs of a tile across components that agree enough.
+class _Union(dict):
+    """Disjoint sets."""
 
-    Emits the pairs, or just each node of a tile that is in one.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())] if pairs else [("node", pa.int64())])
-
-    def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        roots: dict[int, int] = {}
-        root = np.array([roots.setdefault(r[4], len(roots)) for r in rows])
-        if len(roots) < 2:
-            return
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, K)
-        node, side = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
-        # side 0: both sides of a tile on the diagonal; 1 and 2: the two sides of another tile
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        hit = np.zeros(len(rows), bool)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        for i in left:
-            js = right[(root[right] != root[i]) & ((right > i) | (side[i] == 1))]
+    def find(self, x):
+        while (y := self.setdefault(x, x)) != x:
+            self[x] = self.setdefault(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self[x] = y
+        return x != y
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each tile; they come in order of group and tile."""
+    now, rows = None, []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if r[:2] != now:
+                if len(rows) > 1:
+                    yield rows
+                now, rows = r[:2], []
+            rows.append(r)
+    if len(rows) > 1:
+        yield rows
+
+
+def _across(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): the rows of a tile that agree with row i in enough coordinates and are in another component."""
+    roots: dict[int, int] = {}
+    root = np.array([roots.setdefault(r[4], len(roots)) for r in rows])
+    if len(roots) < 2:
+        return
+    sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, K)
+    side = np.array([r[2] for r in rows])
+    # side 0: both sides of a tile on the diagonal; 1 and 2: the two sides of another tile
+    right = np.flatnonzero(side != 1)
+    for i in np.flatnonzero(side <= 1):
+        js = right[(root[right] != root[i]) & ((right > i) | (side[i] == 1))]
+        if len(js):
+            js = js[(sig[js, :16] == sig[i, :16]).sum(axis=1) >= 2]  # of 16 coordinates a pair that counts has two but for 1e-10
+            js = js[(sig[js] == sig[i]).sum(axis=1) >= T_ALL]
             if len(js):
-                js = js[(sig[js, :16] == sig[i, :16]).sum(axis=1) >= 2]  # of 16 coordinates a pair that counts has two but for 1e-10
-                js = js[(sig[js] == sig[i]).sum(axis=1) >= T_ALL]
-            if len(js) and pairs:
-                a.append(np.full(len(js), node[i]))
-                b.append(node[js])
-            elif len(js):
-                hit[i] = True
-                hit[js] = True
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[hit]))], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[:2] != now:
-                    if len(rows) > 1:
-                        yield from compare(rows)
-                    now, rows = r[:2], []
-                rows.append(r)
-        if len(rows) > 1:
-            yield from compare(rows)
-
-    return run
+                yield int(i), js
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of each tile that agree enough, as many as connect their nodes."""
+    for rows in _tiles_of(batches):
+        joined, out = _Union(), []
+        for i, js in _across(rows):
+            out += [(rows[i][3], rows[j][3]) for j in js.tolist() if joined.join(i, j)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=_PAIR)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links of each tile, confirmed on the full sets, as many as connect its components."""
+    for rows in _tiles_of(batches):
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        ends = np.cumsum([0, *map(len, sets)])
+        _, local = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, joined, out = np.zeros(int(local.max()) + 1, np.int32), _Union(), []
+        for i, js in _across(rows):
+            own = local[ends[i] : ends[i + 1]]
+            mark[own] = 1
+            for j in js.tolist():
+                n, m = len(own), ends[j + 1] - ends[j]
+                if 100 * min(n, m) >= PERCENT * max(n, m) and joined.find(rows[i][4]) != joined.find(rows[j][4]):
+                    both = int(mark[local[ends[j] : ends[j + 1]]].sum())
+                    if 100 * both >= PERCENT * (n + m - both):
+                        joined.join(rows[i][4], rows[j][4])
+                        out.append((rows[i][3], rows[j][3]))
+            mark[own] = 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=_PAIR)
 
 
 def _mixed_lists(postings: DataFrame) -> DataFrame:
@@ -280,42 +316,43 @@ def _open_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
         here = mixed.filter(F.col("n") <= LIST) if level < LEVELS else mixed
         if level < LEVELS:
             longer = mixed.filter((F.col("n") > LIST) & (F.col("at") < PREFIX + level))
-            further = F.explode(F.sequence(F.col("at") + 1, F.lit(PREFIX + level))).alias("next")
-            merged = longer.join(keys, "node").select(F.col("list").alias("parent"), "n", further, "node", "root", "keys")
-            merged = materialize(merged.select("parent", "n", F.xxhash64("parent", F.get("keys", F.col("next"))).alias("list"), F.col("next").alias("at"), "node", "root"), "near-merged")
             # A list whose members agree in other coordinates too is a group of near copies: merging would only repeat it.
-            dense = merged.groupBy("parent", "list").agg(F.count("*").alias("m"), F.max("n").alias("n")).groupBy("parent").agg((F.max("m") >= DENSE * F.max("n")).alias("dense")).filter("dense").select("parent")
-            dense = materialize(dense, "near-dense")
-            here = here.union(mixed.filter(F.col("n") > LIST).join(dense.withColumnRenamed("parent", "list"), "list", "left_semi").select(*mixed.columns))
-            postings = merged.join(dense, "parent", "left_anti").select("list", "at", "node", "root")
+            probe = F.explode(F.array(*(F.pmod(F.col("at") + k, F.lit(PREFIX)) for k in PROBES))).alias("probe")
+            probed = longer.join(keys, "node").select("list", "n", probe, "keys").groupBy("list", "n", "probe", F.get("keys", F.col("probe")).alias("key")).agg(F.count("*").alias("m"))
+            dense = materialize(probed.groupBy("list").agg((F.max("m") >= DENSE * F.max("n")).alias("dense")).filter("dense").select("list"), "near-dense")
+            here = here.union(mixed.filter(F.col("n") > LIST).join(dense, "list", "left_semi").select(*mixed.columns))
+            further = F.explode(F.sequence(F.col("at") + 1, F.lit(PREFIX + level))).alias("next")
+            merged = longer.join(dense, "list", "left_anti").join(keys, "node").select("list", further, "node", "root", "keys")
+            postings = merged.select(F.xxhash64("list", F.get("keys", F.col("next"))).alias("list"), F.col("next").alias("at"), "node", "root")
         here = here.select("list", "n", "node", "root")
         found = here if found is None else found.union(here)
     return materialize(found, "near-open")
 
 
-def _compared(lists: DataFrame, classes: DataFrame, pairs: bool) -> DataFrame:
-    """Compare the lists across components, long ones in tiles of ``BLOCK`` by ``BLOCK``."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _tiled(rows: DataFrame, group: str, blocks, *columns: str) -> DataFrame:
+    """(group, tile, side, columns) of a group cut in blocks, each block against each; in order of group and tile."""
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct((F.least(x, block) * blocks + F.greatest(x, block)).alias("tile"), F.when(x == block, 0).when(block < x, 1).otherwise(2).alias("side")))
-    rows = lists.join(classes.select("node", "sig"), "node").select("list", F.explode(tiles).alias("t"), "node", "root", "sig").select("list", "t.tile", "t.side", "node", "root", "sig")
-    rows = rows.repartition("list", "tile").sortWithinPartitions("list", "tile")
-    return rows.mapInArrow(_across(pairs), "a long, b long" if pairs else "node long").distinct()
+    rows = rows.select(group, F.explode(tiles).alias("_t"), *columns).select(group, "_t.tile", "_t.side", *columns)
+    return rows.repartition(group, "tile").sortWithinPartitions(group, "tile")
 
 
 def rest(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """The confirmed links across components; none if no two classes in a list agree in enough coordinates."""
+    """Links across components, enough to connect what they connect; none if no classes in a list agree in enough coordinates."""
+    sigs = classes.select("node", "sig")
     lists = _open_lists(postings, classes)
-    nodes = materialize(_compared(lists, classes, pairs=False), "near-nodes")
-    if nodes.isEmpty():
+    roots = lists.select("node", "root").distinct()
+    edges = _tiled(lists.join(sigs, "node"), "list", F.ceil(F.col("n") / BLOCK).cast("int"), "node", "root", "sig").mapInArrow(_forest, "a long, b long")
+    edges = materialize(edges, "near-forest")
+    if edges.isEmpty():
         return None
-    sets = sets_of(nodes, docs, classes.select("node", "digest", "doc_id"))
-    able = materialize(linkable(sets), "near-linkable")
-    lists = lists.join(able, "node", "left_semi").drop("n")
-    sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("list", "n")
-    pairs = _compared(lists.join(sizes, "list"), classes, pairs=True)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    return confirmed(pairs, sets)
+    # All classes that agree enough with others, directly or not, are a region: pairs are compared once there, not in each list.
+    regions = materialize(components(edges).withColumnRenamed("root", "region"), "near-regions")
+    sets = sets_of(regions.select("node"), docs, classes.select("node", "digest", "doc_id"))
+    sets = linkable(sets).join(sets, "node")
+    rows = materialize(regions.join(sets, "node").join(roots, "node").join(sigs, "node").select("region", "node", "root", "sig", "members"), "near-rows")
+    size = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return _tiled(rows.join(size, "region"), "region", F.col("blocks"), "node", "root", "sig", "members").mapInArrow(_linked, "a long, b long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
