@@ -199,7 +199,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
 def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows that aren't held out: those with the smallest hash of their id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null")
-    rows = stats.filter(~held_out() & F.col("doc_id").isNotNull()).join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "_rid").limit(sample)
+    order = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)).alias("_order")
+    rows = stats.filter(~held_out() & F.col("doc_id").isNotNull()).join(known, "doc_id").select("*", order)
+    n = rows.count()
+    if n > sample:  # hashes are even: few rows above the bound are sorted, whatever the number of labels
+        rows = rows.filter(F.col("_order") < int((sample + 6 * math.sqrt(sample) + 10) / n * (1 << 40)))
+    rows = rows.orderBy("_order", "doc_id", "_rid").limit(sample)
     data = rows.select("y", *FEATURES).toPandas().to_numpy(dtype=np.float64).reshape(-1, len(FEATURES) + 1)
     return fit(np.ascontiguousarray(data[:, 1:]), data[:, 0])
 
