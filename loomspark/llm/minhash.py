@@ -44,7 +44,7 @@ LEVELS = 2
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
 DENSE = 0.3
-PROBES = (1, 7, 13)
+PROBE = 7
 PERCENT = 80
 SHINGLE = 4
 
@@ -316,9 +316,9 @@ def _open_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
         here = mixed.filter(F.col("n") <= LIST) if level < LEVELS else mixed
         if level < LEVELS:
             longer = mixed.filter((F.col("n") > LIST) & (F.col("at") < PREFIX + level))
-            # A list whose members agree in other coordinates too is a group of near copies: merging would only repeat it.
-            probe = F.explode(F.array(*(F.pmod(F.col("at") + k, F.lit(PREFIX)) for k in PROBES))).alias("probe")
-            probed = longer.join(keys, "node").select("list", "n", probe, "keys").groupBy("list", "n", "probe", F.get("keys", F.col("probe")).alias("key")).agg(F.count("*").alias("m"))
+            # A list whose members agree in another coordinate too is a group of near copies: merging would only repeat it.
+            probe = F.get("keys", F.pmod(F.col("at") + PROBE, F.lit(PREFIX)))
+            probed = longer.join(keys, "node").groupBy("list", "n", probe.alias("key")).agg(F.count("*").alias("m"))
             dense = materialize(probed.groupBy("list").agg((F.max("m") >= DENSE * F.max("n")).alias("dense")).filter("dense").select("list"), "near-dense")
             here = here.union(mixed.filter(F.col("n") > LIST).join(dense, "list", "left_semi").select(*mixed.columns))
             further = F.explode(F.sequence(F.col("at") + 1, F.lit(PREFIX + level))).alias("next")
