@@ -39,9 +39,9 @@ from .common import materialize, rows_of
 K, K1 = 128, 64
 T, T_ALL = 35, 80
 PREFIX = K1 - T + 1
-LIST = 256
+LIST = 4096  # up to here a list is one tile; merging would copy each of its rows about twenty times
 LEVELS = 2
-BLOCK = 1024
+BLOCK = 4096
 BLOCK_BYTES = 8 << 20
 DENSE = 0.3
 PROBE = 7
