@@ -111,6 +111,11 @@ def extract_answer(x: Column) -> Column:
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(x, "(?i)" + p, 1), F.lit("")) for p in ANSWER_PATTERNS]))
 
 
+def json_maps(x: Column, schema: str) -> Column:
+    """the maps in a JSON list, in order; entries of other kinds are left out one by one."""
+    return F.transform(F.filter(F.from_json(x, "ARRAY<STRING>"), lambda e: e.startswith("{")), lambda e: F.from_json(e, schema))
+
+
 def fingerprint(*parts: Column) -> Column:
     """F21."""
     return F.md5(F.concat_ws("|", *parts))

@@ -9,8 +9,8 @@ from ..functions import text as X
 from .turtle import files
 
 _META = "STRUCT<title STRING, paper_title STRING, document_title STRING, abstract STRING, keywords STRING, keyword STRING, mesh_terms STRING, pmid STRING, doi STRING, journal STRING, year STRING, authors STRING, section_title STRING, page_start INT, page_end INT, lang STRING>"
-SECTIONS = f"ARRAY<STRUCT<id STRING, section_title STRING, title STRING, text STRING, content STRING, metadata {_META}>>"
-PAYLOAD = f"STRUCT<title STRING, paper_title STRING, document_title STRING, abstract STRING, summary STRING, keywords STRING, keyword STRING, mesh_terms STRING, pmid STRING, doi STRING, journal STRING, year STRING, authors STRING, metadata {_META}, sections {SECTIONS}>"
+SECTION = f"STRUCT<id STRING, section_title STRING, title STRING, text STRING, content STRING, metadata {_META}>"
+PAYLOAD = f"STRUCT<title STRING, paper_title STRING, document_title STRING, abstract STRING, summary STRING, keywords STRING, keyword STRING, mesh_terms STRING, pmid STRING, doi STRING, journal STRING, year STRING, authors STRING, metadata {_META}, sections STRING>"
 
 
 def _filled(x: Column) -> Column:
@@ -35,8 +35,8 @@ def papers(texts: DataFrame) -> DataFrame:
     an empty content falls back to the abstract, then to the title.
     """
     is_list = F.ltrim("text").startswith("[")
-    t = texts.select("path", F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id"), F.when(is_list, F.from_json("text", SECTIONS)).alias("_l"), F.when(~is_list, F.from_json("text", PAYLOAD)).alias("p"), F.try_parse_json("text").isNotNull().alias("_ok")).filter("_ok")
-    t = t.withColumn("s", F.filter(F.coalesce("_l", "p.sections", F.from_json(F.lit("[]"), SECTIONS)), lambda s: s.isNotNull()))
+    t = texts.select("path", F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id"), F.when(is_list, F.col("text")).alias("_l"), F.when(~is_list, F.from_json("text", PAYLOAD)).alias("p"), F.try_parse_json("text").isNotNull().alias("_ok")).filter("_ok")
+    t = t.withColumn("s", F.coalesce(X.json_maps(F.coalesce("_l", "p.sections"), SECTION), F.from_json(F.lit("[]"), f"ARRAY<{SECTION}>")))
     p, s = F.col("p"), F.col("s")
     text = lambda x: F.coalesce(X.strip(x["text"]), F.lit(""))
     low_id = lambda x: F.lower(X.strip(F.coalesce(x["id"], F.lit(""))))
@@ -78,7 +78,7 @@ def unreadable(texts: DataFrame) -> DataFrame:
 def chunks(texts: DataFrame) -> DataFrame:
     """(path, chunk_index from 1, section_id, title, text) of list files or of a single section; text falls back to content."""
     one = F.when(F.ltrim("text").startswith("{"), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text"))
-    t = texts.select("path", F.posexplode(F.from_json(one, SECTIONS)).alias("pos", "s")).filter("s IS NOT NULL")
+    t = texts.select("path", F.posexplode(X.json_maps(one, SECTION)).alias("pos", "s"))
     s = F.col("s")
     return t.select("path", (F.col("pos") + 1).alias("chunk_index"), F.coalesce(s["id"], F.lit("")).alias("section_id"), section_title(s).alias("title"), F.coalesce(_filled(s["text"]), _filled(s["content"]), F.lit("")).alias("text"))
 

@@ -36,7 +36,7 @@ GOLD = """# note
 
 @pytest.fixture
 def folder(tmp_path):
-    listed = [{"id": "title", "text": " A Title "}, {"id": "abstract", "text": "Short."}, None, {"id": "s1", "metadata": {"section_title": "Results"}, "text": "Found."}]
+    listed = [{"id": "title", "text": " A Title "}, {"id": "abstract", "text": "Short."}, None, "loose", 3, {"id": "s1", "metadata": {"section_title": "Results"}, "text": "Found."}]
     mapped = {"title": " ", "metadata": {"paper_title": "Named", "year": 2020}, "keywords": "a; b|c", "authors": ["X", "Y"], "sections": []}
     (tmp_path / "p1.json").write_text(json.dumps(listed))
     (tmp_path / "p2.json").write_text(json.dumps(mapped))
@@ -60,7 +60,7 @@ def test_chunks_and_markers(spark, folder):
     c = P.chunks(T.files(spark, f"{folder}/p1.json"))
     assert [r["section_id"] for r in c.orderBy("chunk_index").collect()] == ["title", "abstract", "s1"]
     back = P.from_markers(P.marked(c)).orderBy("chunk_id").collect()
-    assert [(r["name"], r["chunk_id"], r["content"]) for r in back] == [("title", 1, "A Title"), ("abstract", 2, "Short."), ("s1", 4, "Found.")]
+    assert [(r["name"], r["chunk_id"], r["content"]) for r in back] == [("title", 1, "A Title"), ("abstract", 2, "Short."), ("s1", 3, "Found.")]
 
 
 def test_extraction_turtle(spark):
