@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates as R
 from ..functions import text as X
 from ..operators import claims as C
 from ..operators import graph as G
+from ..operators import matching as M
+from ..operators import taxonomy as T
 from ..operators import vectors as V
+from ..sources import writers as W
+from ..sources.papers import keywords
+from ..streaming import ingest as S
 from .testmap import CLAIMS, EDGES, NODES, claims, edges, nodes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,3 +374,142 @@ def section_page_ranges(spark, d):
 @query("SELECT conv_id, turn, upper(nullif(regexp_extract(text, '\\b([A-Da-d])\\b', 1), '')) AS answer FROM conversations WHERE role = 'assistant'")
 def answer_extraction(spark, d):
     return _t(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", X.extract_answer(F.col("text")).alias("answer"))
+
+
+# ---- labels, predicates, names and exports
+
+LABEL_SQL = r"trim(regexp_replace(replace(lower({0}), '_', ' '), '\s+', ' ', 'g'), ' .;:,')"
+TOKENS_SQL = "list_distinct(regexp_extract_all({0}, '[a-z0-9]+'))"
+_LABELS = "SELECT DISTINCT p_type || ' ' || p_name AS label FROM part"
+_KNOWN = "SELECT p_name AS name, CAST(min(p_partkey) AS BIGINT) AS ord FROM part GROUP BY 1 UNION ALL SELECT p_type || '_' || split_part(p_name, ' ', 2), 1000000 + min(p_partkey) FROM part GROUP BY 1"
+_MET = f"""met AS (SELECT label, name, ord, {LABEL_SQL.format('label')} AS a, {LABEL_SQL.format('name')} AS b FROM labels, known),
+ tok AS (SELECT *, {TOKENS_SQL.format('a')} AS ta, {TOKENS_SQL.format('b')} AS tb FROM met), cnt AS (SELECT *, len(list_intersect(ta, tb)) AS n_both, len(list_distinct(list_concat(ta, tb))) AS n_all FROM tok)"""
+
+
+@query(f"""WITH labels AS ({_LABELS}), known AS ({_KNOWN}), {_MET},
+ s AS (SELECT label, name, ord, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b))
+  WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE greatest(n_both / n_all, n_both / least(len(ta), len(tb))) END AS score FROM cnt)
+SELECT label, name, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, ord) AS rn FROM s WHERE score > 0) WHERE rn = 1""")
+def label_similarity_best(spark, d):
+    return T.best_label(view(spark, d, _LABELS), view(spark, d, _KNOWN)).withColumn("score", F.round("score", 6))
+
+
+_ENDINGS = ("lymphoma care", "research", "decision making", "clinical study", "genomic medicine analysis", "therapy", "disease", "workflow")
+_CANDIDATES = "SELECT DISTINCT p_name || ' ' || CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ENDINGS)) + " END AS candidate, CASE WHEN p_size % 2 = 0 THEN 'promote' ELSE 'merge' END AS action FROM part"
+_CONFIRMED = "SELECT DISTINCT p_name || ' disease' AS name, 0 AS ord FROM part WHERE p_partkey % 3 = 0"
+
+
+def _any(terms) -> str:
+    return "(" + " OR ".join(f"contains(n, '{t}')" for t in terms) + ")"
+
+
+@query(f"""WITH d AS ({_CANDIDATES}), labels AS (SELECT DISTINCT candidate AS label FROM d), known AS ({_CONFIRMED}), {_MET},
+ s AS (SELECT label, name, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN greatest(n_both / n_all, 0.8) ELSE n_both / n_all END AS score FROM cnt),
+ best AS (SELECT label, min(name) AS near FROM (SELECT *, max(score) OVER (PARTITION BY label) AS top FROM s) WHERE score = top AND score >= 0.34 GROUP BY 1),
+ f AS (SELECT candidate, action, {LABEL_SQL.format('candidate')} AS n FROM d),
+ r AS (SELECT candidate, near, action, CASE WHEN action = 'promote' AND {_any(T.PROMOTE_TERMS)} THEN 'keep_specialty'
+   WHEN action = 'promote' AND ({_any(T.MERGE_PHRASES)} OR ({_any(T.GENERIC_TERMS)} AND NOT {_any(T.SPECIALTY_TERMS)})) THEN 'force_merge'
+   WHEN action = 'promote' AND {_any(T.GENERIC_TERMS)} AND NOT {_any(T.BIOMEDICAL_TERMS)} THEN 'generic' WHEN action = 'promote' AND {_any(T.GENERIC_TERMS)} AND near IS NULL THEN 'dropped'
+   WHEN action = 'promote' AND {_any(T.GENERIC_TERMS)} THEN 'generic_biomedical' WHEN action = 'merge' AND {_any(T.PROMOTE_TERMS)} THEN 'force_promote' ELSE 'as_decided' END AS rule FROM f LEFT JOIN best ON label = candidate)
+SELECT candidate, rule, CASE WHEN rule IN ('force_merge', 'generic', 'generic_biomedical') THEN 'merge' WHEN rule = 'force_promote' THEN 'promote' WHEN rule = 'dropped' THEN 'dropped' ELSE action END AS action,
+ CASE WHEN rule IN ('force_merge', 'generic', 'generic_biomedical') THEN coalesce(near, 'Biomedicine') ELSE candidate END AS target_subdomain, 'Biomedicine' AS parent_domain FROM r""")
+def refinement_decisions(spark, d):
+    known = view(spark, d, _CONFIRMED)
+    # Ties in the score go to the smaller name: ord ranks the names.
+    known = known.withColumn("ord", F.col("name"))
+    decisions = view(spark, d, _CANDIDATES).withColumn("target_subdomain", F.col("candidate")).withColumn("parent_domain", F.lit(""))
+    return T.post_filter(decisions, known, "Biomedicine").select("candidate", "rule", "action", "target_subdomain", "parent_domain")
+
+
+_WORDS = ("increased", "elevates", "toxicity", "治疗", "binds", "unknown_word", "lowered", "risk", "level", "linked_to", "mediated_by", "caused", "protects")
+_PREDICATES = "SELECT CASE l_partkey % 13 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_WORDS)) + " END AS predicate FROM lineitem"
+_GROUPS_SQL = "g(predicate, grp) AS (VALUES " + ", ".join(f"('{x}', '{g}')" for g, xs in R.GROUPS.items() for x in xs) + ")"
+_CATEGORIES_SQL = "k(grp, category) AS (VALUES " + ", ".join(f"('{x}', '{g}')" for g, xs in R.CATEGORIES.items() for x in xs) + ")"
+
+
+@query(f"WITH p AS ({_PREDICATES}), {_GROUPS_SQL} SELECT coalesce(grp, 'other') AS grp, count(*) AS n, count(DISTINCT p.predicate) AS spellings FROM p LEFT JOIN g USING (predicate) GROUP BY 1")
+def predicate_grouping(spark, d):
+    p = view(spark, d, _PREDICATES).groupBy("predicate").agg(F.count("*").alias("n"))
+    return p.groupBy(R.predicate_group(F.col("predicate")).alias("grp")).agg(F.sum("n").alias("n"), F.count("predicate").alias("spellings"))
+
+
+@query(f"WITH p AS ({_PREDICATES}), {_GROUPS_SQL}, {_CATEGORIES_SQL}, c AS (SELECT coalesce(category, 'Other') AS category, count(*) AS n FROM p LEFT JOIN g USING (predicate) LEFT JOIN k USING (grp) GROUP BY 1) SELECT category, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM c")
+def category_share(spark, d):
+    p = view(spark, d, _PREDICATES).groupBy("predicate").agg(F.count("*").alias("n"))
+    c = p.groupBy(R.predicate_category(R.predicate_group(F.col("predicate"))).alias("category")).agg(F.sum("n").alias("n"))
+    return c.join(F.broadcast(c.agg(F.sum("n").alias("t")))).select("category", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent"))
+
+
+@query(r"""WITH w AS (SELECT p_partkey, list_filter(list_transform(string_split_regex(trim(p_name || '_ ' || p_brand || ' -'), '[\s_]+'), lambda w: regexp_replace(w, '[^\w]', '', 'g')), lambda w: w <> '') AS ws FROM part)
+SELECT p_partkey, ':' || array_to_string(list_transform(ws, lambda w: upper(w[1]) || w[2:]), '_') AS uri FROM w""")
+def uri_mapping(spark, d):
+    return _t(spark, d, "part").select("p_partkey", X.to_uri(F.concat("p_name", F.lit("_ "), "p_brand", F.lit(" -"))).alias("uri"))
+
+
+_TRIPLES = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' | has brand |' || p_brand WHEN 1 THEN p_name || '|' || p_brand ELSE p_name || '|a|b|' || p_type END AS name FROM part"
+
+
+@query(f"""WITH t AS ({_TRIPLES}), s AS (SELECT p_partkey, name, list_transform(string_split(name, '|'), lambda x: trim(x)) AS p FROM t)
+SELECT p_partkey, CASE WHEN len(p) >= 3 THEN p[1] ELSE trim(name) END AS subject, CASE WHEN len(p) >= 3 THEN p[2] ELSE '' END AS predicate, CASE WHEN len(p) >= 3 THEN array_to_string(p[3:], '|') ELSE '' END AS object FROM s""")
+def triple_string_parse(spark, d):
+    return view(spark, d, _TRIPLES).select("p_partkey", X.split_triple(F.col("name")).alias("t")).select("p_partkey", "t.*")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS paper_id, count(*) AS extracted, count_if(l_returnflag <> 'R') AS validated, count_if(l_returnflag = 'N') AS written FROM lineitem GROUP BY 1)
+SELECT paper_id, extracted, validated, written, round(written / (sum(written) OVER ()), 9) AS share, round(validated / extracted, 6) AS validation_rate FROM p""")
+def paper_contribution(spark, d):
+    kind = lambda c, n: F.count_if(F.expr(c)).alias(n)
+    p = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.count("*").alias("extracted"), kind("l_returnflag <> 'R'", "validated"), kind("l_returnflag = 'N'", "written"))
+    total = _t(spark, d, "lineitem").agg(kind("l_returnflag = 'N'", "_t"))
+    return p.join(F.broadcast(total)).select("paper_id", "extracted", "validated", "written", F.round(X.ratio(F.col("written"), F.col("_t")), 9).alias("share"), F.round(X.ratio(F.col("validated"), F.col("extracted")), 6).alias("validation_rate"))
+
+
+@query("""WITH a AS (SELECT conv_id % 3 AS model, upper(nullif(regexp_extract(text, '\\b([A-Da-d])\\b', 1), '')) AS answer FROM conversations WHERE role = 'assistant')
+SELECT model, count(*) AS total, count(answer) AS answered, count_if(answer = 'A') AS correct, round(count_if(answer = 'A') / count(*), 6) AS accuracy FROM a GROUP BY 1""")
+def answer_accuracy(spark, d):
+    a = _t(spark, d, "conversations").filter("role = 'assistant'").select((F.col("conv_id") % 3).alias("model"), X.extract_answer(F.col("text")).alias("answer"))
+    right = F.count_if(F.col("answer") == "A")
+    return a.groupBy("model").agg(F.count("*").alias("total"), F.count("answer").alias("answered"), right.alias("correct"), F.round(X.ratio(right, F.count("*")), 6).alias("accuracy"))
+
+
+@query("SELECT o_orderkey, unnest(['m1', 'm2', 'm3']) AS model FROM orders")
+def qa_model_cross(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, ("m1", "m2", "m3")))).alias("model"))
+
+
+@query("WITH k AS (SELECT p_partkey, list_filter(list_transform(string_split_regex(p_name || '; ' || p_brand || ' ,|' || p_type, '[;,|]'), lambda x: trim(x)), lambda x: x <> '') AS ks FROM part) SELECT p_partkey, len(ks) AS n, array_to_string(ks, '/') AS keywords FROM k")
+def keyword_split(spark, d):
+    t = _t(spark, d, "part").select("p_partkey", keywords(F.concat("p_name", F.lit("; "), "p_brand", F.lit(" ,|"), "p_type")).alias("ks"))
+    return t.select("p_partkey", F.size("ks").cast("long").alias("n"), F.array_join("ks", "/").alias("keywords"))
+
+
+@query(f"WITH {WITH_NODES} SELECT id, name, CASE WHEN is_concept THEN 'Entity;Concept' ELSE 'Entity' END AS labels, is_concept FROM nodes")
+def export_nodes(spark, d):
+    labels = F.when(F.col("is_concept"), F.array(F.lit("Entity"), F.lit("Concept"))).otherwise(F.array(F.lit("Entity")))
+    return W.node_rows(nodes(spark, d).withColumn("labels", labels)).select("id", "name", "labels", "is_concept")
+
+
+@query(f"WITH {WITH_EDGES}, {WITH_NODES} SELECT src AS source_id, a.name AS source_name, dst AS target_id, b.name AS target_name, rel_type AS relation_type, is_ontology FROM edges LEFT JOIN nodes a ON src = a.id LEFT JOIN nodes b ON dst = b.id")
+def export_edges(spark, d):
+    e = edges(spark, d).withColumn("evidence", F.lit(None).cast("string"))
+    return W.edge_rows(e, nodes(spark, d)).select("source_id", "source_name", "target_id", "target_name", "relation_type", "is_ontology")
+
+
+_GOLD = "SELECT DISTINCT p_brand AS paper_id, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' model' ELSE '' END AS name FROM part WHERE p_size < 25"
+_PRED = "SELECT DISTINCT p_brand AS paper_id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE split_part(p_name, ' ', 2) || ' ' || p_type END AS name FROM part WHERE p_size >= 25"
+
+
+@query(None)
+def fuzzy_prf(spark, d):
+    """J06, D07, A25 on part names by brand; the tests hold the pairs against the predicate over all pairs."""
+    gold, pred = view(spark, d, _GOLD), view(spark, d, _PRED)
+    n = lambda t: t.agg(F.count("*"))
+    return M.scores(n(gold), n(pred), n(M.greedy_pairs(M.name_pairs(gold, pred))))
+
+
+@query("""WITH e AS (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS tries FROM events)
+SELECT user_id, event_type, tries, CASE WHEN value >= 7 AND event_type <> 'error' THEN 'completed' WHEN tries < 3 THEN 'retry' WHEN event_type <> 'error' THEN 'completed' ELSE 'failed' END AS status FROM e WHERE rn = 1""")
+def event_stage_status(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.struct("ts", "event_id").alias("attempt"), F.col("value").alias("score"), F.when(F.col("event_type") == "error", F.lit("error")).alias("error"), "event_type")
+    last = e.groupBy("paper_id").agg(F.max_by("event_type", "attempt").alias("event_type"))
+    return S.workflow_state(e).join(last, "paper_id").select(F.col("paper_id").alias("user_id"), "event_type", "tries", "status")

@@ -44,10 +44,10 @@ def node_rows(nodes: DataFrame) -> DataFrame:
 
 
 def edge_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with the names of both ends, in the order of the ends; evidence of at most 500 characters and a mark."""
+    """Edges with the names of both ends (null for an end that is no node), in the order of the ends; evidence of at most 500 characters and a mark."""
     names = nodes.select("id", "name")
     for end, as_ in (("src", "source"), ("dst", "target")):
-        edges = edges.join(names.toDF(f"{as_}_id", f"{as_}_name"), F.col(end) == F.col(f"{as_}_id"), "left").drop(end)
+        edges = edges.withColumnRenamed(end, f"{as_}_id").join(names.toDF(f"{as_}_id", f"{as_}_name"), f"{as_}_id", "left")
     t = edges.withColumnRenamed("rel_type", "relation_type").withColumn("evidence", cut(F.col("evidence"), 500))
     return _as(t, ("source_id", "source_name", "target_id", "target_name", "relation_type", "is_ontology", "evidence", "source_paper_id", "source_paper")).orderBy("source_id", "target_id")
 
