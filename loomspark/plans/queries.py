@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import chunking as K
 from ..functions import predicates as R
 from ..functions import text as X
 from ..operators import claims as C
@@ -513,3 +514,23 @@ def event_stage_status(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.struct("ts", "event_id").alias("attempt"), F.col("value").alias("score"), F.when(F.col("event_type") == "error", F.lit("error")).alias("error"), "event_type")
     last = e.groupBy("paper_id").agg(F.max_by("event_type", "attempt").alias("event_type"))
     return S.workflow_state(e).join(last, "paper_id").select(F.col("paper_id").alias("user_id"), "event_type", "tries", "status")
+
+
+# ---- chunks and evidence
+
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(text, {_WS}) AS c, trim(substr(text, 40, 25), {_WS}) AS e FROM documents),
+ p AS (SELECT *, list_filter(list_transform(string_split_regex(c, '\\n\\s*\\n'), lambda x: trim(x, {_WS})), lambda x: x <> '') AS ps FROM t),
+ a AS (SELECT *, list_position(list_transform(ps, lambda x: contains(x, e) OR contains(e, x)), true) AS k, instr(c, e) AS pos FROM p)
+SELECT doc_id, CASE WHEN k > 0 THEN array_to_string(ps[greatest(k - 1, 1):k + 1], chr(10) || chr(10)) WHEN pos > 0 THEN trim(substr(c, greatest(pos - 260, 1), pos - greatest(pos - 260, 1) + length(e) + 260), {_WS})
+ ELSE trim(c[1:520], {_WS}) END AS context FROM a""")
+def evidence_window(spark, d):
+    return _t(spark, d, "documents").select("doc_id", K.surroundings(F.substring("text", 40, 25), F.col("text")).alias("context"))
+
+
+@query(None)
+def paper_chunks(spark, d):
+    """F25 on whole documents; the tests hold it against plain Python."""
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(K.chunks(F.col("text"), 500)).alias("chunk_index", "chunk"))
