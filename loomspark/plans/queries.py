@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking as K
+from ..functions import cleaning as L
 from ..functions import predicates as R
 from ..functions import text as X
 from ..operators import claims as C
@@ -534,3 +535,19 @@ def evidence_window(spark, d):
 def paper_chunks(spark, d):
     """F25 on whole documents; the tests hold it against plain Python."""
     return _t(spark, d, "documents").select("doc_id", F.posexplode(K.chunks(F.col("text"), 500)).alias("chunk_index", "chunk"))
+
+
+# ---- lines of extracted pages
+
+_LINES = "SELECT l_orderkey, l_linenumber, CASE l_partkey % 12 WHEN 0 THEN 'Received ' || l_quantity WHEN 1 THEN '3. Results' WHEN 2 THEN 'References:' WHEN 3 THEN 'Figure 2 shows' WHEN 4 THEN 'Copyright 2020' WHEN 5 THEN '  ' WHEN 6 THEN 'page 12' WHEN 7 THEN '4 of 9' WHEN 8 THEN 'iv) Discussion.' WHEN 9 THEN 'published online' WHEN 10 THEN 'tables are long' ELSE 'plain body' END AS line FROM lineitem"
+
+
+def _alternatives(patterns) -> str:
+    return "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
+
+
+@query(f"""WITH t AS (SELECT lower(trim(line)) AS low FROM ({_LINES})), k AS (SELECT low, trim(regexp_replace(regexp_replace(low, '^(\\d+(\\.\\d+)*|[ivx]+)[.)]?\\s+', ''), '[:.]+$', '')) AS name FROM t)
+SELECT CASE WHEN low = '' THEN 'blank' WHEN name IN {_quoted(L.TAILS)} THEN 'tail' WHEN name IN {_quoted(L.HEADINGS)} THEN 'heading' WHEN regexp_matches(low, '{_alternatives(L.NOISE)}') THEN 'noise'
+ WHEN regexp_matches(low, '{_alternatives(L.FRONT_MATTER)}') THEN 'front_matter' WHEN regexp_matches(low, '{_alternatives(L.CAPTION)}') THEN 'caption' ELSE 'body' END AS kind, count(*) AS n FROM k GROUP BY 1""")
+def noise_lines(spark, d):
+    return view(spark, d, _LINES).groupBy(L.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
