@@ -1,10 +1,12 @@
-"""Predicates by group and category."""
+"""Predicates by group, category (A19, A20) and standard form."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Spellings of each predicate, and the category of each.
 GROUPS = {
     "increases": ("increases", "increase", "increased", "elevates", "elevated", "upregulates", "upregulated"),
@@ -48,3 +50,16 @@ def predicate_group(x: Column) -> Column:
 def predicate_category(x: Column) -> Column:
     """Of a predicate group, else ``Other``."""
     return _lookup(x, CATEGORIES, "Other")
+
+
+def standard_predicate(x: Column, variants: dict[str, tuple[str, ...]]) -> Column:
+    """the standard form of a predicate by a table of variants, standard by standard.
+
+    An exact variant counts first (of equal variants the last standard), then the first variant that holds the predicate or is held
+    by it; what is left, nulls and blanks included, is ``unknown``. The table is a parameter and is evaluated as one literal.
+    """
+    table = {v.lower().strip(): name for name, vs in variants.items() for v in vs} | {"": "unknown"}
+    p = strip(F.lower(F.coalesce(x, F.lit(""))))
+    pairs = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(name).alias("name")) for v, name in table.items()])
+    exact = F.try_element_at(F.create_map(*[F.lit(y) for pair in table.items() for y in pair]), p)
+    return F.coalesce(exact, F.get(F.filter(pairs, lambda r: F.contains(r.v, p) | F.contains(p, r.v)), F.lit(0)).getField("name"))

@@ -95,3 +95,37 @@ def propagate(papers: DataFrame, decisions: DataFrame, version: int) -> DataFram
          "taxonomy_version": F.when(F.col("_c").isNotNull(), version).otherwise(F.col("taxonomy_version"))}.get(c, F.col(c)).alias(c)
         for c in papers.columns
     ])
+
+
+def apply_round(candidates: DataFrame, subdomains: DataFrame, suggests: DataFrame, decisions: DataFrame, version: int) -> dict[str, DataFrame]:
+    """The taxonomy after a round of decisions, as tables; a name is met in its normal form.
+
+    candidates: name, status; subdomains: name, parent, status, taxonomy_version; suggests: paper_id, candidate; decisions as
+    ``post_filter`` gives them. Only open candidates are touched; of several decisions on one the smallest target counts. Result:
+    ``candidates`` with their status, ``subdomains`` with new and confirmed ones, ``links`` (candidate, rel_type, target) and
+    ``papers`` (paper_id, subdomain, parent_domain, null where the target has none). A paper that suggests several gets the first by name.
+    """
+    key = lambda c: X.normalize_label(F.col(c), keep_underscore=True)
+    d = decisions.filter("action IN ('merge', 'promote')").withColumn("_c", key("candidate"))
+    d = d.groupBy("_c").agg(F.min(F.struct("target_subdomain", "action", "parent_domain", "candidate")).alias("d"))
+    open_ = candidates.filter("status = 'candidate'").select(key("name").alias("_c")).distinct()
+    d = d.join(open_, "_c", "left_semi").select("_c", "d.*")
+    up = F.col("action") == "promote"
+    d = d.select("_c", "action", F.when(up, F.col("candidate")).otherwise(F.col("target_subdomain")).alias("target"), F.when(up, F.col("parent_domain")).alias("parent"), up.alias("promoted"))
+    left = candidates.withColumn("_c", key("name")).join(d.select("_c", "promoted"), "_c", "left")
+    new_status = F.when((F.col("status") == "candidate") & F.col("promoted").isNotNull(), F.when(F.col("promoted"), "promoted").otherwise("merged")).otherwise(F.col("status"))
+    left = left.withColumn("status", new_status).select(*candidates.columns)
+    # What a round writes, by normal form: targets with their parent, and the parents of promoted ones.
+    written = d.select(key("target").alias("_s"), F.col("target").alias("name"), "parent").union(d.filter("promoted").select(key("parent"), F.col("parent"), F.lit(None).cast("string")))
+    written = written.groupBy("_s").agg(F.max("name").alias("_name"), F.max("parent").alias("_parent"))
+    known = subdomains.groupBy(key("name").alias("_s")).agg(F.max(F.struct("name", "parent", "status", "taxonomy_version")).alias("k"))
+    now = known.join(written, "_s", "full").select(
+        "_s", F.coalesce("_name", "k.name").alias("name"), F.coalesce("_parent", "k.parent").alias("parent"),
+        F.when(F.col("_name").isNotNull(), "confirmed").otherwise(F.col("k.status")).alias("status"),
+        F.when(F.col("_name").isNotNull(), version).otherwise(F.col("k.taxonomy_version")).alias("taxonomy_version"),
+    )
+    links = d.select(F.col("_c").alias("candidate"), F.when(F.col("promoted"), "PROMOTED_TO").otherwise("MERGED_INTO").alias("rel_type"), "target")
+    moved = suggests.withColumn("_c", key("candidate")).join(d.select("_c", "target"), "_c").withColumn("_s", key("target"))
+    first = moved.groupBy("paper_id").agg(F.min(F.struct("_c", "_s")).alias("f")).select("paper_id", F.col("f._s").alias("_s"))
+    papers = first.join(now, "_s").select("paper_id", F.col("name").alias("subdomain"), F.col("parent").alias("parent_domain"))
+    return {"candidates": left, "subdomains": now.drop("_s"), "links": links, "papers": papers}

@@ -14,8 +14,10 @@ from ..functions import text as X
 from ..operators import claims as C
 from ..operators import graph as G
 from ..operators import matching as M
+from ..operators import reports as P
 from ..operators import taxonomy as T
 from ..operators import vectors as V
+from ..sources import turtle as U
 from ..sources import writers as W
 from ..sources.papers import keywords
 from ..streaming import ingest as S
@@ -551,3 +553,70 @@ SELECT CASE WHEN low = '' THEN 'blank' WHEN name IN {_quoted(L.TAILS)} THEN 'tai
  WHEN regexp_matches(low, '{_alternatives(L.FRONT_MATTER)}') THEN 'front_matter' WHEN regexp_matches(low, '{_alternatives(L.CAPTION)}') THEN 'caption' ELSE 'body' END AS kind, count(*) AS n FROM k GROUP BY 1""")
 def noise_lines(spark, d):
     return view(spark, d, _LINES).groupBy(L.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+# ---- standard predicates, run reports, Turtle counts, taxonomy rounds
+
+_VARIANTS_SQL = "v(ord, variant, form) AS (VALUES " + ", ".join(f"({k}, '{v}', '{g}')" for k, (v, g) in enumerate(list({v: g for g, vs in R.GROUPS.items() for v in vs}.items()) + [("", "unknown")])) + ")"
+_FORMS_SQL = f"""p AS (SELECT CASE WHEN predicate = 'risk' THEN ' Risk ' WHEN predicate = '治疗' THEN 'the 治疗 of' ELSE predicate END AS predicate FROM ({_PREDICATES})), {_VARIANTS_SQL},
+ f AS (SELECT DISTINCT predicate, coalesce((SELECT form FROM v WHERE variant = trim(lower(x.predicate))), (SELECT arg_min(form, ord) FROM v WHERE contains(variant, trim(lower(x.predicate))) OR contains(trim(lower(x.predicate)), variant))) AS form FROM p x)"""
+
+
+def _spelled(spark, d):
+    p = view(spark, d, _PREDICATES)
+    return p.select(F.when(F.col("predicate") == "risk", " Risk ").when(F.col("predicate") == "治疗", "the 治疗 of").otherwise(F.col("predicate")).alias("predicate"))
+
+
+@query(f"WITH {_FORMS_SQL} SELECT predicate AS original_predicate, form AS predicate, count(*) AS n FROM p JOIN f USING (predicate) GROUP BY 1, 2")
+def standard_predicates(spark, d):
+    return P.standardised(_spelled(spark, d), R.GROUPS).groupBy("original_predicate", "predicate").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FORMS_SQL} SELECT count(*) AS total, count_if(form = 'unknown') AS \"unknown\", count_if(form <> 'unknown' AND lower(form) = lower(predicate)) AS unchanged, count_if(form <> 'unknown' AND lower(form) <> lower(predicate)) AS normalized FROM p JOIN f USING (predicate)")
+def predicate_changes(spark, d):
+    return P.predicate_changes(_spelled(spark, d), R.GROUPS)
+
+
+@query("""WITH t AS (SELECT count(*) AS total_papers, count_if(o_orderstatus = 'F') AS total_completed, count_if(o_orderstatus = 'P') AS total_failed, count(DISTINCT o_custkey % 50) AS total_batches, (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) / 1e6 AS duration_seconds FROM orders)
+SELECT total_papers, total_completed, total_failed, total_batches, round(100.0 * total_completed / total_papers, 6) AS success_rate, duration_seconds, round(duration_seconds / total_papers, 6) AS seconds_per_paper FROM t""")
+def run_totals(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("in_progress")
+    day = F.col("o_orderdate").cast("timestamp")
+    t = P.run_totals(_t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("batch_id"), status.alias("status"), day.alias("started"), day.alias("ended")))
+    return t.withColumn("success_rate", F.round("success_rate", 6)).withColumn("seconds_per_paper", F.round("seconds_per_paper", 6))
+
+
+@query("""WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT count_if(n > 0) AS papers_with_qa, CAST(sum(n) AS BIGINT) AS total_questions, round(sum(n) / greatest(count_if(n > 0), 1), 6) AS average_questions, max(n) AS most, min(n) AS fewest FROM c""")
+def question_totals(spark, d):
+    n = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("questions"))
+    return P.question_totals(_t(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left")).withColumn("average_questions", F.round("average_questions", 6))
+
+
+@query("WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) SELECT count(*) AS clusters, round(avg(n), 6) AS average_size, max(n) AS largest, min(n) AS smallest FROM c")
+def cluster_sizes(spark, d):
+    return P.cluster_sizes(_t(spark, d, "part").select(F.struct("p_brand", "p_type").alias("cluster"))).withColumn("average_size", F.round("average_size", 6))
+
+
+_TURTLE = r"""SELECT p_partkey AS path, '# ===== SECTION: S' || p_size || ' (CHUNK 1) =====' || chr(10) || '```turtle' || chr(10) || '# a comment.' || chr(10) || ':P' || p_partkey || ' rdf:type :Model ;' || chr(10)
+ || '  :sourceSection "' || p_type || '" ; :sourceChunk "1" ;' || chr(10) || '# ===== SECTION: T =====' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN ':Q a :Dataset .' || chr(10) ELSE '' END || '  :made_by :B' || chr(10) || '```' || chr(10) || ':outside :of :block .' AS text FROM part"""
+
+
+@query("SELECT p_partkey AS path, CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END AS n_triples, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS n_entities, 2 AS n_sections FROM part")
+def turtle_counts(spark, d):
+    t = U.turtle_counts(view(spark, d, _TURTLE.replace("chr(10)", "'\\n'")))
+    return t.select("path", *[F.col(c).cast("int").alias(c) for c in ("n_triples", "n_entities", "n_sections")])
+
+
+_ROUND = "SELECT DISTINCT p_name AS candidate, CASE WHEN length(p_name) % 3 = 0 THEN 'promote' WHEN length(p_name) % 3 = 1 THEN 'merge' ELSE 'dropped' END AS action, CASE WHEN length(p_name) % 3 = 1 THEN 'Old One' ELSE p_name END AS target_subdomain, 'New Root' AS parent_domain FROM part"
+
+
+@query(f"""WITH d AS ({_ROUND}), o AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 40),
+ m AS (SELECT p_partkey AS paper_id, action, target_subdomain AS subdomain FROM part JOIN d ON p_name = candidate WHERE action <> 'dropped' AND p_name IN (SELECT p_name FROM o))
+SELECT paper_id, subdomain, CASE WHEN action = 'promote' THEN 'New Root' ELSE 'Root' END AS parent_domain FROM m""")
+def taxonomy_round(spark, d):
+    part = _t(spark, d, "part")
+    candidates = part.filter("p_size <= 40").select(F.col("p_name").alias("name")).distinct().withColumn("status", F.lit("candidate"))
+    known = spark.sql("SELECT 'Old one.' AS name, 'Root' AS parent, 'confirmed' AS status, 1 AS taxonomy_version")
+    suggests = part.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("candidate"))
+    return T.apply_round(candidates, known, suggests, view(spark, d, _ROUND), 2)["papers"]

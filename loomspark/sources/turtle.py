@@ -82,3 +82,30 @@ def turtle_lines(triples: DataFrame) -> DataFrame:
         X.to_uri(F.col("subject")), F.lit(" :"), F.col("predicate"), F.lit(" "), X.to_uri(F.col("object")), F.lit(" ;\n    :sourceChunk "), quoted("chunk"),
         F.lit(" ;\n    :sourceSection "), quoted("section"), F.lit(" ;\n    :contextText "), quoted("context"), F.lit(" .\n"),
     ).alias("value"))
+
+
+def turtle_counts(texts: DataFrame) -> DataFrame:
+    """n_triples, n_entities and n_sections of each file (path, text), null texts included, with a count of 0.
+
+    A triple is a line of a fenced block that ends in a full stop or semicolon and is no comment; an entity is the first word of a
+    line with a type; a section is a distinct name in a ``:sourceSection`` or a marker.
+    """
+    text = F.coalesce("text", F.lit(""))
+    blocks = F.array_join(F.regexp_extract_all(text, F.lit("(?ms)^[ \\t]*```turtle[ \\t]*$(.*?)^[ \\t]*```[ \\t]*$"), F.lit(1)), "\n\n")
+    lines = F.filter(F.transform(F.split(blocks, "\n"), X.strip), lambda x: (x != "") & ~x.startswith("#"))
+    triples = F.filter(lines, lambda x: x.endswith(".") | x.endswith(";"))
+    typed = F.filter(lines, lambda x: F.contains(x, F.lit(":")) & (F.contains(x, F.lit("rdf:type")) | F.contains(x, F.lit("a "))))
+    entities = F.filter(F.transform(typed, lambda x: F.split(x, "\\s+")[0]), lambda x: x.startswith(":"))
+    named = F.regexp_extract_all(blocks, F.lit(':sourceSection\\s+"([^"]+)"'), F.lit(1))
+    marked = F.transform(F.regexp_extract_all(blocks, F.lit("# ===== SECTION: ([^=]+) ====="), F.lit(1)), X.strip)
+    n = lambda x: F.size(x).cast("long")
+    return texts.select("path", n(triples).alias("n_triples"), n(F.array_distinct(entities)).alias("n_entities"), n(F.array_union(named, marked)).alias("n_sections"))
+
+
+def extraction_counts(texts: DataFrame, types: tuple[str, ...] = ("Model", "Dataset", "Metric", "Method")) -> DataFrame:
+    """String statistics of each file (path, text): total_triples, n_<type> of each type, sections and chunks covered."""
+    text = F.coalesce("text", F.lit(""))
+    times = lambda part: (F.size(F.split(text, "\\Q" + part + "\\E")) - 1).cast("long")
+    quoted = lambda mark: F.size(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(mark))), lambda x: F.get(F.split(x, '"'), F.lit(1))))).cast("long")
+    total = times(" ;") + times(" .") - times("# ")
+    return texts.select("path", total.alias("total_triples"), *[times(f"rdf:type :{t}").alias(f"n_{t.lower()}") for t in types], quoted(":sourceSection").alias("sections_covered"), quoted(":sourceChunk").alias("chunks_covered"))
