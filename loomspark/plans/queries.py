@@ -13,6 +13,7 @@ from ..functions import predicates as R
 from ..functions import text as X
 from ..operators import claims as C
 from ..operators import graph as G
+from ..operators import grounding as N
 from ..operators import matching as M
 from ..operators import reports as P
 from ..operators import taxonomy as T
@@ -620,3 +621,47 @@ def taxonomy_round(spark, d):
     known = spark.sql("SELECT 'Old one.' AS name, 'Root' AS parent, 'confirmed' AS status, 1 AS taxonomy_version")
     suggests = part.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("candidate"))
     return T.apply_round(candidates, known, suggests, view(spark, d, _ROUND), 2)["papers"]
+
+
+# ---- grounding and exports
+
+_NAMED = "CASE WHEN vec_id % 200 = 0 THEN 'l' || label WHEN vec_id % 300 = 0 THEN 'L' ELSE 'q' || vec_id END"
+
+
+@query(f"""WITH r AS (SELECT query_id, vec_id, rank, d FROM ({_RANKED}) WHERE rank <= 5), n AS (SELECT vec_id AS query_id, {_NAMED} AS name FROM embeddings WHERE vec_id % 100 = 0),
+ c AS (SELECT query_id, rank, d, n.name, 'L' || label AS other, 'v' || r.vec_id AS entity_id FROM r JOIN n USING (query_id) JOIN embeddings e ON e.vec_id = r.vec_id),
+ g AS (SELECT *, lower(name) = lower(other) AS same, d < 1.0 AND NOT ((contains(name, other) OR contains(other, name)) AND abs(length(name) - length(other)) > 3) AS good FROM c),
+ b AS (SELECT query_id, arg_min(entity_id, rank) FILTER (same) AS exact_id, count(*) FILTER (good) AS n_good, arg_min(entity_id, rank) FILTER (good) AS good_id, min(d) FILTER (good) AS good_d FROM g GROUP BY 1)
+SELECT query_id, coalesce(exact_id, CASE WHEN n_good = 1 AND good_d < 0.7 THEN good_id END, 'ent_' || left(md5(lower(name)), 16)) AS entity_id,
+ CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN n_good = 1 AND good_d < 0.7 THEN 'strong' ELSE 'new' END AS how FROM n LEFT JOIN b USING (query_id)""")
+def resolve_names(spark, d):
+    e = _t(spark, d, "embeddings")
+    names = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.expr(_NAMED).alias("name"), F.col("embedding").alias("q"))
+    index = e.filter("vec_id % 100 != 0").select("vec_id", F.concat(F.lit("L"), "label").alias("name"), F.concat(F.lit("v"), "vec_id").alias("entity_id"), F.col("embedding").alias("v"))
+    return N.resolve_names(names, index)
+
+
+@query(f"""WITH {WITH_CLAIMS}, {WITH_NODES}, e AS (SELECT lower(name) AS n, min(id) AS id FROM nodes GROUP BY 1)
+SELECT claim_ord, s.id AS subject_id, o.id AS object_id, CASE WHEN s.id IS NULL OR o.id IS NULL THEN 'extracted' ELSE 'grounded' END AS status
+FROM claims LEFT JOIN e s ON lower(replace(subject, '  ', ' ')) = s.n LEFT JOIN e o ON lower(replace(object, '  ', ' ')) = o.n""")
+def ground_claims(spark, d):
+    one = lambda c: F.replace(c, F.lit("  "), F.lit(" ")).alias(c)
+    c = claims(spark, d).select("claim_ord", one("subject"), one("object"))
+    return N.ground_claims(c, nodes(spark, d).withColumnRenamed("id", "entity_id")).select("claim_ord", "subject_id", "object_id", "status")
+
+
+@query("""WITH r AS (SELECT p_name AS subject, p_brand AS predicate, p_type AS object, repeat('x', p_size) AS context, p_partkey AS ord FROM part),
+ b AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY length(context) DESC, ord) AS k, count(*) OVER (PARTITION BY subject, predicate, object) AS frequency FROM r)
+SELECT 'S' || ord AS source_section, CAST(ord % 7 AS VARCHAR) AS source_chunk, context AS context_text, frequency FROM b WHERE k = 1""")
+def representative_relations(spark, d):
+    p = _t(spark, d, "part")
+    r = p.select(F.col("p_name").alias("subject"), F.col("p_brand").alias("predicate"), F.col("p_type").alias("object"), F.expr("repeat('x', p_size)").alias("context"), F.col("p_partkey").alias("ord"),
+                 F.concat(F.lit("S"), "p_partkey").alias("section"), (F.col("p_partkey") % 7).cast("string").alias("chunk"), F.col("p_name").alias("paper"))
+    return W.representative_rows(r, r).select("source_section", "source_chunk", "context_text", "frequency")
+
+
+@query("SELECT conv_id AS paper_id, role AS section, min(turn) AS first, CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS content_length, string_agg(turn, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1, 2")
+def nested_sections(spark, d):
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("role").alias("section"), F.col("turn").alias("ord"), F.col("turn").alias("chunk_id"), "text")
+    turns = F.array_join(F.transform("chunks", lambda x: x.ord.cast("string")), ",")
+    return W.nested_sections(c).select("paper_id", "section", "first", F.size("chunks").alias("n_chunks"), "content_length", turns.alias("turns"))

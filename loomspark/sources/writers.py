@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import to_uri
+from ..operators.judge import cleaned
+
 ASSIGNMENT = ("paper_id", "paper_title", "subdomain", "parent_domain", "status", "is_new_subdomain", "batch_id", "taxonomy_version", "reason", "confidence", "new_relations")
 CLAIM = ("paper_id", "paper_title", "subdomain", "parent_domain", "claim_type", "subject", "relation", "object", "confidence", "section_title", "evidence")
 REFINEMENT = ("candidate", "action", "target_subdomain", "parent_domain", "reason", "applied_taxonomy_version")
@@ -94,6 +97,48 @@ def merge_results(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("paper_id", "question", "model").agg(F.max(row).alias("_r")).select("paper_id", "question", "model", *[f"_r.{c}" for c in rest])
 
 
+def evaluation_rows(answers: DataFrame, threshold: float) -> DataFrame:
+    """(path, final_score, passed, key_advice, priority_fixes) of answers (path, response); malformed ones score null and fail."""
+    r = F.from_json(cleaned(F.col("response")), "STRUCT<final_score DOUBLE, summary_advice STRING, top_fixes ARRAY<STRING>>")
+    t = answers.select("path", r.alias("r"))
+    return t.select("path", F.col("r.final_score").alias("final_score"), F.coalesce(F.col("r.final_score") >= threshold, F.lit(False)).alias("passed"),
+                    F.col("r.summary_advice").alias("key_advice"), F.slice("r.top_fixes", 1, 3).alias("priority_fixes"))
+
+
+def question_rows(answers: DataFrame) -> DataFrame:
+    """Section, question, options, correct_answer, explanation of answers (section, response); malformed ones and those without any of the four fields go."""
+    q = F.from_json(cleaned(F.col("response")), "STRUCT<question STRING, options MAP<STRING, STRING>, correct_answer STRING, explanation STRING>")
+    return answers.select("section", q.alias("q")).select("section", "q.*").dropna(subset=["question", "options", "correct_answer", "explanation"])
+
+
+def representative_rows(selected: DataFrame, relations: DataFrame) -> DataFrame:
+    """Each selected (subject, predicate, object) as identifiers, with its best place (longest context, then the first) and frequency; one without a place stays."""
+    spo = ["subject", "predicate", "object"]
+    place = F.struct(F.length("context").alias("n"), (-F.col("ord")).alias("o"), "section", "chunk", "context", "paper")
+    known = relations.groupBy(*spo).agg(F.max(place).alias("b"), F.count("*").alias("frequency"))
+    t = selected.select(*spo).distinct().join(known, spo, "left")
+    text = lambda c: F.coalesce(f"b.{c}", F.lit(""))
+    return t.select(*[to_uri(F.col(c)).alias(c) for c in spo], text("section").alias("source_section"), text("chunk").alias("source_chunk"), text("context").alias("context_text"), text("paper").alias("出处"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
+
+
+def nested_sections(chunks: DataFrame) -> DataFrame:
+    """One row a paper section with its chunks in order, from (paper_id, section, ord, chunk_id, text); a section's chunks travel together."""
+    one = F.struct("ord", "chunk_id", "text")
+    t = chunks.groupBy("paper_id", "section").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(one)).alias("chunks"))
+    return t.withColumn("content_length", F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.coalesce(F.length(c.text), F.lit(0))))
+
+
+def write_stages(stages: dict[str, DataFrame], path: str) -> None:
+    """Each stage's rows (with paper_id) as JSON below stage=NAME/paper_id=ID; a rerun replaces the stages it writes."""
+    for name, rows in stages.items():
+        rows.write.mode("overwrite").partitionBy("paper_id").json(f"{path}/stage={name}")
+
+
+def write_report(totals: DataFrame, path: str) -> None:
+    """A report of few rows as one JSON file."""
+    totals.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(t: DataFrame, path: str) -> None:
     """A folder of CSV files with headers, quotes doubled, nulls empty."""
     t.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="")
