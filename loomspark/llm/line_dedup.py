@@ -1,21 +1,26 @@
 """Line deduplication by winnowing.
 
-A document is its lines that hold a word, compared with white space collapsed. A *gram* is the shortest run of lines from a
-position on that has ``GRAM_WORDS`` words. Over each stretch of lines with ``MIN_WORDS`` words the gram with the smallest hash is
-selected (the rightmost of equal ones), so documents that share a run of ``MIN_WORDS`` words select a gram of it in both: it can't be
-missed. Each selected gram is joined to its first occurrence, by doc_id (null last) and position; the match is extended both
-ways, line by line, and the run in the later place is deleted. The first occurrence of a gram always stays. A run may repeat
-inside one document too. The pairs grow with the occurrences, not with their square, whatever a gram's frequency.
-
-Null and empty texts have no lines and lose none. Repeated rows are occurrences like others: the first one stays. An empty
-table gives an empty result. Very long texts are cut into nothing: a match carries no more lines than the later document has.
+A *piece* is a part of a line: lines are cut after words that a hash of the word chooses (about every sixth), so a passage inside
+longer lines has the same pieces wherever it stands; a piece has 3 to 64 words, fewer at the end of a line. A *gram* is the shortest
+run of pieces from a position on that has ``GRAM_WORDS`` words. Over each stretch of pieces with ``MIN_WORDS`` words the gram with the
+smallest hash is selected (the rightmost of equal ones), so documents that share ``MIN_WORDS`` words of whole pieces select a gram of
+them in both. A gram that a document selects again is matched with its occurrence before; its first one is joined to the first of all
+documents, by doc_id (null last) and position. Matches are extended both ways, piece by piece, and the run in the later place is
+deleted if, with the pieces it touches at both ends, it can have ``RUN_WORDS`` words. The first occurrence of a gram always stays. The
+pairs grow with the occurrences, not with their square, whatever a gram's frequency.
+
+Null and empty texts have no words and lose none. Repeated rows are occurrences like others: the first one stays. An empty
+table gives an empty result. Very long texts are cut into nothing: a match carries no more pieces than the later document has.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,34 +28,80 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows_of
 
-MIN_WORDS = 50
-GRAM_WORDS = 25
+GRAM_WORDS = 16
+MIN_WORDS = 28
+RUN_WORDS = 50
+SHORTEST, LONGEST = 3, 64
 
 _NONE = (1 << 63) - 1
-_LINES = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int32()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())])))])
-_LINES_DDL = "rid long, doc_id long, n_lines int, hashes array<long>, words array<int>, grams array<struct<gram:long,pos:int>>"
-
-
-def content_lines(text: bytes) -> list[tuple[int, bytes]]:
-    """(number among all lines, the line with white space collapsed) of the lines that hold a word."""
-    return [(k, b" ".join(w)) for k, x in enumerate(text.split(b"\n")) if (w := x.split())]
-
-
-def select_grams(lines: list[bytes], words: list[int], gram_words: int, min_words: int) -> list[tuple[int, int]]:
-    """(hash, position) of the window minima."""
-    n = len(lines)
-    ends = np.concatenate([[0], np.cumsum(words)])
-    last = np.searchsorted(ends, ends[:-1] + gram_words)  # the gram at i is lines[i:last[i]]; none where last > n
-    grams = [xxhash.xxh3_64_intdigest(b"\n".join(lines[i : last[i]]), seed=1) if last[i] <= n else None for i in range(n)]
-    stretch = np.searchsorted(ends, ends[:-1] + min_words)  # the window at i is lines[i:stretch[i]]
-    chosen = {}
-    for i in range(n):
-        if stretch[i] > n:
-            break
-        inside = [(grams[j], -j) for j in range(i, stretch[i]) if grams[j] is not None and last[j] <= stretch[i]]
-        g, j = min(inside)
-        chosen[-j] = g
-    return [(g - (1 << 63), p) for p, g in sorted(chosen.items())]
+_ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+_LINES = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hashes", pa.list_(pa.int32())), ("words", pa.list_(pa.int16())), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))), ("own", _RUNS)])
+_LINES_DDL = "rid long, doc_id long, n_words long, hashes array<int>, words array<short>, grams array<struct<gram:long,pos:int>>, own array<struct<start:int,stop:int>>"
+
+
+def pieces(text: bytes) -> tuple[list[int], list[int]]:
+    """(hashes of 64 bits, words) of the pieces of a text."""
+    hashes, words = [], []
+    for line in text.split(b"\n"):
+        w = line.split()
+        begin = 0
+        for k, c in enumerate(map(crc32, w), 1):
+            n = k - begin
+            if n >= SHORTEST and ((c * 0x9E3779B1 & 0xFFFFFFFF) < 1 << 30 or n == LONGEST) or k == len(w):
+                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(w[begin:k])))
+                words.append(n)
+                begin = k
+    return hashes, words
+
+
+def select_grams(hashes: list[int], words: list[int], gram_words: int, min_words: int) -> list[tuple[int, int]]:
+    """(hash, position) of the window minima, by position."""
+    n, ends = len(words), np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    if ends[-1] < min_words:
+        return []
+    last = np.searchsorted(ends, ends[:-1] + gram_words)  # the gram at i is the pieces i to last[i]; none where last > n
+    m = int(np.searchsorted(last, n, side="right"))
+    with np.errstate(over="ignore"):
+        power = lambda base: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)), dtype=np.uint64)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.uint64) * power(_ODD)[:n], dtype=np.uint64)])
+        g = (prefix[last[:m]] - prefix[:m]) * power(_BACK)[:m]
+        g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(29)
+    stretch = np.searchsorted(ends, ends[:-1] + min_words)  # the window at i is the pieces i to stretch[i]
+    begin = np.arange(int(np.searchsorted(stretch, n, side="right")))
+    stop = np.searchsorted(last[:m], stretch[: len(begin)], side="right")  # the grams begin to stop lie inside the window
+    # The smallest of each window from tables of the smallest of 1, 2, 4, ... neighbours.
+    best, width = [np.arange(m)], 1
+    while 2 * width <= int((stop - begin).max()):
+        x, y = best[-1][:-width], best[-1][width:]
+        best.append(np.where(g[y] <= g[x], y, x))
+        width *= 2
+    level = np.frexp((stop - begin).astype(float))[1] - 1
+    chosen = set()
+    for k, table in enumerate(best):
+        at = np.nonzero(level == k)[0]
+        x, y = table[begin[at]], table[stop[at] - (1 << k)]
+        chosen.update(np.where(g[y] <= g[x], y, x).tolist())
+    return [(int(g[p]) - (1 << 63), p) for p in sorted(chosen)]
+
+
+def _runs(positions, mine, first, at, words) -> list[tuple[int, int]]:
+    """The runs of pieces of ``mine`` around the positions that equal ``first``, which lines up with mine[at]; short ones go."""
+    out, end, stop = [], min(len(mine), at + len(first)), -1
+    for pos in positions:
+        if pos < stop or pos >= end or mine[pos] != first[pos - at]:
+            continue
+        start = stop = pos
+        while start > at and mine[start - 1] == first[start - 1 - at]:
+            start -= 1
+        while stop < end and mine[stop] == first[stop - at]:
+            stop += 1
+        around = (words[start - 1] - 1 if start else 0) + (words[stop] - 1 if stop < len(words) else 0)
+        if sum(words[start:stop]) + around >= RUN_WORDS:
+            out.append((start, stop))
+    return out
 
 
 def _read_lines(gram_words: int, min_words: int):
@@ -58,37 +109,34 @@ def _read_lines(gram_words: int, min_words: int):
         for b in batches:
             out = []
             for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                lines = [x for _, x in content_lines(text)]
-                words = [x.count(b" ") + 1 for x in lines]
-                hashes = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines]
-                grams = [{"gram": g, "pos": p} for g, p in select_grams(lines, words, gram_words, min_words)]
-                out.append((rid, doc_id, len(lines), hashes, words, grams))
+                hashes, words = pieces(text)
+                before, firsts, again = {}, [], {}
+                for g, p in select_grams(hashes, words, gram_words, min_words):
+                    if g in before:
+                        again.setdefault(p - before[g], []).append(p)
+                    else:
+                        firsts.append({"gram": g, "pos": p})
+                    before[g] = p
+                own = sorted({r for shift, at in again.items() for r in _runs(at, hashes, hashes[: len(hashes) - shift], shift, words)})
+                low = [(h & 0xFFFFFFFF) - (1 << 31) for h in hashes]
+                out.append((rid, doc_id, sum(words), low, words, firsts, [{"start": x, "stop": y} for x, y in own]))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(_LINES), _LINES)], schema=_LINES)
 
     return run
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, positions, hashes, first, from_at): extend each match both ways; first[k] lines up with hashes[from_at + k]."""
+    """(rid, positions, hashes, words, first, from_at): extend each match both ways; first[k] lines up with hashes[from_at + k]."""
     schema = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     for b in batches:
         out = []
-        for rid, positions, mine, first, at in zip(*(c.to_pylist() for c in b.columns)):
-            end, stop = min(len(mine), at + len(first)), -1
-            for pos in positions:
-                if pos < stop or pos >= end or mine[pos] != first[pos - at]:
-                    continue
-                start = stop = pos
-                while start > at and mine[start - 1] == first[start - 1 - at]:
-                    start -= 1
-                while stop < end and mine[stop] == first[stop - at]:
-                    stop += 1
-                out.append((rid, start, stop))
+        for rid, positions, mine, words, first, at in zip(*(c.to_pylist() for c in b.columns)):
+            out += [(rid, *r) for r in _runs(positions, mine, first, at, words)]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 3, schema)], schema=schema)
 
 
 def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """_rid, doc_id, n_lines (with a word), removed (sorted numbers of removed lines among these), words (of each line)."""
+    """_rid, doc_id, n_words, removed: the spans of removed words (from, to), counted over the whole text, sorted and apart."""
     lines = materialize(rows_of(docs).mapInArrow(_read_lines(gram_words, min_words), _LINES_DDL), "line-hashes")
     at = lines.select("rid", F.coalesce("doc_id", F.lit(_NONE)).alias("id"), F.explode("grams").alias("g")).select("g.gram", "id", "rid", "g.pos")
     firsts = at.groupBy("gram").agg(F.min(F.struct("id", "rid", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
@@ -97,28 +145,57 @@ def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int
     # All matches of a document on one diagonal of one other document travel together: at most one for each of its lines.
     later = later.groupBy("rid", "f_rid", (F.col("pos") - F.col("f_pos")).alias("diagonal")).agg(F.sort_array(F.collect_list("pos")).alias("at"))
     later = materialize(later, "line-matches")
-    mine = lines.select("rid", "hashes")
+    mine = lines.select("rid", "hashes", "words")
     theirs = lines.select(F.col("rid").alias("f_rid"), F.col("hashes").alias("f_hashes"))
     pairs = later.join(mine, "rid").join(theirs, "f_rid")
     begin = F.greatest(F.lit(0), -F.col("diagonal"))  # the first line of theirs that lines up with one of mine
-    pairs = pairs.select("rid", "at", "hashes", F.slice("f_hashes", begin + 1, F.size("hashes")).alias("first"), (begin + F.col("diagonal")).cast("int").alias("from_at"))
-    runs = pairs.mapInArrow(_extend, "rid long, start int, stop int").distinct()
-    gone = runs.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1))))).alias("removed"))  # the lines of one document
-    out = lines.join(gone, "rid", "left")
-    return out.select(F.col("rid").alias("_rid"), "doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), "words")
+    pairs = pairs.select("rid", "at", "hashes", "words", F.slice("f_hashes", begin + 1, F.size("hashes")).alias("first"), (begin + F.col("diagonal")).cast("int").alias("from_at"))
+    runs = pairs.mapInArrow(_extend, "rid long, start int, stop int").union(lines.select("rid", F.inline("own"))).distinct()
+    gone = runs.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))  # the runs of one document
+    out = lines.select("rid", "doc_id", "n_words", "words").join(gone, "rid", "left")
+    return out.mapInArrow(_spans, "_rid long, doc_id long, n_words long, removed array<struct<from:int,to:int>>")
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of pieces as spans of words, those that meet as one."""
+    spans = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    for b in batches:
+        out = []
+        for words, runs in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            ends, got = np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), []
+            for r in runs or ():
+                x, y = int(ends[r["start"]]), int(ends[r["stop"]])
+                if got and x <= got[-1]["to"]:
+                    got[-1]["to"] = max(got[-1]["to"], y)
+                else:
+                    got.append({"from": x, "to": y})
+            out.append(got)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, spans)], names=["_rid", "doc_id", "n_words", "removed"])
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, words_removed, removed (comma-joined line numbers)."""
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, k: n + F.get("words", k))
-    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), gone.alias("words_removed"), F.array_join(F.transform("removed", lambda k: k.cast("string")), ",").alias("removed"))
+    """doc_id, n_words, n_removed (spans), words_removed, removed (from:to of words, comma-joined)."""
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
+    joined = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["from"], r["to"])), ",")
+    return found.select("doc_id", "n_words", F.size("removed").cast("long").alias("n_removed"), gone.alias("words_removed"), joined.alias("removed"))
+
+
+def cut_words(text: str, spans: list[dict]) -> str:
+    """A text without the spans of words and the white space after each; white space before a span at the end goes too."""
+    starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    out, at = "", 0
+    for r in spans:
+        out, at = out + text[at : starts[r["from"]]], starts[r["to"]]
+    return (out + text[at:]) if at < len(text) else out.rstrip(" \t\n\v\f\r")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with later repeated runs deleted from their texts; other columns and texts are unchanged."""
     gone = repeated_lines(docs).filter(F.size("removed") > 0).select("_rid", F.col("removed").alias("_removed"))
+
+    @F.pandas_udf("string")
+    def shorter(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([x if r is None else cut_words(x, list(r)) for x, r in zip(text, spans)], dtype=object)
+
     t = docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left")
-    t = t.withColumn("_lines", F.split("text", "\n")).withColumn("_word", F.transform("_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    t = t.withColumn("_number", F.aggregate("_word", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda a, w: F.struct((a.n + w.cast("int")).alias("n"), F.array_append(a.at, F.when(w, a.n)).alias("at")), lambda a: a.at))
-    kept = F.filter(F.zip_with("_lines", "_number", lambda x, k: F.when(k.isNull() | ~F.array_contains("_removed", k), x)), lambda x: x.isNotNull())
-    return t.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    return t.withColumn("text", shorter("text", "_removed")).select(*docs.columns)

@@ -109,8 +109,27 @@ def test_line_dedup(spark):
     line = lambda i, n=20: " ".join(f"l{i}_{k}" for k in range(n))
     passage = "\n".join(line(f"p{k}") for k in range(4))
     rows = [(1, line("a") + "\n" + passage + "\n" + line("b")), (2, line("c") + "\n\n" + passage.replace(" ", "  ") + "\n" + line("d")), (3, line("a") + "\n" + line("e")), (4, None), (5, ""), (6, passage), (7, "\n".join([line("r", 30)] * 5)), (None, passage)]
-    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.digest(line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()}
-    assert got == {1: (6, ""), 2: (6, "1,2,3,4"), 3: (2, ""), 4: (0, ""), 5: (0, ""), 6: (4, "0,1,2,3"), 7: (5, "1,2,3,4"), None: (4, "0,1,2,3")}
+    got = {r.doc_id: (r.n_words, r.removed) for r in line_dedup.digest(line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()}
+    assert got == {1: (120, ""), 2: (120, "20:100"), 3: (40, ""), 4: (0, ""), 5: (0, ""), 6: (80, "0:80"), 7: (150, "30:150"), None: (80, "0:80")}
+
+
+def test_line_dedup_inside_lines(spark):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    cut = [(k, words(f"p{k}_", 60 + k)) for k in range(30)]
+    rows = [(k, words(f"a{k}_", 37) + " " + p + " " + words(f"b{k}_", 11)) for k, p in cut] + [(100 + k, words(f"c{k}_", 5) + " " + p + "\n" + words(f"d{k}_", 90)) for k, p in cut]
+    rows += [(200, words("s", 25)), (201, words("s", 25)), (202, words("t", 40) + "\n" + words("u", 30)), (203, words("v", 3) + "\n" + words("t", 40) + "\n" + words("w", 2)), (204, "w " * 5_000)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.repeated_lines(t).collect()}
+    assert all(not got[k].removed for k in [*range(30), 200, 201, 202, 203])
+    for k, p in cut:
+        n = len(p.split())
+        (r,) = got[100 + k].removed
+        assert 5 <= r["from"] <= 5 + 25 and 5 + n - 25 <= r["to"] <= 5 + n  # pieces that cross the ends stay
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeats(t).collect()}
+    for k, p in cut:
+        r = got[100 + k].removed[0]
+        assert kept[100 + k].split() == dict(rows)[100 + k].split()[: r["from"]] + dict(rows)[100 + k].split()[r["to"] :]
+    assert len(kept[204].split()) < 100
 
 
 def test_preference(spark):
