@@ -1,7 +1,7 @@
 """Line deduplication by winnowing.
 
 A *piece* is a part of a line: lines are cut after words that a hash of the word chooses (about every sixth), so a passage inside
-longer lines has the same pieces wherever it stands; a piece has 3 to 64 words, fewer at the end of a line. A *gram* is the shortest
+longer lines has the same pieces wherever it stands; a piece has 3 to 64 words, fewer at the end of a line or after 64. A *gram* is the shortest
 run of pieces from a position on that has ``GRAM_WORDS`` words. Over each stretch of pieces with ``MIN_WORDS`` words the gram with the
 smallest hash is selected (the rightmost of equal ones), so documents that share ``MIN_WORDS`` words of whole pieces select a gram of
 them in both. A gram that a document selects again is matched with its occurrence before; its first one is joined to the first of all
@@ -37,54 +37,60 @@ _NONE = (1 << 63) - 1
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-_LINES = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hashes", pa.list_(pa.int32())), ("words", pa.list_(pa.int16())), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))), ("own", _RUNS)])
+_LINES = ["rid", "doc_id", "n_words", "hashes", "words", "grams", "own"]
 _LINES_DDL = "rid long, doc_id long, n_words long, hashes array<int>, words array<short>, grams array<struct<gram:long,pos:int>>, own array<struct<start:int,stop:int>>"
 
 
 def pieces(text: bytes) -> tuple[list[int], list[int]]:
     """(hashes of 64 bits, words) of the pieces of a text."""
-    hashes, words = [], []
+    hashes, words, digest_of = [], [], xxhash.xxh3_64_intdigest
     for line in text.split(b"\n"):
         w = line.split()
         begin = 0
-        for k, c in enumerate(map(crc32, w), 1):
-            n = k - begin
-            if n >= SHORTEST and ((c * 0x9E3779B1 & 0xFFFFFFFF) < 1 << 30 or n == LONGEST) or k == len(w):
-                hashes.append(xxhash.xxh3_64_intdigest(b" ".join(w[begin:k])))
-                words.append(n)
-                begin = k
+        for k in [k for k, c in enumerate(map(crc32, w), 1) if (c * 0x9E3779B1 & 0xFFFFFFFF) < 1 << 30] + [len(w)]:
+            if k - begin < SHORTEST and k < len(w):
+                continue
+            while begin < k:
+                end = min(k, begin + LONGEST)
+                hashes.append(digest_of(b" ".join(w[begin:end])))
+                words.append(end - begin)
+                begin = end
     return hashes, words
 
 
-def select_grams(hashes: list[int], words: list[int], gram_words: int, min_words: int) -> list[tuple[int, int]]:
-    """(hash, position) of the window minima, by position."""
+def select_grams(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, gram_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the window minima, by position. The pieces of all texts of a batch lie side by side; ``doc`` numbers the texts."""
     n, ends = len(words), np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    if ends[-1] < min_words:
-        return []
-    last = np.searchsorted(ends, ends[:-1] + gram_words)  # the gram at i is the pieces i to last[i]; none where last > n
-    m = int(np.searchsorted(last, n, side="right"))
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none
+    inside = lambda stop: (stop <= n) & (doc[np.minimum(stop, n) - 1] == doc)
+    last = np.searchsorted(ends, ends[:-1] + gram_words)  # the gram at i is the pieces i to last[i]
+    stretch = np.searchsorted(ends, ends[:-1] + min_words)  # the window at i is the pieces i to stretch[i]
+    begin = np.nonzero(inside(stretch))[0]
+    if not len(begin):
+        return none, none
     with np.errstate(over="ignore"):
         power = lambda base: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)), dtype=np.uint64)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.uint64) * power(_ODD)[:n], dtype=np.uint64)])
-        g = (prefix[last[:m]] - prefix[:m]) * power(_BACK)[:m]
+        prefix = np.append(np.zeros(1, np.uint64), np.cumsum(hashes * power(_ODD)[:n], dtype=np.uint64))
+        g = (prefix[np.minimum(last, n)] - prefix[:n]) * power(_BACK)[:n]
         g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         g ^= g >> np.uint64(29)
-    stretch = np.searchsorted(ends, ends[:-1] + min_words)  # the window at i is the pieces i to stretch[i]
-    begin = np.arange(int(np.searchsorted(stretch, n, side="right")))
-    stop = np.searchsorted(last[:m], stretch[: len(begin)], side="right")  # the grams begin to stop lie inside the window
+    stop = np.searchsorted(last, stretch[begin], side="right")  # the grams begin to stop lie inside the window
     # The smallest of each window from tables of the smallest of 1, 2, 4, ... neighbours.
-    best, width = [np.arange(m)], 1
+    best, width = [np.arange(n)], 1
     while 2 * width <= int((stop - begin).max()):
         x, y = best[-1][:-width], best[-1][width:]
         best.append(np.where(g[y] <= g[x], y, x))
         width *= 2
     level = np.frexp((stop - begin).astype(float))[1] - 1
-    chosen = set()
+    chosen = np.zeros(n, bool)
     for k, table in enumerate(best):
         at = np.nonzero(level == k)[0]
         x, y = table[begin[at]], table[stop[at] - (1 << k)]
-        chosen.update(np.where(g[y] <= g[x], y, x).tolist())
-    return [(int(g[p]) - (1 << 63), p) for p in sorted(chosen)]
+        chosen[np.where(g[y] <= g[x], y, x)] = True
+    at = np.nonzero(chosen)[0]
+    return g[at].view(np.int64), at
 
 
 def _runs(positions, mine, first, at, words) -> list[tuple[int, int]]:
@@ -104,23 +110,42 @@ def _runs(positions, mine, first, at, words) -> list[tuple[int, int]]:
     return out
 
 
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), values)
+
+
 def _read_lines(gram_words: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                hashes, words = pieces(text)
-                before, firsts, again = {}, [], {}
-                for g, p in select_grams(hashes, words, gram_words, min_words):
-                    if g in before:
-                        again.setdefault(p - before[g], []).append(p)
-                    else:
-                        firsts.append({"gram": g, "pos": p})
-                    before[g] = p
-                own = sorted({r for shift, at in again.items() for r in _runs(at, hashes, hashes[: len(hashes) - shift], shift, words)})
-                low = [(h & 0xFFFFFFFF) - (1 << 31) for h in hashes]
-                out.append((rid, doc_id, sum(words), low, words, firsts, [{"start": x, "stop": y} for x, y in own]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(_LINES), _LINES)], schema=_LINES)
+            hashes, words, sizes = [], [], []
+            for text in b.column(2).cast(pa.binary()).to_pylist():
+                h, w = pieces(text)
+                hashes += h
+                words += w
+                sizes.append(len(h))
+            edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            of, doc = np.array(words, np.int16), np.repeat(np.arange(len(sizes)), sizes)
+            found = select_grams(np.array(hashes, np.uint64), of, doc, gram_words, min_words)
+            grams, places, n_grams, own = [], [], [0] * len(sizes), [[] for _ in sizes]
+            before, repeats, now = {}, {}, -1
+            for g, p, d in zip(found[0].tolist(), found[1].tolist(), doc[found[1]].tolist()):
+                if d != now:
+                    before, now = {}, d
+                if g in before:
+                    repeats.setdefault(d, {}).setdefault(p - before[g], []).append(p - int(edges[d]))
+                else:
+                    grams.append(g)
+                    places.append(p - int(edges[d]))
+                    n_grams[d] += 1
+                before[g] = p
+            for d, again in repeats.items():
+                h, w = hashes[edges[d] : edges[d + 1]], words[edges[d] : edges[d + 1]]
+                own[d] = [{"start": x, "stop": y} for x, y in sorted({r for shift, at in again.items() for r in _runs(at, h, h[: len(h) - shift], shift, w)})]
+            ends = np.concatenate([[0], np.cumsum(of, dtype=np.int64)])
+            low = np.array(hashes, np.uint64).astype(np.uint32).view(np.int32)
+            at = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(places, pa.int32())], ["gram", "pos"])
+            columns = [b.column(0), b.column(1), pa.array(ends[edges[1:]] - ends[edges[:-1]], pa.int64()), _lists(sizes, pa.array(low)), _lists(sizes, pa.array(of)), _lists(n_grams, at), pa.array(own, _RUNS)]
+            yield pa.RecordBatch.from_arrays(columns, names=_LINES)
 
     return run
 
