@@ -6,8 +6,9 @@ null is a host of its own); the distinct documents that hold a line are counted;
 ``max(MIN_DOCS, MAX_SHARE * documents of the host)`` of them are removed, and a document is rejected when less than
 ``MIN_LEFT`` of its words is left.
 
-Copies of one document are one document here: documents are told apart by a sketch, the smallest line hash of the document.
-So a page with thousands of copies doesn't make its own lines boilerplate, while a notice that different documents carry does.
+Copies of one document are one document here, for a line's count and for the host's: documents are told apart by a digest of
+128 bits of their host and whole set of normalised lines. So a page with thousands of copies doesn't make its own lines
+boilerplate, while a notice that different documents carry does.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are decided alike. An empty table gives an empty
 result. Per host or line nothing is gathered but counts, combined before they are shuffled; lines in ``MIN_DOCS`` documents
@@ -80,7 +81,7 @@ def _line_hash(host: Column, line: Column) -> list[Column]:
 
 
 def measures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row per document: its counts, its base verdict, and the hashes and words of its lines (a written table)."""
+    """A row per document: its counts, its base verdict, its digest (d1, d2), and the hashes and words of its lines (a written table)."""
     t = rows_of(docs, host).withColumnRenamed(host, "host").withColumn("_trim", _trimmed(F.col("text")))
     t = t.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", f"[{WS}]+")))
     t = t.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: _trimmed(x) != ""))
@@ -97,21 +98,22 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
         F.transform("_lines", lambda x: F.struct(*_line_hash(F.col("host"), x), F.size(F.split(_trimmed(x), f"[{WS}]+")).alias("w"))).alias("lines"),
     )
     t = t.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+    t = t.withColumn("_set", F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))))
+    t = t.withColumn("d1", F.xxhash64("host", "_set")).withColumn("d2", F.xxhash64(F.lit("document"), "_set", "host")).drop("_set")
     return materialize(t, "quality-measures")
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """_rid, doc_id, the counts, base_failed, kept, and ``removed``: the hashes of the lines to remove (null: none)."""
     m = measures(docs, host)
-    lines = m.select("_rid", "host", F.array_min(F.transform("lines", lambda x: x.h1)).alias("sketch"), "lines")
-    each = lines.select("sketch", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))).alias("x")).select("x.h1", "x.h2", "sketch")
+    each = m.select("d1", "d2", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))).alias("x")).select("x.h1", "x.h2", "d1", "d2")
     often = materialize(each.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") > MIN_DOCS), "quality-lines")
-    hosts = m.groupBy("host").agg((MAX_SHARE * F.count("*")).alias("limit"))
-    held = lines.select("_rid", "host", F.explode("lines").alias("x")).select("_rid", "host", "x.h1", "x.h2", "x.w").join(often, ["h1", "h2"])
+    hosts = m.select("host", "d1", "d2").distinct().groupBy("host").agg((MAX_SHARE * F.count("*")).alias("limit"))
+    held = m.select("_rid", "host", F.explode("lines").alias("x")).select("_rid", "host", "x.h1", "x.h2", "x.w").join(often, ["h1", "h2"])
     over = held.join(hosts, held.host.eqNullSafe(hosts.host)).filter(F.col("docs") > F.col("limit"))
     gone = over.groupBy("_rid").agg(F.sum("w").alias("gone"), F.collect_set(F.struct("h1", "h2")).alias("removed"))
     left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
-    return m.drop("lines", "host").join(gone, "_rid", "left").withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT * F.col("n_words"))).drop("gone")
+    return m.drop("lines", "host", "d1", "d2").join(gone, "_rid", "left").withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT * F.col("n_words"))).drop("gone")
 
 
 def without_lines(docs: DataFrame, host: str = "source") -> DataFrame:

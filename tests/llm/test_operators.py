@@ -49,6 +49,16 @@ def test_frequent_lines_go_but_copies_stay(spark, tmp_path):
     assert texts == {i: t.removesuffix("\n" + notice) for i, t, _ in rows if i in kept}
 
 
+def test_lines_are_counted_over_distinct_documents(spark):
+    """Whatever hash the shared line has among a document's: over 12 notices, some hash lowest in most of their documents."""
+    body = lambda i: "\n".join(" ".join(f"w{i}_{k}_{j}" for j in range(30)) for k in range(2))
+    rows = [(100 * h + i, body(f"{h}_{i}") + f"\nnotice of the host number {h}", f"h{h}") for h in range(12) for i in range(21)]
+    rows += [(5_000 + i, body("x" if i < 30 else i) + "\nunder the limit", "few") for i in range(49)]  # 20 distinct documents
+    rows += [(6_000 + i, body("y"), "many") for i in range(3_000)] + [(9_000 + i, body(f"m{i}") + "\nover the limit", "many") for i in range(25)]  # the limit counts copies once
+    got = {r.doc_id: len(r.removed or ()) for r in quality_rules.quality_rules(docs_of(spark, rows)).collect()}
+    assert got == {i: int(i < 5_000 or i >= 9_000) for i, _, _ in rows}
+
+
 def fill(sizes, weights, share, cap):
     caps, total = [cap * s for s in sizes], share * sum(sizes)
     target, free = [0.0] * len(sizes), set(range(len(sizes)))
