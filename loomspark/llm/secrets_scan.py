@@ -8,7 +8,7 @@ Base findings, leftmost and non-overlapping per kind, with code-point offsets, e
 
 The offsets come from cutting a text at the matches: what lies between them and the matches themselves, summed in turn, give
 each start and end. The method adds *weak* candidates, which mean little alone: tokens that look like a secret key (``secret``,
-40 characters and more of base64 with upper case, lower case and digits) and service addresses (``endpoint``). Access
+a whole run of 40 characters and more of base64 with upper case, lower case and digits, whatever other sign stands beside it) and service addresses (``endpoint``). Access
 identifiers, weak secrets and endpoints of one document are interval-joined: each part is put in the bin of its offset, and
 parts meet in the same or the next bin within ``SCOPE`` code points. A weak secret is reported if an access identifier is in
 its scope; an endpoint if both an access identifier and a secret (weak or assigned) are in its scope.
@@ -32,7 +32,7 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the same as runs of which the shorter ones are dropped
 # The weak parts.
-SECRET = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=_.-])"
+SECRET = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/])"
 ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+)://[A-Za-z0-9._~:@/?#%&=+-]{4,}"
 
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
