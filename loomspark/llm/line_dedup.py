@@ -1,23 +1,23 @@
-"""Line deduplication by winnowing.
-
-A *piece* is a part of a line: lines are cut after words that a hash of the word chooses (about every sixth), so a passage inside
-longer lines has the same pieces wherever it stands; a piece has 3 to 64 words, fewer at the end of a line or after 64. A *gram* is the shortest
-run of pieces from a position on that has ``GRAM_WORDS`` words. Over each stretch of pieces with ``MIN_WORDS`` words the gram with the
-smallest hash is selected (the rightmost of equal ones), so documents that share ``MIN_WORDS`` words of whole pieces select a gram of
-them in both. A gram that a document selects again is matched with its occurrence before; its first one is joined to the first of all
-documents, by doc_id (null last) and position. Matches are extended both ways, piece by piece, and the run in the later place is
-deleted if, with the pieces it touches at both ends, it can have ``RUN_WORDS`` words. The first occurrence of a gram always stays. The
-pairs grow with the occurrences, not with their square, whatever a gram's frequency.
-
-Null and empty texts have no words and lose none. Repeated rows are occurrences like others: the first one stays. An empty
-table gives an empty result. Very long texts are cut into nothing: a match carries no more pieces than the later document has.
+"""Line deduplication by winnowing; exact on windows of ``RUN_WORDS`` words.
+
+The rule: of equal windows of ``RUN_WORDS`` words the first one by doc_id (null last), row and position stays, and the words of
+all others are deleted, whatever lines, documents or shorter repeats they lie in.
+
+A *gram* is ``GRAM_WORDS`` words. Each window selects the gram with the smallest hash inside it (the rightmost of equal ones), so
+equal windows select equal grams at the same place. The windows side by side that select one gram are its *block*; there is one
+for about every eighteen words. Only equal grams are compared, and in two steps: blocks that are equal as a whole are decided
+together, by the first of them; where a gram has different blocks, the windows of the first block of each kind are decided one
+by one. Both steps take the smallest place of a key and join it back, so the rows grow with the text, not with the square of
+any group, whatever a gram's frequency.
+
+Equality is that of 64-bit hashes over 32-bit hashes of the words. Null and empty texts have no words and lose none. Repeated
+rows are occurrences like others: the first one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,173 +29,146 @@ from pyspark.sql import functions as F
 from .common import materialize, rows_of
 
 GRAM_WORDS = 16
-MIN_WORDS = 28
 RUN_WORDS = 50
-SHORTEST, LONGEST = 3, 64
 
 _NONE = (1 << 63) - 1
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
-_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-_LINES = ["rid", "doc_id", "n_words", "hashes", "words", "grams", "own"]
-_LINES_DDL = "rid long, doc_id long, n_words long, hashes array<int>, words array<short>, grams array<struct<gram:long,pos:int>>, own array<struct<start:int,stop:int>>"
-
-
-def pieces(text: bytes) -> tuple[list[int], list[int]]:
-    """(hashes of 64 bits, words) of the pieces of a text."""
-    hashes, words, digest_of = [], [], xxhash.xxh3_64_intdigest
-    for line in text.split(b"\n"):
-        w = line.split()
-        begin = 0
-        for k in [k for k, c in enumerate(map(crc32, w), 1) if (c * 0x9E3779B1 & 0xFFFFFFFF) < 1 << 30] + [len(w)]:
-            if k - begin < SHORTEST and k < len(w):
-                continue
-            while begin < k:
-                end = min(k, begin + LONGEST)
-                hashes.append(digest_of(b" ".join(w[begin:end])))
-                words.append(end - begin)
-                begin = end
-    return hashes, words
-
-
-def select_grams(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, gram_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the window minima, by position. The pieces of all texts of a batch lie side by side; ``doc`` numbers the texts."""
-    n, ends = len(words), np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    none = np.zeros(0, np.int64)
-    if not n:
-        return none, none
-    inside = lambda stop: (stop <= n) & (doc[np.minimum(stop, n) - 1] == doc)
-    last = np.searchsorted(ends, ends[:-1] + gram_words)  # the gram at i is the pieces i to last[i]
-    stretch = np.searchsorted(ends, ends[:-1] + min_words)  # the window at i is the pieces i to stretch[i]
-    begin = np.nonzero(inside(stretch))[0]
-    if not len(begin):
-        return none, none
+_CHUNK = 1 << 18  # words that are looked at side by side
+_LINES_DDL = "rid long, id long, doc_id long, n_words long, hashes array<int>, blocks array<struct<gram:long,block:long,start:int,n:int>>"
+
+
+def _mixed(g: np.ndarray) -> np.ndarray:
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return g ^ (g >> np.uint64(29))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)), dtype=np.uint64)
+
+
+def _prefix(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which ``_between`` takes the hash of any run of words, from 32-bit hashes of the words."""
+    with np.errstate(over="ignore"):
+        h = _mixed((words.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD))
+        return np.append(np.zeros(1, np.uint64), np.cumsum(h * _powers(_ODD, len(words))[:-1], dtype=np.uint64)), _powers(_BACK, len(words))
+
+
+def _between(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        power = lambda base: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)), dtype=np.uint64)
-        prefix = np.append(np.zeros(1, np.uint64), np.cumsum(hashes * power(_ODD)[:n], dtype=np.uint64))
-        g = (prefix[np.minimum(last, n)] - prefix[:n]) * power(_BACK)[:n]
-        g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(29)
-    stop = np.searchsorted(last, stretch[begin], side="right")  # the grams begin to stop lie inside the window
-    # The smallest of each window from tables of the smallest of 1, 2, 4, ... neighbours.
-    best, width = [np.arange(n)], 1
-    while 2 * width <= int((stop - begin).max()):
-        x, y = best[-1][:-width], best[-1][width:]
-        best.append(np.where(g[y] <= g[x], y, x))
-        width *= 2
-    level = np.frexp((stop - begin).astype(float))[1] - 1
-    chosen = np.zeros(n, bool)
-    for k, table in enumerate(best):
-        at = np.nonzero(level == k)[0]
-        x, y = table[begin[at]], table[stop[at] - (1 << k)]
-        chosen[np.where(g[y] <= g[x], y, x)] = True
-    at = np.nonzero(chosen)[0]
-    return g[at].view(np.int64), at
-
-
-def _runs(positions, mine, first, at, words) -> list[tuple[int, int]]:
-    """The runs of pieces of ``mine`` around the positions that equal ``first``, which lines up with mine[at]; short ones go."""
-    out, end, stop = [], min(len(mine), at + len(first)), -1
-    for pos in positions:
-        if pos < stop or pos >= end or mine[pos] != first[pos - at]:
-            continue
-        start = stop = pos
-        while start > at and mine[start - 1] == first[start - 1 - at]:
-            start -= 1
-        while stop < end and mine[stop] == first[stop - at]:
-            stop += 1
-        around = (words[start - 1] - 1 if start else 0) + (words[stop] - 1 if stop < len(words) else 0)
-        if sum(words[start:stop]) + around >= RUN_WORDS:
-            out.append((start, stop))
-    return out
-
-
-def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+        return _mixed((sums[0][stop] - sums[0][start]) * sums[1][start])
+
+
+def select_blocks(words: np.ndarray, ends: np.ndarray, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, block, start, windows) of each block, by position. The texts lie side by side; ``ends`` has the end of each word's text."""
+    begin = np.nonzero(np.arange(len(words)) + run_words <= ends)[0]
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 4
+    sums, width = _prefix(words), run_words - gram_words + 1
+    at = np.arange(len(words) - gram_words + 1)
+    g = _between(sums, at, at + gram_words)
+    best, w = at, 1
+    while 2 * w <= width:
+        x, y = best[:-w], best[w:]
+        best, w = np.where(g[y] <= g[x], y, x), 2 * w
+    x, y = best[begin], best[begin + width - w]
+    chosen = np.where(g[y] <= g[x], y, x)  # by window, never falling inside a text
+    edge = np.concatenate([[0], np.nonzero(np.diff(chosen))[0] + 1, [len(begin)]])
+    start, n = begin[edge[:-1]], np.diff(edge)
+    chosen = chosen[edge[:-1]]
+    with np.errstate(over="ignore"):  # the words of the block, how many there are, and where its gram stands
+        block = _mixed(_between(sums, start, start + n + run_words - 1) + (n * run_words + chosen - start).astype(np.uint64) * np.uint64(_ODD))
+    return g[chosen].view(np.int64), block.view(np.int64), start, n
+
+
+def _lists(sizes, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), values)
 
 
-def _read_lines(gram_words: int, min_words: int):
+def _read_lines(gram_words: int, run_words: int):
+    def chunk(rows: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(r[2]) for r in rows], np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        words = np.concatenate([r[2] for r in rows])
+        gram, block, start, n = select_blocks(words, np.repeat(edges[1:], sizes), gram_words, run_words)
+        doc = np.searchsorted(edges, start, side="right") - 1
+        blocks = pa.StructArray.from_arrays([pa.array(gram), pa.array(block), pa.array((start - edges[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["gram", "block", "start", "n"])
+        ids = pa.array([r[1] for r in rows], pa.int64())
+        columns = [pa.array([r[0] for r in rows], pa.int64()), ids.fill_null(_NONE), ids, pa.array(sizes), _lists(sizes, pa.array(words.view(np.int32))), _lists(np.bincount(doc, minlength=len(rows)), blocks)]
+        return pa.RecordBatch.from_arrays(columns, names=["rid", "id", "doc_id", "n_words", "hashes", "blocks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
-            hashes, words, sizes = [], [], []
-            for text in b.column(2).cast(pa.binary()).to_pylist():
-                h, w = pieces(text)
-                hashes += h
-                words += w
-                sizes.append(len(h))
-            edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            of, doc = np.array(words, np.int16), np.repeat(np.arange(len(sizes)), sizes)
-            found = select_grams(np.array(hashes, np.uint64), of, doc, gram_words, min_words)
-            grams, places, n_grams, own = [], [], [0] * len(sizes), [[] for _ in sizes]
-            before, repeats, now = {}, {}, -1
-            for g, p, d in zip(found[0].tolist(), found[1].tolist(), doc[found[1]].tolist()):
-                if d != now:
-                    before, now = {}, d
-                if g in before:
-                    repeats.setdefault(d, {}).setdefault(p - before[g], []).append(p - int(edges[d]))
-                else:
-                    grams.append(g)
-                    places.append(p - int(edges[d]))
-                    n_grams[d] += 1
-                before[g] = p
-            for d, again in repeats.items():
-                h, w = hashes[edges[d] : edges[d + 1]], words[edges[d] : edges[d + 1]]
-                own[d] = [{"start": x, "stop": y} for x, y in sorted({r for shift, at in again.items() for r in _runs(at, h, h[: len(h) - shift], shift, w)})]
-            ends = np.concatenate([[0], np.cumsum(of, dtype=np.int64)])
-            low = np.array(hashes, np.uint64).astype(np.uint32).view(np.int32)
-            at = pa.StructArray.from_arrays([pa.array(grams, pa.int64()), pa.array(places, pa.int32())], ["gram", "pos"])
-            columns = [b.column(0), b.column(1), pa.array(ends[edges[1:]] - ends[edges[:-1]], pa.int64()), _lists(sizes, pa.array(low)), _lists(sizes, pa.array(of)), _lists(n_grams, at), pa.array(own, _RUNS)]
-            yield pa.RecordBatch.from_arrays(columns, names=_LINES)
+            for rid, doc_id, text in zip(*(b.column(k) for k in range(3))):
+                w = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                rows.append((rid.as_py(), doc_id.as_py(), np.fromiter(map(xxhash.xxh32_intdigest, w), np.uint32, len(w))))
+                held += len(w) + 16
+                if held > _CHUNK:
+                    yield chunk(rows)
+                    rows, held = [], 0
+        if rows:
+            yield chunk(rows)
 
     return run
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, positions, hashes, words, first, from_at): extend each match both ways; first[k] lines up with hashes[from_at + k]."""
-    schema = pa.schema([("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-    for b in batches:
-        out = []
-        for rid, positions, mine, words, first, at in zip(*(c.to_pylist() for c in b.columns)):
-            out += [(rid, *r) for r in _runs(positions, mine, first, at, words)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 3, schema)], schema=schema)
+def _windows(run_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(rid, id, hashes, blocks): a row for each window of the blocks."""
+        for b in batches:
+            blocks = b.column(3).to_pylist()
+            for k, (rid, id_) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                sums = _prefix(b.column(2)[k].values.to_numpy().view(np.uint32))
+                start = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in blocks[k]])
+                h = _between(sums, start, start + run_words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id_)), pa.array(np.full(len(h), rid)), pa.array(start.astype(np.int32))], names=["window", "id", "rid", "start"])
 
+    return run
 
-def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """_rid, doc_id, n_words, removed: the spans of removed words (from, to), counted over the whole text, sorted and apart."""
-    lines = materialize(rows_of(docs).mapInArrow(_read_lines(gram_words, min_words), _LINES_DDL), "line-hashes")
-    at = lines.select("rid", F.coalesce("doc_id", F.lit(_NONE)).alias("id"), F.explode("grams").alias("g")).select("g.gram", "id", "rid", "g.pos")
-    firsts = at.groupBy("gram").agg(F.min(F.struct("id", "rid", "pos")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    firsts = materialize(firsts.select("gram", F.col("f.rid").alias("f_rid"), F.col("f.pos").alias("f_pos")), "line-firsts")
-    later = at.join(firsts, "gram").filter("rid != f_rid or pos != f_pos").select("rid", "pos", "f_rid", "f_pos")
-    # All matches of a document on one diagonal of one other document travel together: at most one for each of its lines.
-    later = later.groupBy("rid", "f_rid", (F.col("pos") - F.col("f_pos")).alias("diagonal")).agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    later = materialize(later, "line-matches")
-    mine = lines.select("rid", "hashes", "words")
-    theirs = lines.select(F.col("rid").alias("f_rid"), F.col("hashes").alias("f_hashes"))
-    pairs = later.join(mine, "rid").join(theirs, "f_rid")
-    begin = F.greatest(F.lit(0), -F.col("diagonal"))  # the first line of theirs that lines up with one of mine
-    pairs = pairs.select("rid", "at", "hashes", "words", F.slice("f_hashes", begin + 1, F.size("hashes")).alias("first"), (begin + F.col("diagonal")).cast("int").alias("from_at"))
-    runs = pairs.mapInArrow(_extend, "rid long, start int, stop int").union(lines.select("rid", F.inline("own"))).distinct()
-    gone = runs.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))  # the runs of one document
-    out = lines.select("rid", "doc_id", "n_words", "words").join(gone, "rid", "left")
-    return out.mapInArrow(_spans, "_rid long, doc_id long, n_words long, removed array<struct<from:int,to:int>>")
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of pieces as spans of words, those that meet as one."""
+    place = F.struct("id", "rid", "start")
+    lines = materialize(rows_of(docs).mapInArrow(_read_lines(gram_words, run_words), _LINES_DDL), "line-hashes")
+    at = lines.select("id", "rid", F.inline("blocks"))
+    grams = at.groupBy("gram").agg(F.count("*").alias("_n"), (F.min("block") != F.max("block")).alias("differ")).filter("_n > 1")
+    grams = materialize(grams.select("gram", "differ"), "line-grams")
+    met = materialize(at.join(grams, "gram"), "line-blocks")
+    # The firsts are written tables, so that the engine can split the joins where one key has many rows.
+    firsts = materialize(met.groupBy("gram", "block").agg(F.min(place).alias("f")), "line-firsts")
+    met = materialize(met.join(firsts, ["gram", "block"]).select("id", "rid", "start", "n", "differ", (place == F.col("f")).alias("first")).filter("differ or not first"), "line-places")
+    # The windows of the first blocks of each kind; the windows of the other blocks are those of a block before.
+    open_ = met.filter("first").groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("blocks"))  # the blocks of one document
+    open_ = open_.join(lines.select("rid", "id", "hashes"), "rid").select("rid", "id", "hashes", "blocks")
+    windows = materialize(open_.mapInArrow(_windows(run_words), "window long, id long, rid long, start int"), "line-windows")
+    firsts = materialize(windows.groupBy("window").agg(F.min(place).alias("f"), F.count("*").alias("_n")).filter("_n > 1").select("window", "f"), "line-window-firsts")
+    later = windows.join(firsts, "window").filter(place != F.col("f")).select("rid", "start", F.lit(1).alias("n"))
+    runs = met.filter("not first").select("rid", "start", "n").union(later)
+    gone = runs.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))  # the runs of one document
+    out = lines.select("rid", "doc_id", "n_words").join(gone, "rid", "left")
+    return out.mapInArrow(_spans(run_words), "_rid long, doc_id long, n_words long, removed array<struct<from:int,to:int>>")
+
+
+def _spans(run_words: int):
     spans = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-    for b in batches:
-        out = []
-        for words, runs in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-            ends, got = np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), []
-            for r in runs or ():
-                x, y = int(ends[r["start"]]), int(ends[r["stop"]])
-                if got and x <= got[-1]["to"]:
-                    got[-1]["to"] = max(got[-1]["to"], y)
-                else:
-                    got.append({"from": x, "to": y})
-            out.append(got)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, spans)], names=["_rid", "doc_id", "n_words", "removed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of windows as spans of words, those that meet as one."""
+        for b in batches:
+            out = []
+            for runs in b.column(3).to_pylist():
+                got = []
+                for r in runs or ():
+                    x, y = r["start"], r["start"] + r["n"] - 1 + run_words
+                    if got and x <= got[-1]["to"]:
+                        got[-1]["to"] = max(got[-1]["to"], y)
+                    else:
+                        got.append({"from": x, "to": y})
+                out.append(got)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, spans)], names=["_rid", "doc_id", "n_words", "removed"])
+
+    return run
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -157,6 +157,39 @@ def test_line_dedup_inside_lines(spark):
     assert len(kept[204].split()) < 100
 
 
+def test_line_dedup_is_exact_on_windows(spark):
+    """Against every window in order; among the cases a passage whose halves stand alone in documents before."""
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for k in range(40):
+        p = words(70)
+        halves = [words(9) + p[:35] + words(9), words(9) + p[35:] + words(9)]
+        for w in [*halves, words(20) + p + words(20), words(30) + p + words(5)]:
+            rows.append((len(rows), " ".join(w)))
+    long = words(900)
+    for k in range(60):  # overlapping parts, changed words, repeats in one text
+        a, n = int(rng.integers(0, 800)), int(rng.integers(45, 400))
+        w = long[a : a + n]
+        if k % 3 == 0:
+            w[len(w) // 2] = f"changed{k}"
+        rows.append((len(rows) if k % 7 else None, "\n".join([" ".join(words(k % 5) + w)] * (1 + k % 4 // 3)) + " end"))
+    rows += [(None, None), (5_000, ""), (5_001, "w " * 300), (5_002, " ".join(long[:49])), (5_003, " ".join(long[:50])), (5_003, " ".join(long[:50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    by_rid = sorted(((r.doc_id is None, r.doc_id or 0, r._rid, r.text or "") for r in docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", "text").collect()))
+    seen, want = set(), {}
+    for _, _, rid, text in by_rid:
+        w, gone = text.split(), set()
+        for k in range(len(w) - 49):
+            run = tuple(w[k : k + 50])
+            gone |= set(range(k, k + 50)) if run in seen else set()
+            seen.add(run)
+        want[rid] = gone
+    got = {r._rid: {x for s in r.removed for x in range(s["from"], s["to"])} for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == want
+    assert line_dedup.repeated_lines(docs.limit(0)).count() == 0
+
+
 def test_preference(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "é one"), (1, 0, "user", "hi"), (1, 1, "assistant", "two"), (1, 2, "user", None), (2, 0, "user", "lone"), (4, 0, "user", "same"), (5, 0, "user", "same"), (5, 1, "assistant", "more"), (None, 0, "user", "x")]
     pairs = preference.adjacent_pairs(preference.conversations_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
