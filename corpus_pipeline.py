@@ -7,6 +7,7 @@ token ids and the decoded text of each document of the mix.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, exact_dedup, minhash, mixing, quality_rules
 from loomspark.llm.common import keep_rows, materialize, table
@@ -24,8 +25,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: the one with the smallest doc_id."""
-    return keep_rows(docs, minhash.near_dedup(docs).filter("kept"))
+    """One row of each component of near copies stays: the one with the smallest doc_id (null last), then the first row."""
+    found = minhash.near_dedup(docs).select("root", "_rid", "doc_id")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("f"))
+    return keep_rows(docs, first.select("f._rid").union(found.filter("root is null").select("_rid")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

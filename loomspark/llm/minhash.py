@@ -356,7 +356,7 @@ def rest(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """_rid, doc_id, n_shingles, component_id, kept (doc_id is the component's)."""
+    """_rid, doc_id, n_shingles, component_id, kept (doc_id is the component's), root (tells components apart; null without shingles)."""
     signed = materialize(rows_of(docs).mapInArrow(_sign, _SIGNED_DDL), "near-signed")
     classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # numbered once, in the table
@@ -381,7 +381,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     named = classes.select("digest", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(names, "root").select("digest", "component_id"), "near-named")
+    named = materialize(named.join(names, "root").select("digest", "component_id", "root"), "near-named")
     out = signed.select("_rid", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("_rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("_rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
