@@ -64,16 +64,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rows_of(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_rid, doc_id, text, extra...) of every row, whatever other columns there are; null text is empty.
 
-    ``_rid`` numbers rows by partition and position. On a table read from files it is the same in each reading, so
-    decisions can be joined back to their very row even where doc_id is null or repeated.
+    ``_rid`` numbers rows by partition and position, unless ``docs`` has it from ``numbered``.
     """
+    rid = F.col("_rid") if "_rid" in docs.columns else F.monotonically_increasing_id().alias("_rid")
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
-    return docs.select(F.monotonically_increasing_id().alias("_rid"), *cols, *[F.col(c) for c in extra])
+    return docs.select(rid, *cols, *[F.col(c) for c in extra])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_rid``, written once: decisions can be joined back to their very row even where doc_id is null or repeated.
+
+    Numbering each reading anew would not do: Spark sizes splits by the cores there are just then, so rows can move.
+    """
+    return materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (a table read from files) whose ``_rid`` is in ``kept``, with the columns of ``docs``."""
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept.select("_rid"), "_rid", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` (a table of ``numbered``) whose ``_rid`` is in ``kept``, without ``_rid``."""
+    return docs.join(kept.select("_rid"), "_rid", "left_semi").drop("_rid")
 
 
 def words_col(text) -> F.Column:

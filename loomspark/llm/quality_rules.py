@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, rows_of
+from .common import WS, materialize, numbered, rows_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -118,8 +118,9 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def without_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that stay, without the removed lines; texts that lose no line are unchanged."""
-    verdict = quality_rules(docs, host).filter("kept").select("_rid", F.col("removed").alias("_removed"))
-    t = docs.withColumn("_rid", F.monotonically_increasing_id()).join(verdict, "_rid")
+    t = numbered(docs)
+    verdict = quality_rules(t, host).filter("kept").select("_rid", F.col("removed").alias("_removed"))
+    t = t.join(verdict, "_rid")
     kept_lines = F.filter(F.split("text", "\n"), lambda x: (_trimmed(x) == "") | ~F.array_contains("_removed", F.struct(*_line_hash(F.col(host), x))))
     t = t.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
     if "n_chars" in docs.columns:

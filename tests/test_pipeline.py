@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomspark.llm import mixing
+from loomspark.llm import exact_dedup, line_dedup, minhash, mixing, quality_rules
+from loomspark.llm.common import materialize
 from loomspark.llm.queries import vocabulary
 from tests.llm.test_operators import fill
 
@@ -112,3 +113,28 @@ def test_stages_and_run(spark, tmp_path):
     assert tidy((r.doc_id, r.n_tokens, list(r.ids), r.decoded) for r in got) == tidy((i, len(ids(t)), ids(t), shown(t)) for i, t, _ in rows)
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert tidy((r.doc_id, r.decoded.lower()) for r in whole) == tidy((i, shown(t).lower()) for i, t, _ in rows)
+
+
+def test_rows_stay_themselves_when_splits_move(spark, tmp_path, monkeypatch):
+    """The files are dealt to other partitions between the decision and the reading that follows it."""
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.createDataFrame(rows_here(), COLUMNS).repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    decided = {"quality_rules": (quality_rules, "quality_rules"), "exact_dedup": (exact_dedup, "exact_dedup"), "minhash_near_dedup": (minhash, "near_dedup"), "mix_sources": (mixing, "plan"), "repeats": (line_dedup, "repeated_lines")}
+    stages = [*corpus_pipeline.STAGES[:-1], ("repeats", lambda spark, docs, _: line_dedup.without_repeats(docs))]
+    tidy = lambda df: sorted(repr((r.doc_id, len((r.text or "").split()), r.source)) for r in df.collect())
+    before = spark.conf.get(key)
+    for name, stage in stages:
+        module, f = decided[name]
+        want = tidy(stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)))
+
+        def then_move(*args, f=getattr(module, f), **options):
+            out = materialize(f(*args, **options), "test-decided")
+            spark.conf.set(key, "1k")
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(module, f, then_move)
+            try:
+                assert tidy(stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))) == want, name
+            finally:
+                spark.conf.set(key, before)
