@@ -92,9 +92,12 @@ def three_hop_paths(first: DataFrame, second: DataFrame, third: DataFrame, limit
     """The first ``limit`` paths of each section, by the nodes in order. first: section, n0, n1; then (n1, n2), (n2, n3).
 
     A start node with a path gives at least one, so the ``limit`` smallest start nodes of a section are all that is joined further;
-    interior repeats are allowed, but the last node is none of the others.
+    interior repeats are allowed, but the last node is none of the others. To tell whether a start node has such a path, three ends
+    of each n2 are enough (n1 and n0 can be two of them), and of those that n1 reaches the smallest and the largest.
     """
-    starts = first.join(second.join(third.select("n2").distinct(), "n2", "left_semi").select("n1").distinct(), "n1", "left_semi")
+    ends = third.filter("n3 != n2").select("n2", "n3").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("n2").orderBy("n3"))).filter("_r <= 3").drop("_r")
+    reach = second.join(ends, "n2").filter("n3 != n1").groupBy("n1").agg(F.min("n3").alias("_lo"), F.max("n3").alias("_hi"))
+    starts = first.join(reach, "n1").filter("_lo != n0 or _hi != n0")
     w = Window.partitionBy("section").orderBy("n0")
     few = starts.select("section", "n0").distinct().withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
     paths = first.join(few, ["section", "n0"], "left_semi").join(second, "n1").join(third, "n2").filter("n3 != n2 and n3 != n1 and n3 != n0").select("section", "n0", "n1", "n2", "n3").distinct()
