@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, rows_of
+from .common import apart, materialize, numbered, rows_of
 
 GRAM_WORDS = 16
 RUN_WORDS = 50
@@ -189,12 +189,14 @@ def cut_words(text: str, spans: list[dict]) -> str:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with later repeated runs deleted from their texts; other columns and texts are unchanged."""
-    t = numbered(docs)
-    gone = repeated_lines(t).filter(F.size("removed") > 0).select("_rid", F.col("removed").alias("_removed"))
 
     @F.pandas_udf("string")
     def shorter(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([x if r is None else cut_words(x, list(r)) for x, r in zip(text, spans)], dtype=object)
 
-    t = t.join(gone, "_rid", "left")
-    return t.withColumn("text", shorter("text", "_removed")).select(*docs.columns)
+    def cut(docs: DataFrame) -> DataFrame:
+        t = numbered(docs)
+        gone = repeated_lines(t).filter(F.size("removed") > 0).select("_rid", F.col("removed").alias("_removed"))
+        return t.join(gone, "_rid", "left").withColumn("text", shorter("text", "_removed")).select(*docs.columns)
+
+    return apart(docs, cut, "doc_id", "text")

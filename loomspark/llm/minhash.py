@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
+from .common import has_rid, materialize, numbered, rows_of
 
 K, K1 = 128, 64
 T, T_ALL = 35, 80
@@ -126,16 +126,12 @@ def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
 
-def _candidate_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, set) of the texts that have the node's digest."""
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, set) of the nodes' texts."""
     schema, hashes = pa.schema([("node", pa.int64()), ("members", pa.binary())]), _WordHashes()
     for b in batches:
-        out = []
-        for node, digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-            s = shingles(text, hashes)
-            if set_digest(s) == digest:
-                out.append((node, s.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[], []], schema)], schema=schema)
+        sets = [shingles(text, hashes).tobytes() for text in b.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], schema=schema)
 
 
 def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -160,11 +156,9 @@ PAIRS_A_TASK = 256
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, members): the full sets of the nodes, from the texts. ``reps``: (node, digest, doc_id) of a document of each node."""
-    wanted = nodes.join(reps, "node").select("node", "digest", "doc_id")
-    texts = rows_of(docs).select("doc_id", "text")
-    found = wanted.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id"))).select("w.node", "w.digest", "t.text")
-    return materialize(found.mapInArrow(_candidate_sets, "node long, members binary").dropDuplicates(["node"]), "near-sets")
+    """(node, members): the full sets of the nodes, from the texts. ``reps``: (node, _rid) of a row of each node."""
+    found = nodes.join(reps, "node").join(rows_of(docs), "_rid").select("node", "text")
+    return materialize(found.mapInArrow(_full_sets, "node long, members binary"), "near-sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -348,7 +342,7 @@ def rest(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
         return None
     # All classes that agree enough with others, directly or not, are a region: pairs are compared once there, not in each list.
     regions = materialize(components(edges).withColumnRenamed("root", "region"), "near-regions")
-    sets = sets_of(regions.select("node"), docs, classes.select("node", "digest", "doc_id"))
+    sets = sets_of(regions.select("node"), docs, classes.select("node", "_rid"))
     sets = linkable(sets).join(sets, "node")
     rows = materialize(regions.join(sets, "node").join(roots, "node").join(sigs, "node").select("region", "node", "root", "sig", "members"), "near-rows")
     size = rows.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -356,11 +350,16 @@ def rest(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """_rid, doc_id, n_shingles, component_id, kept (doc_id is the component's), root (tells components apart; null without shingles)."""
+    """_rid, doc_id, n_shingles, component_id, kept (doc_id is the component's), root (tells components apart) and digest (of the set).
+
+    The last two are null without shingles.
+    """
+    docs = docs if has_rid(docs) else numbered(docs)
     signed = materialize(rows_of(docs).mapInArrow(_sign, _SIGNED_DDL), "near-signed")
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = signed.filter("digest is not null").groupBy("digest")
+    classes = classes.agg(F.min("_rid").alias("_rid"), F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # numbered once, in the table
-    reps = classes.select("node", "digest", "doc_id")
+    reps = classes.select("node", "_rid")
 
     posted = classes.select("node", F.posexplode(F.slice("keys", 1, PREFIX)).alias("at", "list"))
     lists = materialize(posted.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1"), "near-lists")
@@ -384,4 +383,4 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     named = materialize(named.join(names, "root").select("digest", "component_id", "root"), "near-named")
     out = signed.select("_rid", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("_rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
+    return out.select("_rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", "digest")

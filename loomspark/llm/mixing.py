@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, numbered
+from .common import WS, apart, has_rid, materialize, numbered
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -57,7 +57,7 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """_rid, doc_id, size, source_size, target, times (repetitions of this document in the mix)."""
     sizes = docs.select(
-        F.col("_rid") if "_rid" in docs.columns else F.monotonically_increasing_id().alias("_rid"),
+        F.col("_rid") if has_rid(docs) else F.monotonically_increasing_id().alias("_rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(f"[^{WS}]+")), F.lit(0)).cast("long").alias("size"),
@@ -92,7 +92,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: flo
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: each document as often as the plan takes it, with the columns of ``docs``."""
-    t = numbered(docs)
-    take = plan(t, **options).filter("times > 0").select("_rid", F.col("times").alias("_times"))
-    t = t.join(take, "_rid")
-    return t.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+    def repeat(docs: DataFrame) -> DataFrame:
+        t = numbered(docs)
+        take = plan(t, **options).filter("times > 0").select("_rid", F.col("times").alias("_times"))
+        t = t.join(take, "_rid")
+        return t.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+    return apart(docs, repeat, "doc_id", "text", "source")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, numbered, rows_of
+from .common import WS, apart, materialize, numbered, rows_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -104,20 +104,28 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """_rid, doc_id, the counts, base_failed, kept, and ``removed``: the hashes of the lines to remove (null: none)."""
+    """_rid, doc_id, the counts, base_failed, kept, what the method does to the document, and ``removed``: the hashes of the lines to remove.
+
+    ``n_lines_removed`` lines go and ``n_words_left`` words stay; ``removed`` is null where none go.
+    """
     m = measures(docs, host)
     each = m.select("d1", "d2", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))).alias("x")).select("x.h1", "x.h2", "d1", "d2")
     often = materialize(each.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") > MIN_DOCS), "quality-lines")
     hosts = m.select("host", "d1", "d2").distinct().groupBy("host").agg((MAX_SHARE * F.count("*")).alias("limit"))
     held = m.select("_rid", "host", F.explode("lines").alias("x")).select("_rid", "host", "x.h1", "x.h2", "x.w").join(often, ["h1", "h2"])
     over = held.join(hosts, held.host.eqNullSafe(hosts.host)).filter(F.col("docs") > F.col("limit"))
-    gone = over.groupBy("_rid").agg(F.sum("w").alias("gone"), F.collect_set(F.struct("h1", "h2")).alias("removed"))
-    left = F.col("n_words") - F.coalesce(F.col("gone"), F.lit(0))
-    return m.drop("lines", "host", "d1", "d2").join(gone, "_rid", "left").withColumn("kept", ~F.col("base_failed") & (left >= MIN_LEFT * F.col("n_words"))).drop("gone")
+    gone = over.groupBy("_rid").agg(F.sum("w").alias("gone"), F.count("*").alias("n_lines_removed"), F.collect_set(F.struct("h1", "h2")).alias("removed"))
+    out = m.drop("lines", "host", "d1", "d2").join(gone, "_rid", "left").withColumn("n_lines_removed", F.coalesce("n_lines_removed", F.lit(0).cast("long")))
+    out = out.withColumn("n_words_left", F.col("n_words") - F.coalesce("gone", F.lit(0).cast("long")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= MIN_LEFT * F.col("n_words"))).drop("gone")
 
 
 def without_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that stay, without the removed lines; texts that lose no line are unchanged."""
+    return apart(docs, lambda t: _without_lines(t, host), "doc_id", "text", "n_chars", host)
+
+
+def _without_lines(docs: DataFrame, host: str) -> DataFrame:
     t = numbered(docs)
     verdict = quality_rules(t, host).filter("kept").select("_rid", F.col("removed").alias("_removed"))
     t = t.join(verdict, "_rid")
