@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, exact_dedup, minhash, mixing, quality_rules
-from loomspark.llm.common import keep_rows, materialize, numbered, table
+from loomspark.llm.common import apart, keep_rows, materialize, numbered, table
 from loomspark.llm.queries import vocabulary
 
 
@@ -21,16 +21,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    docs = numbered(docs)
-    return keep_rows(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+
+    def first(docs: DataFrame) -> DataFrame:
+        t = numbered(docs)
+        return keep_rows(t, exact_dedup.exact_dedup(t).filter("kept"))
+
+    return apart(docs, first, "doc_id", "text")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies stays: the one with the smallest doc_id (null last), then the first row."""
-    docs = numbered(docs)
-    found = minhash.near_dedup(docs).select("root", "_rid", "doc_id")
-    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("f"))
-    return keep_rows(docs, first.select("f._rid").union(found.filter("root is null").select("_rid")))
+    """One row of each component of near copies stays: the one with the smallest doc_id (null last), then by its set's digest, then the first."""
+
+    def first(docs: DataFrame) -> DataFrame:
+        t = numbered(docs)
+        found = minhash.near_dedup(t).select("root", "_rid", "doc_id", "digest")
+        best = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_rid")).alias("f"))
+        return keep_rows(t, best.select("f._rid").union(found.filter("root is null").select("_rid")))
+
+    return apart(docs, first, "doc_id", "text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
