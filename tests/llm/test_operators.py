@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import classifier, html_extract, line_dedup, mixing, preference, quality_rules, secrets_scan
+from loomspark.llm import classifier, line_dedup, mixing, preference, quality_rules, secrets_scan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -202,23 +202,6 @@ def test_preference(spark):
     assert got[2].chosen == "" and got[2].n_common == 1
 
 
-@pytest.mark.parametrize(
-    "page, text",
-    [
-        (None, ""), ("", ""), ("<p>", ""), ("<html><body><nav><a>x</a></nav><footer>f</footer></body></html>", ""),
-        ("<body><header>Site</header><div class=ad>Buy!</div><article><h1>T&amp;t</h1><p>One,\n two.<p>Three <b>four</b><br>five</article><div id=comments><p>Nice, really nice.</p></div></body>", "T&t One, two. Three four five"),
-        ("<body><div class='menu'><a>a</a></div><div><h2>H</h2><p>Long text, with marks, and more of it. Yes.</p><ul><li>x<li>y</ul></div><form><label>Name</label></form><script>var p='</p>';</script>", "H Long text, with marks, and more of it. Yes. x y"),
-    ],
-)
-def test_html(page, text):
-    assert html_extract.main_text(page or "") == text
-
-
-def test_html_rows(spark):
-    pages = spark.createDataFrame([(1, "u", None), (1, "u", None)], "page_id long, url string, html string")
-    assert [tuple(r) for r in html_extract.extract(pages).collect()] == [(1, "u", "", 0)] * 2
-
-
 def test_classifier(spark):
     rng = np.random.default_rng(1)
     rows = []
