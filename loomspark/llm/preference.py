@@ -7,8 +7,8 @@ relative to prompt + completion, end exclusive.
 
 Turns are ordered by turn number (null first), role and text; null roles and texts count as empty; repeated turns are turns. A
 conversation without an id is left out, and so is a pair that lacks one side. Where one conversation is a prefix of the other its
-completion is empty. An empty table gives an empty result. Each conversation is read once and grouped by its own id, so a first turn that
-many share gathers nothing.
+completion is empty. An empty table gives an empty result; other columns don't matter. Each conversation is read once and grouped by its own
+id, so a first turn that many share gathers nothing. A pair is one row with its whole text: so a conversation must fit in a row.
 """
 
 from __future__ import annotations
@@ -29,11 +29,19 @@ def conversations_of(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(t)).alias("turns"))
 
 
-def adjacent_pairs(convs: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected) of the conversations 2k and 2k + 1: an aggregate by k, no join."""
-    even = F.pmod(F.col("conv_id"), F.lit(2)) == 0
-    sides = [F.first(F.when(side, F.struct("conv_id", "turns")), ignorenulls=True).alias(name) for side, name in ((even, "chosen"), (~even, "rejected"))]
-    return convs.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(*sides).filter("chosen is not null and rejected is not null")
+def other_answers(convs: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected): each conversation, and itself with another's last answer in place of its own last assistant turn.
+
+    The other is the one whose id differs in the lowest bit, so an aggregate by the other bits brings the two together, without a join.
+    ``rejected.conv_id`` tells where the answer comes from. Conversations without an assistant turn, or without such a partner, are left out.
+    """
+    back = F.array_position(F.transform(F.reverse("turns"), lambda t: t.role), "assistant")
+    c = convs.withColumn("at", F.size("turns") - back).filter(back > 0).withColumn("answer", F.get("turns", F.col("at").cast("int")).text)
+    side = lambda even: F.first(F.when((F.col("conv_id").bitwiseAND(F.lit(1).cast("long")) == 0) == even, F.struct("conv_id", "turns", "at", "answer")), ignorenulls=True)
+    two = c.groupBy(F.shiftright("conv_id", 1)).agg(side(True).alias("x"), side(False).alias("y")).filter("x is not null and y is not null")
+    both = two.select(F.explode(F.array(F.struct(F.col("x").alias("own"), F.col("y.conv_id").alias("other_id"), F.col("y.answer").alias("answer")), F.struct(F.col("y").alias("own"), F.col("x.conv_id").alias("other_id"), F.col("x.answer").alias("answer")))).alias("p"))
+    turns = F.transform("p.own.turns", lambda t, i: F.when(i == F.col("p.own.at"), F.struct(t.turn.alias("turn"), t.role.alias("role"), F.col("p.answer").alias("text"))).otherwise(t))
+    return both.select(F.col("p.own.conv_id").alias("pair_id"), F.struct("p.own.conv_id", "p.own.turns").alias("chosen"), F.struct(F.col("p.other_id").alias("conv_id"), turns.alias("turns")).alias("rejected"))
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:

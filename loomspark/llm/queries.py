@@ -52,38 +52,35 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = preference.conversations_of(table(spark, sf_dir, "conversations"))
-    return preference.digest(preference.format_pairs(preference.adjacent_pairs(convs)))
+    return preference.digest(preference.format_pairs(preference.other_answers(convs)))
 
 
 OP5_SQL = r"""
 WITH t AS (
-  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL
 ),
+last AS (SELECT conv_id, max(k) AS last_k FROM t WHERE role = 'assistant' GROUP BY conv_id),
+answers AS (SELECT conv_id, last_k, text AS answer FROM t JOIN last USING (conv_id) WHERE k = last_k),
+pairs AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.last_k, b.answer FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)),
+turns AS (SELECT chosen_id, rejected_id, k, role, text, CASE WHEN k = last_k THEN answer ELSE text END AS other FROM t JOIN pairs ON conv_id = chosen_id),
+common AS (SELECT chosen_id, coalesce(min(k) FILTER (text <> other) - 1, max(k)) AS n_common FROM turns GROUP BY chosen_id),
 sized AS (
-  SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, length(role) + 13 AS head FROM t
+  SELECT *, length(role) + 13 AS head, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || role || chr(10) || other || '<|im_end|>' || chr(10) AS r
+  FROM turns JOIN common USING (chosen_id)
 ),
-pairs AS (SELECT pair_id FROM t GROUP BY pair_id HAVING count(DISTINCT side) = 2),
-met AS (
-  SELECT pair_id, k, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
-  FROM t JOIN pairs USING (pair_id) GROUP BY pair_id, k
-),
-common AS (SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS n_common FROM met GROUP BY pair_id),
 placed AS (
-  SELECT s.*, n_common, coalesce(sum(length(shown)) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM sized s JOIN common USING (pair_id)
+  SELECT *, coalesce(sum(length(c)) OVER w, 0) AS c_at, coalesce(sum(length(r)) OVER w, 0) AS r_at
+  FROM sized WINDOW w AS (PARTITION BY chosen_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
-SELECT pair_id,
-       min(conv_id) FILTER (side = 0) AS chosen_id,
-       min(conv_id) FILTER (side = 1) AS rejected_id,
-       CAST(any_value(n_common) AS BIGINT) AS n_common,
-       coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k <= n_common), '') AS prompt,
-       coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k > n_common), '') AS chosen,
-       coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 1 AND k > n_common), '') AS rejected,
-       coalesce(string_agg((pos + head) || ':' || (pos + length(shown)), ',' ORDER BY k) FILTER (side = 0 AND k > n_common AND role = 'assistant'), '') AS chosen_spans,
-       coalesce(string_agg((pos + head) || ':' || (pos + length(shown)), ',' ORDER BY k) FILTER (side = 1 AND k > n_common AND role = 'assistant'), '') AS rejected_spans
-FROM placed GROUP BY pair_id
+SELECT chosen_id AS pair_id, chosen_id, any_value(rejected_id) AS rejected_id, CAST(any_value(n_common) AS BIGINT) AS n_common,
+       coalesce(string_agg(c, '' ORDER BY k) FILTER (k <= n_common), '') AS prompt,
+       coalesce(string_agg(c, '' ORDER BY k) FILTER (k > n_common), '') AS chosen,
+       coalesce(string_agg(r, '' ORDER BY k) FILTER (k > n_common), '') AS rejected,
+       coalesce(string_agg((c_at + head) || ':' || (c_at + length(c)), ',' ORDER BY k) FILTER (k > n_common AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((r_at + head) || ':' || (r_at + length(r)), ',' ORDER BY k) FILTER (k > n_common AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY chosen_id
 """
 
 
