@@ -20,17 +20,21 @@ def claim_route(claim_type: Column, relation: Column, subject: Column, object_:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Each edge from both ends, with its direction."""
+    """Each edge from both ends, with its direction: the edges are read once and each row becomes two."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.select("src", "dst", *rest, F.lit("out").alias("direction")).union(edges.select(F.col("dst"), F.col("src"), *rest, F.lit("in")))
+    ways = F.array(F.struct("src", "dst", F.lit("out").alias("direction")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("in").alias("direction")))
+    return edges.select(F.explode(ways).alias("_w"), *rest).select("_w.src", "_w.dst", *rest, "_w.direction")
 
 
-def entity_context(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int) -> DataFrame:
-    """Up to ``limit`` neighbours of each name (of a node's name or id). The two ways to meet are two joins, not an OR."""
+def entity_context(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Up to ``limit`` neighbours of each name (of a node's name or id), with the edge columns ``more``.
+
+    The two ways to meet are two joins, not an OR.
+    """
     by_name = names.join(nodes, names["wanted"] == nodes["name"]).select("wanted", "id")
     by_id = names.join(nodes, names["wanted"] == nodes["id"]).select("wanted", "id")
     found = by_name.union(by_id).distinct()
-    near = found.join(undirected(edges), F.col("id") == F.col("src"), "left").select("wanted", "id", "rel_type", "direction", F.col("dst").alias("neighbour"))
+    near = found.join(undirected(edges), F.col("id") == F.col("src"), "left").select("wanted", "id", "rel_type", "direction", F.col("dst").alias("neighbour"), *more)
     w = Window.partitionBy("wanted").orderBy("id", "rel_type", "direction", "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -48,7 +52,27 @@ def duplicates(nodes: DataFrame) -> DataFrame:
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, n): the ends of edges at each node."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def context_text(context: DataFrame) -> DataFrame:
+    """``entity_context`` rows with edge types, evidence and names as lines: [type] 'name' --relation--> 'neighbour' (Evidence: ...)."""
+    q = lambda c: F.concat(F.lit("'"), F.coalesce(F.col(c), F.lit("")), F.lit("'"))
+    seen = F.when(F.coalesce("evidence", F.lit("")) != "", F.concat(F.lit(" (Evidence: "), F.left("evidence", F.lit(100)), F.lit("...)"))).otherwise("")
+    ends = F.when(F.col("direction") == "out", F.concat(q("wanted"), F.lit(" --"), "rel_type", F.lit("--> "), q("neighbour"))).otherwise(F.concat(q("neighbour"), F.lit(" --"), "rel_type", F.lit("--> "), q("wanted")))
+    kind = F.when(F.coalesce("is_ontology", F.lit(False)), "[ontology] ").otherwise("[instance] ")
+    return context.filter("rel_type is not null").select("wanted", "rank", F.concat(kind, ends, seen).alias("line"))
+
+
+def path_text(paths: DataFrame) -> DataFrame:
+    """Section, path_rank, the path in words, and its contexts joined by bars, of paths with hops (from, relation, to, context)."""
+    steps = F.aggregate("hops", F.lit(""), lambda s, h: F.concat(s, F.lit(" --["), h.relation, F.lit("]--> "), h.to))
+    return paths.select("section", "path_rank", F.concat(F.lit("Path: "), F.get("hops", F.lit(0))["from"], steps).alias("description"), F.array_join(F.transform("hops", lambda h: h.context), " | ").alias("context"))
 
 
 def isolated(nodes: DataFrame, edges: DataFrame, keep_concepts: bool = False) -> DataFrame:
@@ -58,7 +82,10 @@ def isolated(nodes: DataFrame, edges: DataFrame, keep_concepts: bool = False) ->
 
 
 def merge_entities(edges: DataFrame, same: DataFrame) -> DataFrame:
-    """Edges with each secondary node (same: secondary, primary) replaced; loops go, and so do repeated (src, type, dst)."""
+    """J17 on bare edges: each secondary node (same: secondary, primary) replaced; loops go, and so do repeated (src, type, dst).
+
+    ``store.merge_entities`` has the checks, the attributes and the nodes of G12.
+    """
     to = same.select(F.col("secondary").alias("_s"), F.col("primary").alias("_p"))
     for end in ("src", "dst"):
         edges = edges.join(to, F.col(end) == F.col("_s"), "left").withColumn(end, F.coalesce("_p", end)).drop("_s", "_p")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking as K
@@ -22,31 +20,12 @@ from ..sources import turtle as U
 from ..sources import writers as W
 from ..sources.papers import keywords
 from ..streaming import ingest as S
+from .registry import ORACLES, QUERIES, query, quoted as _quoted, table as _t  # noqa: F401  the two tables are the contract of this module
 from .testmap import CLAIMS, EDGES, NODES, claims, edges, nodes, view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 WITH_EDGES, WITH_NODES, WITH_CLAIMS = f"edges AS ({EDGES})", f"nodes AS ({NODES})", f"claims AS ({CLAIMS})"
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _t(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _quoted(xs) -> str:
-    return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
-
-
 # ---- graph
 
 PATHS_SQL = f"""WITH {WITH_EDGES}, p AS (
@@ -248,22 +227,6 @@ def vector_top1_resolve(spark, d):
 
 
 
-@query("SELECT p_brand AS name, count(DISTINCT p_type) AS n_batches, count(DISTINCT p_partkey) AS n_papers, round(avg(p_retailprice / 3000), 4) AS confidence, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS parents FROM part GROUP BY 1")
-def candidate_rollup(spark, d):
-    p = _t(spark, d, "part")
-    return p.groupBy(F.col("p_brand").alias("name")).agg(F.countDistinct("p_type").alias("n_batches"), F.countDistinct("p_partkey").alias("n_papers"), F.round(F.avg(F.col("p_retailprice") / 3000), 4).alias("confidence"), F.array_join(F.sort_array(F.collect_set("p_type")), "; ").alias("parents"))
-
-
-@query("SELECT coalesce(max(CAST(p_size AS BIGINT)), 1) AS version FROM part")
-def taxonomy_version(spark, d):
-    return _t(spark, d, "part").agg(F.coalesce(F.max(F.col("p_size").cast("long")), F.lit(1).cast("long")).alias("version"))
-
-
-@query("SELECT n_name AS subdomain, r_name AS parent FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
-def confirmed_with_parent(spark, d):
-    return _t(spark, d, "nation").join(_t(spark, d, "region").filter("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_name").alias("subdomain"), F.col("r_name").alias("parent"))
-
-
 _RULES = {"the": ("the", "thth"), "french": ("eau", "aux"), "german": ("sch", "ung"), "spanish": ("ción", "mente")}
 
 
@@ -665,3 +628,7 @@ def nested_sections(spark, d):
     c = _t(spark, d, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("role").alias("section"), F.col("turn").alias("ord"), F.col("turn").alias("chunk_id"), "text")
     turns = F.array_join(F.transform("chunks", lambda x: x.ord.cast("string")), ",")
     return W.nested_sections(c).select("paper_id", "section", "first", F.size("chunks").alias("n_chunks"), "content_length", turns.alias("turns"))
+
+
+# The other modules register theirs when they are imported.
+from . import file_queries, graph_queries, model_queries, text_queries  # noqa: E402, F401

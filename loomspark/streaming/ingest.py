@@ -24,11 +24,6 @@ def _stored(spark, path: str, before: int, schema) -> DataFrame:
     return t.filter(F.col("batch") < before).select(*schema.fieldNames())
 
 
-def gate(claims: DataFrame) -> DataFrame:
-    """Validated claims that no structural rule rejects."""
-    return claims.filter("status = 'validated'").filter(C.structural_verdict().isNull())
-
-
 def claims_to_graph(claims: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write a stream of claims to ``path``/edges (fingerprint, src, dst, rel_type, route, evidence) as far as it is there, then stop.
 
