@@ -1,16 +1,18 @@
-"""BPE encoding and decoding through tables of distinct words.
+"""BPE encoding and decoding through one table of distinct words.
 
 Words are the runs ``[^\\x20\\x09-\\x0D]+`` of a text. The vocabularies served here drop white space before merging and never
 merge across it, so the ids of a text are the ids of its words in order, special tokens included (they hold no white space).
 Null and empty texts, and texts of white space only, have no ids and decode to the empty text. Repeated rows give repeated
-results, an empty table an empty one. Very long texts and words are whole.
+results, an empty table an empty one; other columns don't matter. Very long texts and words are whole.
 
-Each task splits its documents into words, gathers those that its table doesn't hold yet, encodes each once, joins the ids with
-the id-to-piece table (its size is the vocabulary's), and joins ids and pieces back to the documents by position. A table that
-reaches ``TABLE_WORDS`` words or ``TABLE_BYTES`` is begun anew, so memory is bounded whatever the vocabulary of the corpus.
+1. *Split*: the engine splits each text into words. Each task numbers the words of a block of documents (up to ``BLOCK_BYTES`` of
+   text) by their frequency in the block, and writes the block's words once, and its documents as these numbers, packed.
+2. *Encode*: the words of all blocks meet, sorted, so that each distinct word is encoded once, whatever the number of blocks and
+   documents it stands in. Only words are shuffled, a row for each block that has the word.
+3. *Join*: the ids come back to each block by (block, number), where the documents' numbers are replaced by position.
+4. *Decode*: ids are joined with the id-to-piece table, whose size is the vocabulary's, word by word of a block, and placed likewise.
 
-One table for all tasks would encode fewer words, but distinct words grow nearly with the text here (1.5 million in 0.1 GB), and
-sending every task's words to that table and the ids back took 3.7 times the disk that the texts themselves take; see the README.
+A block is bounded, and so are its words; no group is larger than a block but a word's rows, which stream.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import WS, materialize, rows_of
 
-TABLE_WORDS = 800_000
-TABLE_BYTES = 96 << 20
-BATCH_BYTES = 4 << 20
+BLOCK_BYTES = 24 << 20
 
 
 @lru_cache(maxsize=2)
@@ -62,65 +64,120 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return joined.select(key, F.array_join(F.col("_p.piece"), " ").alias("decoded"))
 
 
-class WordTable:
-    """Distinct words with their ids (little-endian unsigned 32-bit) and their pieces joined by spaces."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.pieces_of = {i: p.encode() for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
-        self.bytes = 0
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of seven bits a byte, the last byte of each below 128; compressed, after the packed length."""
+    n = np.ascontiguousarray(numbers, np.uint32)
+    width = 1 + sum((n >= np.uint32(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
+    for k in range(5):
+        at = width > k
+        out[(ends - width)[at] + k] = (n[at] >> np.uint32(7 * k)) & 127 | np.where(width[at] > k + 1, 128, 0).astype(np.uint32)
+    raw = out.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    b = np.frombuffer(pa.Codec("zstd").decompress(data[8:], size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    last = np.flatnonzero(b < 128)
+    if not len(last):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(len(b)) - np.repeat(starts, last - starts + 1)
+    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
+
+
+_LOCAL_DDL = "block long, number int, word string, rids array<long>, doc_ids array<long>, sizes array<int>, packed binary"
+_LOCAL = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()), ("rids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: a row for each distinct word, and one with the documents as numbers of words."""
+    made = TaskContext.get().partitionId() << 24
+
+    def block(docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        nonlocal made
+        words = docs.column("words").combine_chunks()
+        words = words if isinstance(words, pa.ListArray) else pa.concat_arrays(words.chunks)
+        flat = words.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy()
+        often = np.argsort(-np.bincount(codes, minlength=len(flat.dictionary)), kind="stable")
+        number = np.empty(len(often), np.int64)
+        number[often] = np.arange(len(often))
+        n = len(often)
+        none = lambda t: pa.nulls(n, t)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, made)), pa.array(np.arange(n, dtype=np.int32)), flat.dictionary.take(pa.array(often)).cast(pa.string()), *(none(f.type) for f in list(_LOCAL)[3:])], schema=_LOCAL)
+        sizes = np.diff(words.offsets.to_numpy()).astype(np.int32)
+        lists = [docs.column("_rid").to_pylist(), docs.column("doc_id").to_pylist(), sizes.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([made]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), *(pa.array([x], f.type) for x, f in zip(lists, list(_LOCAL)[3:])), pa.array([pack(number[codes])], pa.binary())], schema=_LOCAL)
+        made += 1
+
+    held, size = [], 0
+    for b in batches:
+        step = max(1, int(b.num_rows * BLOCK_BYTES / max(b.nbytes, 1)))
+        for k in range(0, b.num_rows, step):
+            part = b.slice(k, step)
+            held.append(part)
+            size += part.get_total_buffer_size() if step == 1 else b.nbytes * part.num_rows // b.num_rows
+            if size > BLOCK_BYTES:
+                yield from block(pa.Table.from_batches(held))
+                held, size = [], 0
+    if held:
+        yield from block(pa.Table.from_batches(held))
+
+
+_IDS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("ids", pa.binary())])
+
+
+def _encode(blob):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids (little-endian unsigned 32-bit) of words that come sorted; each distinct word is encoded once."""
+        tokenizer, last, last_ids = load_tokenizer(blob.value), None, b""
+        for b in batches:
+            words = b.column(2).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            new = [w for w in distinct if w != last]
+            ids = {last: last_ids}
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
+                ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            if distinct:
+                last = distinct[-1]
+                last_ids = ids[last]
+            values = pa.array([ids[w] for w in distinct], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), values.take(words.indices)], schema=_IDS)
 
-    def learn(self, words: list[list[bytes]]) -> None:
-        """Encode the words that aren't known yet, each once."""
-        new = list(set().union(*words).difference(self.ids))
-        if len(self.ids) + len(new) > TABLE_WORDS or self.bytes > TABLE_BYTES:
-            self.clear()
-            new = list(set().union(*words))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[w] = ids = array("I", e.ids).tobytes()
-                self.pieces[w] = pieces = b" ".join(map(self.pieces_of.__getitem__, e.ids))
-                self.bytes += len(w) + len(ids) + len(pieces)
+    return run
 
 
 _DOCS = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _DIGESTS = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _encode(blob, digests: bool):
+def _place(pieces, digests: bool):
     schema = _DIGESTS if digests else _DOCS
 
-    def results(table: WordTable, docs: list[tuple]) -> pa.RecordBatch:
-        table.learn([words for _, _, words in docs])
+    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
+        """The documents of a block: numbers replaced by ids and by pieces, by position."""
+        piece_of = pieces.value
+        ids: list[bytes] = [b""] * words.num_rows
+        for n, x in zip(words.column("number").to_pylist(), words.column("ids").to_pylist()):
+            ids[n] = x
+        texts = [b" ".join(map(piece_of.__getitem__, array("I", x))) for x in ids]
         out = []
-        for rid, doc_id, words in docs:
-            ids = b"".join(map(table.ids.__getitem__, words))
-            text = b" ".join(filter(None, map(table.pieces.__getitem__, words)))
-            if digests:
-                out.append((rid, doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
-            else:
-                out.append((rid, doc_id, len(ids) // 4, array("i", ids), text.decode()))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(load_tokenizer(blob.value))
-        for b in batches:
-            docs, size = [], 0
-            for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-                text = text.as_py()
-                docs.append((rid, doc_id, text.split()))
-                size += len(text)
-                if size > BATCH_BYTES:
-                    yield results(table, docs)
-                    docs, size = [], 0
-            if docs:
-                yield results(table, docs)
+        for rids, doc_ids, sizes, packed in zip(*(docs.column(c).to_pylist() for c in ("rids", "doc_ids", "sizes", "packed"))):
+            numbers, at = unpack(packed), 0
+            for rid, doc_id, size in zip(rids, doc_ids, sizes):
+                mine = numbers[at : at + size].tolist()
+                at += size
+                x = b"".join(map(ids.__getitem__, mine))
+                text = b" ".join(filter(None, map(texts.__getitem__, mine)))
+                if digests:
+                    out.append((rid, doc_id, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(text).hexdigest()))
+                else:
+                    out.append((rid, doc_id, len(x) // 4, array("i", x), text.decode()))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
     return run
 
@@ -130,6 +187,14 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
     """
-    blob = docs.sparkSession.sparkContext.broadcast(Path(path).read_text())  # the vocabulary file, a few MB; executors need no copy
+    sc = docs.sparkSession.sparkContext
+    text = Path(path).read_text()
+    blob = sc.broadcast(text)  # the vocabulary file, a few MB; executors need no copy
+    pieces = sc.broadcast({i: p.encode() for p, i in load_tokenizer(text).get_vocab(with_added_tokens=True).items()})  # the id-to-piece table
+    words = rows_of(docs).select("_rid", "doc_id", F.split("text", f"[{WS}]+").alias("words"))
+    local = materialize(words.mapInArrow(_number, _LOCAL_DDL), "bpe-words")
+    distinct = local.filter("word is not null").select("block", "number", "word").repartition("word").sortWithinPartitions("word")
+    ids = distinct.mapInArrow(_encode(blob), "block long, number int, ids binary")
+    blocks = local.filter("word is null").select("block", "rids", "doc_ids", "sizes", "packed")
     ddl = "_rid long, doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return rows_of(docs).mapInArrow(_encode(blob, digests), ddl)
+    return ids.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_place(pieces, digests), ddl)

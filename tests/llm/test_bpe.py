@@ -1,6 +1,7 @@
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -30,7 +31,7 @@ def brute(text):
 
 
 def test_same_as_library_on_edge_cases(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "TABLE_WORDS", 5)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
     docs = spark.createDataFrame([(i, t, "x", "clash") for i, t in CASES], "doc_id long, text string, word string, block string").coalesce(2)
     got = bpe.encode_decode(docs, vocabulary(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *brute(t))) for i, t in CASES)
@@ -53,3 +54,32 @@ def test_decode_by_join(spark):
     got = bpe.encode_decode(docs, vocabulary())
     joined = {r.doc_id: r.decoded for r in bpe.decode(got, vocabulary()).collect()}
     assert joined == {r.doc_id: r.decoded for r in got.collect()}
+
+
+def test_packed_numbers():
+    for n in ([], [0], [127, 128, 0, 16383, 16384, 2**21, 2**28 - 1, 2**28, 2**32 - 1, 5]):
+        assert bpe.unpack(bpe.pack(np.array(n, np.uint32))).tolist() == n
+
+
+def test_each_distinct_word_once(spark, monkeypatch):
+    """Words in many blocks and documents reach the tokenizer once."""
+    docs = spark.createDataFrame([(i, "a b a c" + " w" * (i % 5)) for i in range(500)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 500)
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def __init__(self, t):
+            self.t = t
+
+        def encode_batch_fast(self, words, **kw):
+            seen.add(len(words))
+            return self.t.encode_batch_fast(words, **kw)
+
+    real = bpe.load_tokenizer
+    run = bpe._encode(spark.sparkContext.broadcast(open(vocabulary()).read()))
+    monkeypatch.setattr(bpe, "load_tokenizer", lambda blob: Counting(real(blob)))
+    words = docs.selectExpr("doc_id as block", "cast(0 as int) as number", "explode(split(text, ' ')) as word").sort("word").toArrow().to_batches(max_chunksize=7)
+    list(run(iter(words)))
+    assert seen.value == 4
+    monkeypatch.setattr(bpe, "load_tokenizer", real)
+    assert bpe.encode_decode(docs, vocabulary()).count() == 500
