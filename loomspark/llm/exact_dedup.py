@@ -4,14 +4,16 @@ Two texts are equal when they are identical once the characters ``[\\x20\\x09-\\
 empty texts are equal to each other. Of equal texts the row with the most code points stays, then the smallest doc_id
 (null last); of identical repeated rows exactly one stays. An empty table gives an empty result.
 
-1. *Local pass* (one scan, no shuffle): each task folds the copies that it sees itself into local representatives with an
-   open-addressing table that compares whole contents. The table is flushed when its contents exceed a byte limit, and a
-   representative that has gathered ``MAX_MEMBERS`` copies is closed and a new one opened. So a text with any number of
-   copies, a third of the table even, leaves each task as a few rows, and no join key has more than ``MAX_MEMBERS`` rows.
-2. *Grace pass*: representatives are dealt by their hash. Each task partitions what it gets into spill files by further
+1. *Local pass* (one scan, no shuffle): each task folds the copies that it sees itself into a local head with an open-addressing
+   table that compares whole contents. The table is flushed when its contents exceed a byte limit. A head carries the
+   content, once for each task and distinct text; after ``MAX_MEMBERS`` copies further ones go to representatives of the head, which
+   are ids only, so no join key has more than ``MAX_MEMBERS`` rows of members.
+2. *Folding*: where more than ``HOT`` heads share a hash, they are dealt in parts of about ``HOT`` and each part becomes one head, so that
+   a text of any number of tasks, a third of the table even, comes to no single task as more contents than that.
+3. *Grace pass*: heads are dealt by their hash. Each task partitions what it gets into spill files by further
    bits of the hash, recursively, until a bucket fits the memory limit, and resolves the bucket with the same table.
    The files live as long as the task, like Spark's own spill, so a lost executor only means that its tasks run again.
-3. The group of each representative is joined to its members.
+4. The group of each head is joined back to folded heads, representatives and members.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from .common import materialize, rows_of
 _SPACES = b" \t\n\x0b\x0c\r"
 TABLE_BYTES = 48 << 20
 MAX_MEMBERS = 512
+HOT = 1024
 _FAN_BITS = 4
 _MAX_DEPTH = 12
 
@@ -86,10 +89,24 @@ def _better(new: tuple, old: tuple) -> bool:
 
 
 _LOCAL = pa.schema(
-    [("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("text_sha256", pa.string()),
+    [("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("head", pa.int64()), ("text_sha256", pa.string()),
      ("best_cp", pa.int64()), ("best_id", pa.int64()), ("best_rid", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("content", pa.binary())]
 )
-_LOCAL_DDL = "kind int, rid long, doc_id long, rep long, text_sha256 string, best_cp long, best_id long, best_rid long, n long, h long, content binary"
+_LOCAL_DDL = "kind int, rid long, doc_id long, rep long, head long, text_sha256 string, best_cp long, best_id long, best_rid long, n long, h long, content binary"
+_MEMBER, _REP, _HEAD = 0, 1, 2
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, content: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size; ``content`` is the position of a large column."""
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += 64 + len(r[content] or b"") if content is not None else 64
+        if size > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
 
 def _local_pass(table_bytes: int, max_members: int):
@@ -97,48 +114,43 @@ def _local_pass(table_bytes: int, max_members: int):
         base, made = TaskContext.get().partitionId() << 40, 0
         table = ContentTable()
 
-        def reps(t: ContentTable) -> Iterator[pa.RecordBatch]:
-            out, size = [], 0
-            for h, c, d in zip(t.hashes, t.contents, t.data):
-                for rep, (cp, i, rid), n in d[2]:
-                    out.append((1, None, None, rep, None, cp, i, rid, n, h - (1 << 63), c))
-                    size += len(c)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _LOCAL)], schema=_LOCAL)
-                        out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _LOCAL)], schema=_LOCAL)
+        def heads(t: ContentTable) -> Iterator[tuple]:
+            for h, c, (_, best, n, reps, _) in zip(t.hashes, t.contents, t.data):
+                yield (_HEAD, None, None, None, reps[0], None, *best, n, h - (1 << 63), c)
+                for rep in reps[1:]:
+                    yield (_REP, None, None, rep, reps[0], *[None] * 7)
 
         for b in batches:
             members = []
             for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 content = text.encode("utf-8", "surrogatepass").translate(None, _SPACES)
-                h = xxhash.xxh3_64_intdigest(content)
-                e, new = table.find(h, content)
+                e, new = table.find(xxhash.xxh3_64_intdigest(content), content)
                 d = table.data[e]
-                if new:
-                    d.extend((hashlib.sha256(content).hexdigest(), None, []))
                 best = (len(text), _NO_ID if doc_id is None else doc_id, rid)
-                if not d[2] or d[2][-1][2] >= max_members:  # closed: the next copies go to a new representative
-                    d[2].append([base + made, best, 0])
+                if new:  # digest, best row, rows, the head and its representatives, rows of the last one
+                    d.extend((hashlib.sha256(content).hexdigest(), best, 0, [], max_members))
+                if d[4] >= max_members:
+                    d[3].append(base + made)
+                    d[4] = 0
                     made += 1
-                r = d[2][-1]
-                r[2] += 1
-                if _better(best, r[1]):
-                    r[1] = best
-                members.append((0, rid, doc_id, r[0], d[0], None, None, None, None, None, None))
+                d[2] += 1
+                d[4] += 1
+                if _better(best, d[1]):
+                    d[1] = best
+                members.append((_MEMBER, rid, doc_id, d[3][-1], None, d[0], *[None] * 6))
                 if table.bytes > table_bytes:
-                    yield from reps(table)
+                    yield from _batches(heads(table), _LOCAL, 11)
                     table = ContentTable()
-            if members:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*members), _LOCAL)], schema=_LOCAL)
-        yield from reps(table)
+            yield from _batches(iter(members), _LOCAL)
+        yield from _batches(heads(table), _LOCAL, 11)
 
     return run
 
 
-_GROUPS = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_rid", pa.int64()), ("group_size", pa.int64())])
-_GROUPS_DDL = "rep long, keep_id long, keep_rid long, group_size long"
+_GROUPS = pa.schema([("head", pa.int64()), ("keep_id", pa.int64()), ("keep_rid", pa.int64()), ("group_size", pa.int64())])
+_GROUPS_DDL = "head long, keep_id long, keep_rid long, group_size long"
+_FOLDED = pa.schema([("part", pa.int64()), *(_LOCAL.field(c) for c in ("head", "best_cp", "best_id", "best_rid", "n", "h", "content"))])
+_FOLDED_DDL = "part long, head long, best_cp long, best_id long, best_rid long, n long, h long, content binary"
 _REC = struct.Struct("<QqqqqqI")
 
 
@@ -178,7 +190,7 @@ class _Bucket:
 
 
 def _resolve(bucket: _Bucket, depth: int) -> Iterator[tuple]:
-    """(rep, best id, best row, group size) of each record; a bucket over its limit is partitioned by the next bits first.
+    """(hash, content, best row, group size, heads) of each text; a bucket over its limit is partitioned by the next bits first.
 
     A bucket whose records share all partitioning bits can't be split further; it then holds copies of few contents,
     which the table stores once.
@@ -192,7 +204,7 @@ def _resolve(bucket: _Bucket, depth: int) -> Iterator[tuple]:
             yield from _resolve(p, depth + 1)
         return
     table = ContentTable()
-    for h, rep, cp, i, rid, n, content in bucket.records():
+    for h, head, cp, i, rid, n, content in bucket.records():
         e, new = table.find(h, content)
         d = table.data[e]
         if new:
@@ -200,40 +212,62 @@ def _resolve(bucket: _Bucket, depth: int) -> Iterator[tuple]:
         elif _better((cp, i, rid), d[0]):
             d[0] = (cp, i, rid)
         d[1] += n
-        d[2].append(rep)
-    for (_, i, rid), n, reps in table.data:
-        for rep in reps:
-            yield rep, None if i == _NO_ID else i, rid, n
+        d[2].append(head)
+    for h, content, d in zip(table.hashes, table.contents, table.data):
+        yield h, content, *d
+
+
+def _grace_pass(limit: int, fold: bool):
+    """Heads (head, best_cp, best_id, best_rid, n, h, content) to their groups; folding gives a head for each text, and whose part each head is."""
+
+    def groups(found: Iterator[tuple]) -> Iterator[tuple]:
+        for _, _, (_, i, rid), n, heads in found:
+            for head in heads:
+                yield head, None if i == _NO_ID else i, rid, n
 
+    def parts(found: Iterator[tuple]) -> Iterator[tuple]:
+        for h, content, best, n, heads in found:
+            yield (None, heads[0], *best, n, h - (1 << 63), content)
+            for part in heads[1:]:
+                yield (part, heads[0], *[None] * 6)
 
-def _grace_pass(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="grace-")
         try:
             whole = _Bucket(folder, limit)
             for b in batches:
-                for rep, cp, i, rid, n, h, content in zip(*(c.to_pylist() for c in b.columns)):
-                    whole.add((h + (1 << 63), rep, cp, i, rid, n, content))
-            out = []
-            for row in _resolve(whole, 0):
-                out.append(row)
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _GROUPS)], schema=_GROUPS)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _GROUPS)], schema=_GROUPS)
+                for head, cp, i, rid, n, h, content in zip(*(c.to_pylist() for c in b.columns)):
+                    whole.add((h + (1 << 63), head, cp, i, rid, n, content))
+            found = _resolve(whole, 0)
+            yield from _batches(parts(found), _FOLDED, 7) if fold else _batches(groups(found), _GROUPS)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
     return run
 
 
-def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES, max_members: int = MAX_MEMBERS) -> DataFrame:
+def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES, max_members: int = MAX_MEMBERS, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: _rid, doc_id, keep_id, group_size, kept, text_sha256."""
     local = materialize(rows_of(docs).mapInArrow(_local_pass(table_bytes, max_members), _LOCAL_DDL), "exact-local")
-    reps = local.filter("kind = 1").select("rep", "best_cp", "best_id", "best_rid", "n", "h", "content")
-    groups = reps.repartition("h").mapInArrow(_grace_pass(table_bytes), _GROUPS_DDL)
-    members = local.filter("kind = 0").select("rid", "doc_id", "rep", "text_sha256")
-    return members.join(groups, "rep").select(
+    row = ("head", "best_cp", "best_id", "best_rid", "n", "h", "content")
+    heads = local.filter(F.col("kind") == _HEAD).select(*row)
+    often = materialize(heads.groupBy("h").agg(F.count("*").alias("_heads")).filter(F.col("_heads") > hot), "exact-often")
+    folded = None
+    if not often.isEmpty():
+        part = F.pmod(F.xxhash64("head"), F.ceil(F.col("_heads") / hot))
+        dealt = heads.join(often, "h").repartition("h", part).select(*row)
+        folded = materialize(dealt.mapInArrow(_grace_pass(table_bytes, True), _FOLDED_DDL), "exact-folded")
+        heads = heads.join(often, "h", "left_anti").select(*row).union(folded.filter("part is null").select(*row))
+    groups = heads.repartition("h").mapInArrow(_grace_pass(table_bytes, False), _GROUPS_DDL)
+    if folded is not None:
+        groups = materialize(groups, "exact-groups")
+        groups = groups.union(folded.filter("part is not null").select("part", "head").join(groups, "head").select(F.col("part").alias("head"), "keep_id", "keep_rid", "group_size"))
+    members = local.filter(F.col("kind") == _MEMBER).select("rid", "doc_id", "rep", "text_sha256")
+    # A representative stands for its head; the first of a head is the head itself.
+    reps = local.filter(F.col("kind") == _REP).select("rep", "head")
+    if not reps.isEmpty():
+        groups = materialize(groups, "exact-groups")
+        groups = groups.union(reps.join(groups, "head").select("rep", "keep_id", "keep_rid", "group_size"))
+    return members.join(groups.withColumnRenamed("head", "rep"), "rep").select(
         F.col("rid").alias("_rid"), "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"
     )

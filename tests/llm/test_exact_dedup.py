@@ -34,6 +34,7 @@ def test_cases(spark):
 def test_spill_and_hot_group(spark):
     rows = [(i, "same text " * 50) for i in range(300)] + [(1000 + i, f"text {i % 150} " * 40) for i in range(400)]
     check(spark, rows, table_bytes=4000, max_members=7)
+    check(spark, rows + [(None, " same" + " text same" * 49 + " text")] * 3, parts=9, table_bytes=4000, max_members=7, hot=3)  # heads are folded
 
 
 def test_empty(spark):
