@@ -6,19 +6,22 @@ Null and empty texts, and texts of white space only, have no ids and decode to t
 results, an empty table an empty one; other columns don't matter. Very long texts and words are whole.
 
 1. *Split*: the engine splits each text into words. Each task numbers the words of a block of documents (up to ``BLOCK_BYTES`` of
-   text) by their frequency in the block, and writes the block's words once, and its documents as these numbers, packed.
-2. *Encode*: the words of all blocks meet, sorted, so that each distinct word is encoded once, whatever the number of blocks and
-   documents it stands in. Only words are shuffled, a row for each block that has the word.
-3. *Join*: the ids come back to each block by (block, number), where the documents' numbers are replaced by position.
+   text), frequent ones first, and writes the block's documents as these numbers, packed, and its distinct words once, packed by
+   parts of the hash of a word.
+2. *Encode*: the words of all blocks meet by part, and each distinct word of a part is encoded once, whatever the number of blocks and
+   documents it stands in. The number of parts grows with the input, so a part's table stays small; one that reaches ``TABLE_WORDS`` is begun anew.
+3. *Join*: the ids come back to each block, where the documents' numbers are replaced by position.
 4. *Decode*: ids are joined with the id-to-piece table, whose size is the vocabulary's, word by word of a block, and placed likewise.
 
-A block is bounded, and so are its words; no group is larger than a block but a word's rows, which stream.
+A block is bounded, and so are its words; a word that stands everywhere is one word of each block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,9 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, rows_of
+from .common import WS, files_of, materialize, rows_of
 
 BLOCK_BYTES = 24 << 20
+PART_BYTES = 32 << 20
+TABLE_WORDS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -64,8 +69,17 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return joined.select(key, F.array_join(F.col("_p.piece"), " ").alias("decoded"))
 
 
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def loosen(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], size, asbytes=True) if size else b""
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers of seven bits a byte, the last byte of each below 128; compressed, after the packed length."""
+    """Numbers of seven bits a byte, the last byte of each below 128; compressed."""
     n = np.ascontiguousarray(numbers, np.uint32)
     width = 1 + sum((n >= np.uint32(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
     ends = np.cumsum(width)
@@ -73,13 +87,11 @@ def pack(numbers: np.ndarray) -> bytes:
     for k in range(5):
         at = width > k
         out[(ends - width)[at] + k] = (n[at] >> np.uint32(7 * k)) & 127 | np.where(width[at] > k + 1, 128, 0).astype(np.uint32)
-    raw = out.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    return squeeze(out.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    b = np.frombuffer(pa.Codec("zstd").decompress(data[8:], size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    b = np.frombuffer(loosen(data), np.uint8)
     last = np.flatnonzero(b < 128)
     if not len(last):
         return np.zeros(0, np.int64)
@@ -88,65 +100,72 @@ def unpack(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
 
 
-_LOCAL_DDL = "block long, number int, word string, rids array<long>, doc_ids array<long>, sizes array<int>, packed binary"
-_LOCAL = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.string()), ("rids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
+_LOCAL_DDL = "block long, part int, packed binary, rids array<long>, doc_ids array<long>, sizes array<int>"
+_LOCAL = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("packed", pa.binary()), ("rids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: a row for each distinct word, and one with the documents as numbers of words."""
-    made = TaskContext.get().partitionId() << 24
+def _number(parts: int):
+    """Blocks of documents: a row for the distinct words of each part (lines), and one with the documents as numbers of words.
+
+    The r-th word of part p has the number ``r * parts + p``; frequent words have small ones.
+    """
 
-    def block(docs: pa.Table) -> Iterator[pa.RecordBatch]:
-        nonlocal made
+    def rows(made: int, docs: pa.Table) -> Iterator[tuple]:
         words = docs.column("words").combine_chunks()
         words = words if isinstance(words, pa.ListArray) else pa.concat_arrays(words.chunks)
         flat = words.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy()
-        often = np.argsort(-np.bincount(codes, minlength=len(flat.dictionary)), kind="stable")
-        number = np.empty(len(often), np.int64)
-        number[often] = np.arange(len(often))
-        n = len(often)
-        none = lambda t: pa.nulls(n, t)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, made)), pa.array(np.arange(n, dtype=np.int32)), flat.dictionary.take(pa.array(often)).cast(pa.string()), *(none(f.type) for f in list(_LOCAL)[3:])], schema=_LOCAL)
-        sizes = np.diff(words.offsets.to_numpy()).astype(np.int32)
-        lists = [docs.column("_rid").to_pylist(), docs.column("doc_id").to_pylist(), sizes.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([made]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), *(pa.array([x], f.type) for x, f in zip(lists, list(_LOCAL)[3:])), pa.array([pack(number[codes])], pa.binary())], schema=_LOCAL)
-        made += 1
-
-    held, size = [], 0
-    for b in batches:
-        step = max(1, int(b.num_rows * BLOCK_BYTES / max(b.nbytes, 1)))
-        for k in range(0, b.num_rows, step):
-            part = b.slice(k, step)
-            held.append(part)
-            size += part.get_total_buffer_size() if step == 1 else b.nbytes * part.num_rows // b.num_rows
-            if size > BLOCK_BYTES:
-                yield from block(pa.Table.from_batches(held))
-                held, size = [], 0
-    if held:
-        yield from block(pa.Table.from_batches(held))
-
-
-_IDS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("ids", pa.binary())])
+        codes, distinct = flat.indices.to_numpy(), flat.dictionary.cast(pa.binary()).to_pylist()
+        often = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+        part = np.fromiter(map(zlib.crc32, distinct), np.uint32, len(distinct)) % np.uint32(parts)
+        order = often[np.argsort(part[often], kind="stable")]  # by part, then by frequency
+        ends = np.cumsum(np.bincount(part, minlength=parts))
+        number = np.empty(len(distinct), np.int64)
+        number[order] = (np.arange(len(order)) - (ends - np.diff(ends, prepend=0))[part[order]]) * parts + part[order]
+        placed = [distinct[k] for k in order.tolist()]
+        for p, (x, y) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+            if y > x:
+                yield made, p, squeeze(b"\n".join(placed[x:y]) + b"\n"), None, None, None  # no word holds a line end
+        sizes = np.diff(words.offsets.to_numpy()).tolist()
+        yield made, None, pack(number[codes]), docs.column("_rid").to_pylist(), docs.column("doc_id").to_pylist(), sizes
+
+    def block(made: int, docs: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows(made, docs)), _LOCAL)], schema=_LOCAL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for b in batches:
+            step = max(1, int(b.num_rows * BLOCK_BYTES / max(b.nbytes, 1)))
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                held.append(part)
+                size += b.nbytes * part.num_rows // b.num_rows
+                if size > BLOCK_BYTES:
+                    yield block(made, pa.Table.from_batches(held))
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield block(made, pa.Table.from_batches(held))
+
+    return run
+
+
+_IDS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("lens", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode(blob):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids (little-endian unsigned 32-bit) of words that come sorted; each distinct word is encoded once."""
-        tokenizer, last, last_ids = load_tokenizer(blob.value), None, b""
+        """The ids of the words of parts, in their order; each distinct word is encoded once."""
+        tokenizer, known = load_tokenizer(blob.value), {}
         for b in batches:
-            words = b.column(2).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            new = [w for w in distinct if w != last]
-            ids = {last: last_ids}
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                ids.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-            if distinct:
-                last = distinct[-1]
-                last_ids = ids[last]
-            values = pa.array([ids[w] for w in distinct], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), values.take(words.indices)], schema=_IDS)
+            for one, part, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words = loosen(packed).split(b"\n")[:-1]
+                new = [w for w in words if w not in known]
+                if len(known) + len(new) > TABLE_WORDS:
+                    known, new = {}, words
+                for k in range(0, len(new), 20_000):
+                    known.update(zip(new[k : k + 20_000], (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new[k : k + 20_000]], add_special_tokens=False))))
+                ids = [known[w] for w in words]
+                lens = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([part], pa.int32()), pa.array([pack(lens)]), pa.array([pack(np.frombuffer(b"".join(ids), np.uint32))])], schema=_IDS)
 
     return run
 
@@ -155,16 +174,18 @@ _DOCS = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa
 _DIGESTS = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _place(pieces, digests: bool):
+def _place(pieces, parts: int, digests: bool):
     schema = _DIGESTS if digests else _DOCS
 
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
         """The documents of a block: numbers replaced by ids and by pieces, by position."""
-        piece_of = pieces.value
-        ids: list[bytes] = [b""] * words.num_rows
-        for n, x in zip(words.column("number").to_pylist(), words.column("ids").to_pylist()):
-            ids[n] = x
-        texts = [b" ".join(map(piece_of.__getitem__, array("I", x))) for x in ids]
+        piece_of, ids, texts = pieces.value, {}, {}
+        for part, lens, packed in zip(*(words.column(c).to_pylist() for c in ("part", "lens", "ids"))):
+            x, at = unpack(packed).astype(np.uint32).tobytes(), 0
+            for r, n in enumerate(unpack(lens).tolist()):
+                ids[r * parts + part] = one = x[at : at + 4 * n]
+                texts[r * parts + part] = b" ".join(map(piece_of.__getitem__, array("I", one)))
+                at += 4 * n
         out = []
         for rids, doc_ids, sizes, packed in zip(*(docs.column(c).to_pylist() for c in ("rids", "doc_ids", "sizes", "packed"))):
             numbers, at = unpack(packed), 0
@@ -182,19 +203,27 @@ def _place(pieces, digests: bool):
     return run
 
 
+def n_parts(docs: DataFrame) -> int:
+    """Parts of words by the size of the files, or as many as shuffles have for other frames."""
+    if files_of(docs):
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return max(8, min(1 << 16, math.ceil(size / PART_BYTES)))
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """_rid, doc_id, n_tokens and ids (array<int>) with the decoded text, or their SHA-256 digests.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
     """
-    sc = docs.sparkSession.sparkContext
+    sc, parts = docs.sparkSession.sparkContext, n_parts(docs)
     text = Path(path).read_text()
     blob = sc.broadcast(text)  # the vocabulary file, a few MB; executors need no copy
     pieces = sc.broadcast({i: p.encode() for p, i in load_tokenizer(text).get_vocab(with_added_tokens=True).items()})  # the id-to-piece table
     words = rows_of(docs).select("_rid", "doc_id", F.split("text", f"[{WS}]+").alias("words"))
-    local = materialize(words.mapInArrow(_number, _LOCAL_DDL), "bpe-words")
-    distinct = local.filter("word is not null").select("block", "number", "word").repartition("word").sortWithinPartitions("word")
-    ids = distinct.mapInArrow(_encode(blob), "block long, number int, ids binary")
-    blocks = local.filter("word is null").select("block", "rids", "doc_ids", "sizes", "packed")
+    local = materialize(words.mapInArrow(_number(parts), _LOCAL_DDL), "bpe-words")
+    distinct = local.filter("part is not null").select("block", "part", "packed").repartition(parts, "part")
+    ids = distinct.mapInArrow(_encode(blob), "block long, part int, lens binary, ids binary")
+    blocks = local.filter("part is null").select("block", "rids", "doc_ids", "sizes", "packed")
     ddl = "_rid long, doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return ids.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_place(pieces, digests), ddl)
+    return ids.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_place(pieces, parts, digests), ddl)

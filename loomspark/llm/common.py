@@ -102,7 +102,7 @@ def _file_seed(files: list[str]) -> int | None:
     return None
 
 
-def _files(docs: DataFrame) -> list[str]:
+def files_of(docs: DataFrame) -> list[str]:
     """The Parquet files whose rows are those of ``docs``, none of them twice: a relation below projections and filters only; else none."""
     plan = docs._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
@@ -124,7 +124,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     reading by partition would not do: Spark sizes splits by the cores there are just then, so rows can move.
     """
     rest = [F.col(c) for c in docs.columns if c != "_rid"]
-    seed = _file_seed(files) if (files := _files(docs)) else None
+    seed = _file_seed(files) if (files := files_of(docs)) else None
     if seed is None:
         return materialize(docs.select(*rest, F.monotonically_increasing_id().alias("_rid", metadata=_ROW)), "numbered")
     meta = docs.metadataColumn("_metadata")

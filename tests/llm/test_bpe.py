@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from loomspark.llm import bpe
@@ -78,8 +79,11 @@ def test_each_distinct_word_once(spark, monkeypatch):
     real = bpe.load_tokenizer
     run = bpe._encode(spark.sparkContext.broadcast(open(vocabulary()).read()))
     monkeypatch.setattr(bpe, "load_tokenizer", lambda blob: Counting(real(blob)))
-    words = docs.selectExpr("doc_id as block", "cast(0 as int) as number", "explode(split(text, ' ')) as word").sort("word").toArrow().to_batches(max_chunksize=7)
-    list(run(iter(words)))
+    packed = [[k, 0, bpe.squeeze(b"".join(w + b"\n" for w in ws))] for k, ws in enumerate([(b"a", b"b"), (b"b", b"c", b""), (b"c", b"a")])]
+    got = [b for r in packed for b in run(iter([pa.RecordBatch.from_arrays([pa.array([x]) for x in r], names=["block", "part", "packed"])]))]
+    assert [len(bpe.unpack(b.column(2)[0].as_py())) for b in got] == [2, 3, 2]
+    seen.value = 0
+    list(run(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*packed)], names=["block", "part", "packed"])])))
     assert seen.value == 4
     monkeypatch.setattr(bpe, "load_tokenizer", real)
     assert bpe.encode_decode(docs, vocabulary()).count() == 500

@@ -139,9 +139,9 @@ def test_row_numbers(spark, tmp_path):
     t = spark.read.parquet(f"{tmp_path}/a b+%/t").filter("id > 3").select("id", F.lit(1).alias("_rid"))
     n = common.numbered(t)
     assert common.has_rid(n) and not common.has_rid(t) and n.select("_rid").distinct().count() == 1_996
-    files = common._files(t)
+    files = common.files_of(t)
     assert len(files) == 7 and {r[0] for r in t.select("_metadata.file_path").distinct().collect()} == set(files)
-    assert common._files(t.union(t)) == common._files(t.limit(3)) == common._files(t.select(F.explode(F.array("id", "id")))) == []
+    assert common.files_of(t.union(t)) == common.files_of(t.limit(3)) == common.files_of(t.select(F.explode(F.array("id", "id")))) == []
     assert common.numbered(t.union(t)).select("_rid").distinct().count() == 2 * 1_996
     start = xxhash.xxh64_intdigest(struct.pack("<q", 5), seed=42)
     assert spark.range(1).select(F.xxhash64(F.lit(5).cast("long"), F.lit("é/x"))).first()[0] % 2**64 == xxhash.xxh64_intdigest("é/x".encode(), seed=start)
