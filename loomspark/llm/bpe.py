@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WS, files_of, materialize, rows_of
 
 BLOCK_BYTES = 24 << 20
-PART_BYTES = 32 << 20
+PART_BYTES = 12 << 20
 TABLE_WORDS = 1_000_000
 
 
@@ -69,8 +69,8 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     return joined.select(key, F.array_join(F.col("_p.piece"), " ").alias("decoded"))
 
 
-def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+def squeeze(raw: bytes, level: int = 1) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def loosen(data: bytes) -> bytes:
@@ -79,25 +79,25 @@ def loosen(data: bytes) -> bytes:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers of seven bits a byte, the last byte of each below 128; compressed."""
-    n = np.ascontiguousarray(numbers, np.uint32)
-    width = 1 + sum((n >= np.uint32(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
-    ends = np.cumsum(width)
-    out = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
-    for k in range(5):
-        at = width > k
-        out[(ends - width)[at] + k] = (n[at] >> np.uint32(7 * k)) & 127 | np.where(width[at] > k + 1, 128, 0).astype(np.uint32)
-    return squeeze(out.tobytes())
+    """Numbers of seven bits a byte, 128 added where more follow: the first bytes of all, then the second ones, and so on; compressed."""
+    n, planes = np.ascontiguousarray(numbers, np.uint32), [len(numbers).to_bytes(8, "little")]
+    while len(n):
+        more = n >= 128
+        planes.append(((n & 127) | np.where(more, 128, 0).astype(np.uint32)).astype(np.uint8).tobytes())
+        n = n[more] >> np.uint32(7)
+    return squeeze(b"".join(planes))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    b = np.frombuffer(loosen(data), np.uint8)
-    last = np.flatnonzero(b < 128)
-    if not len(last):
-        return np.zeros(0, np.int64)
-    starts = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(b)) - np.repeat(starts, last - starts + 1)
-    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
+    raw = loosen(data)
+    count, at = int.from_bytes(raw[:8], "little"), 8
+    out, open_, shift = np.zeros(count, np.int64), np.arange(count), 0
+    while len(open_):
+        b = np.frombuffer(raw, np.uint8, len(open_), at)
+        at += len(b)
+        out[open_] |= (b & 127).astype(np.int64) << shift
+        open_, shift = open_[b >= 128], shift + 7
+    return out
 
 
 _LOCAL_DDL = "block long, part int, packed binary, rids array<long>, doc_ids array<long>, sizes array<int>"
@@ -124,7 +124,7 @@ def _number(parts: int):
         placed = [distinct[k] for k in order.tolist()]
         for p, (x, y) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
             if y > x:
-                yield made, p, squeeze(b"\n".join(placed[x:y]) + b"\n"), None, None, None  # no word holds a line end
+                yield made, p, squeeze(b"\n".join(placed[x:y]) + b"\n", 9), None, None, None  # no word holds a line end
         sizes = np.diff(words.offsets.to_numpy()).tolist()
         yield made, None, pack(number[codes]), docs.column("_rid").to_pylist(), docs.column("doc_id").to_pylist(), sizes
 
