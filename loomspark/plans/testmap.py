@@ -41,6 +41,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query over the tables of a folder; names are passed as frames, so nothing is registered in the session."""
     used = [t for t in TABLES if t in sql]
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the text are no names
     for t in used:
         sql = re.sub(rf"\b{t}\b", "{" + t + "}", sql)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

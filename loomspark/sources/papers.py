@@ -1,8 +1,8 @@
-"""Papers as JSON files, question files, triple tables and run logs."""
+"""Papers as JSON files, question files, triple and graph tables, stage files and run logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -140,3 +140,59 @@ def run_log(texts: DataFrame) -> dict[str, DataFrame]:
         "graph": numbers(table(graph, ("nodes", "relationships"), first=True), ("nodes", "relationships")),
         "totals": numbers(table(overall, ("papers", *steps), first=True), ("papers", *steps)),
     }
+
+
+def prototype_papers(texts: DataFrame) -> DataFrame:
+    """(id, title, content) in the older layout: a list of sections; the first section title, else the file's name, is the title; no metadata."""
+    t = texts.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("id"), X.json_maps(F.when(F.ltrim("text").startswith("["), F.col("text")), SECTION).alias("s")).filter("s is not null")
+    title = lambda x: F.coalesce(x["metadata"]["section_title"], F.lit(""))
+    text = lambda x: F.coalesce(X.strip(x["text"]), F.lit(""))
+    none = F.array().cast("array<string>")
+    lines = lambda x: F.concat(F.when(title(x) != "", F.array(F.concat(F.lit("## "), title(x), F.lit("\n")))).otherwise(none), F.when(text(x) != "", F.array(text(x), F.lit("\n\n"))).otherwise(none))
+    first = F.try_element_at(F.filter(F.transform("s", title), lambda x: x != ""), F.lit(1))
+    return t.select("id", F.coalesce(first, "id").alias("title"), F.array_join(F.flatten(F.transform("s", lines)), "\n").alias("content"))
+
+
+def natural_order(names: DataFrame, name: str = "name") -> DataFrame:
+    """``ord`` from 0: paper_<n> by number, then other names by text; names are files or their stems.
+
+    Ranges of the order are numbered apart and shifted by what lies before, so no task holds all names.
+    """
+    number = F.expr(f"try_cast(regexp_extract({name}, '^paper_([0-9]+)([.]json)?$', 1) AS bigint)")
+    t = names.withColumn("_k", F.struct(number.isNull().alias("a"), number.alias("n"), F.col(name).alias("s")))
+    t = t.repartitionByRange("_k").sortWithinPartitions("_k").withColumn("_p", F.spark_partition_id())
+    t = t.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k")))
+    before = t.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return t.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("ord", F.col("_before") + F.col("_i") - 1).drop("_k", "_p", "_i", "_before")  # one row a partition
+
+
+def graph_csv(nodes: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (name, entity_type) and triples (subject, predicate, object) of exported tables, each once whatever its case.
+
+    Nodes with ``Ontology`` in their labels and IS_A relations go, and so do rows with an empty name; the first spelling by text stays.
+    """
+    text = lambda c: X.strip(F.coalesce(F.col(c), F.lit(""))).alias(c)
+
+    def once(t: DataFrame) -> DataFrame:
+        return t.groupBy(*[F.lower(c).alias(f"_{c}") for c in t.columns]).agg(F.min(F.struct(*t.columns)).alias("r")).select("r.*")
+
+    e = nodes.select(text("name"), text("entity_type"), text("labels")).filter("name != '' and not contains(labels, 'Ontology')").drop("labels")
+    r = relations.select(text("source_name"), text("relation_type"), text("target_name")).filter("source_name != '' and target_name != '' and relation_type != '' and relation_type != 'IS_A'")
+    return once(e), once(r.toDF("subject", "predicate", "object"))
+
+
+def predicted_papers(relations: DataFrame) -> DataFrame:
+    """The distinct ``source_paper`` that begin with ``paper_``."""
+    return relations.select(X.strip(F.col("source_paper")).alias("source_paper")).filter("startswith(source_paper, 'paper_')").distinct()
+
+
+def stage_records(texts: DataFrame, schema: str) -> DataFrame:
+    """(path, pos, record columns) of stage files: a list, or a map with ``sections``; other texts give no rows."""
+    listed = F.when(F.ltrim("text").startswith("["), F.col("text")).otherwise(F.get_json_object("text", "$.sections"))
+    return texts.select("path", F.posexplode(X.json_maps(listed, schema)).alias("pos", "r")).select("path", "pos", "r.*")
+
+
+def newest_report(texts: DataFrame) -> DataFrame:
+    """(path, text) of the last ``large_scale_report_*.json`` by name; no row without one."""
+    t = texts.filter(F.regexp_extract("path", "([^/]+)$", 1).rlike(r"^large_scale_report_.*\.json$"))
+    return t.agg(F.max_by(F.struct("path", "text"), F.regexp_extract("path", "([^/]+)$", 1)).alias("r")).filter("r is not null").select("r.*")

@@ -15,9 +15,14 @@ def expand(text: str, env: Mapping[str, str]) -> str:
     return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: env.get(m[1], m[2] or ""), text)
 
 
-def load(text: str, env: Mapping[str, str]) -> dict:
+def expand_shell(text: str, env: Mapping[str, str]) -> str:
+    """The other dialect: ``$NAME`` and ``${NAME}``; an unknown name stays as it is written."""
+    return re.sub(r"\$(?:(\w+)|\{([^}]*)\})", lambda m: env.get(m[1] or m[2], m[0]), text)
+
+
+def load(text: str, env: Mapping[str, str], dialect=expand) -> dict:
     """Settings from JSON, or from YAML where a reader is installed; empty text gives no settings."""
-    text = expand(text, env)
+    text = dialect(text, env)
     try:
         return json.loads(text) if text.strip() else {}
     except ValueError:

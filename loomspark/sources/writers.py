@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import to_uri
 from ..operators.judge import cleaned
+from . import scratch
 
 ASSIGNMENT = ("paper_id", "paper_title", "subdomain", "parent_domain", "status", "is_new_subdomain", "batch_id", "taxonomy_version", "reason", "confidence", "new_relations")
 CLAIM = ("paper_id", "paper_title", "subdomain", "parent_domain", "claim_type", "subject", "relation", "object", "confidence", "section_title", "evidence")
@@ -55,15 +57,6 @@ def edge_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _as(t, ("source_id", "source_name", "target_id", "target_name", "relation_type", "is_ontology", "evidence", "source_paper_id", "source_paper")).orderBy("source_id", "target_id")
 
 
-def ontology_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of the ontology, else those that touch a concept: ``level`` is explicit or touching, and the first filled level counts."""
-    concepts = nodes.filter("is_concept").select("id").distinct()
-    ends = edges.join(concepts.toDF("src"), "src", "left_semi").union(edges.join(concepts.toDF("dst"), "dst", "left_semi").select(*edges.columns)).distinct()
-    both = edges.filter("is_ontology").withColumn("level", F.lit("explicit")).union(ends.withColumn("level", F.lit("touching")))
-    best = both.agg(F.min("level").alias("level"))
-    return both.join(F.broadcast(best), "level", "left_semi").select(*edges.columns, "level")
-
-
 def cypher_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A statement (``value``) for each node, then for each edge; evidence of at most 100 characters."""
     q = lambda x: F.concat(F.lit("'"), F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
@@ -81,8 +74,6 @@ def json_lines(t: DataFrame, evidence: int | None = 200) -> DataFrame:
 
 def mentor_rows(triples: DataFrame, per_paper: int = 40) -> DataFrame:
     """The first ``per_paper`` triples of each paper by ``ord`` in the four columns of the exchange format."""
-    from pyspark.sql import Window
-
     first = triples.withColumn("_n", F.row_number().over(Window.partitionBy("paper_id").orderBy("ord"))).filter(F.col("_n") <= per_paper)
     name = F.concat_ws(" | ", "subject", "predicate", "object")
     note = F.concat(F.lit("位置: "), "section", F.lit(" / chunk "), "chunk", F.lit(" | 证据: "), "context")
@@ -147,3 +138,68 @@ def write_csv(t: DataFrame, path: str) -> None:
 def write_text(t: DataFrame, path: str) -> None:
     """A folder of text files of a frame with one column."""
     t.write.mode("overwrite").text(path)
+
+
+def write_named(texts: DataFrame, path: str) -> None:
+    """One file for each ``name`` of (name, value) rows, below ``path``: tasks write them, then the driver gives each its name.
+
+    The rows of a name are one task's and go into its file in no stated order, so a name is meant to have one row.
+    """
+    spark, part = texts.sparkSession, f"{path}/_parts"
+    texts.repartition("name").write.mode("overwrite").partitionBy("name").text(part)
+    f, root = scratch.fs(spark, part)
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for one in f.listStatus(root):
+        if one.isDirectory():
+            name = unescape(one.getPath().getName()[len("name=") :])
+            for file in f.listStatus(one.getPath()):
+                f.rename(file.getPath(), to(f"{path}/{name}"))
+    f.delete(root, True)
+
+
+def write_sorted(t: DataFrame, path: str, key: str) -> None:
+    """A Parquet table in ranges of ``key``, sorted inside them, so that a search for a key reads few files and row groups."""
+    t.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def turtle_files(papers: DataFrame) -> DataFrame:
+    """(name, value) of two files a paper (paper_name, passed, suggestions, timestamp, turtle, metadata): the graph below its verdict, and the verdict as JSON."""
+    base = F.regexp_replace("paper_name", r"\.json$", "")
+    passed = F.when(F.col("passed"), "True").otherwise("False")
+    more = F.when(F.coalesce("suggestions", F.lit("")) != "", F.concat(F.lit("# Improvement Suggestions: "), "suggestions", F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("# ===== EVALUATION RESULTS =====\n# Evaluation Passed: "), passed, F.lit("\n# Can Proceed to QA Generation: "), passed, F.lit("\n# Timestamp: "), "timestamp", F.lit("\n"), more, F.lit("# ===== KNOWLEDGE GRAPH =====\n\n"))
+    note = F.to_json(F.struct("paper_name", F.col("passed").alias("evaluation_passed"), F.col("passed").alias("can_proceed_to_qa"), F.col("suggestions").alias("improvement_suggestions"), "timestamp", "metadata"))
+    two = F.array(F.struct(F.concat(base, F.lit("_extraction.ttl")).alias("name"), F.concat(head, F.coalesce("turtle", F.lit(""))).alias("value")), F.struct(F.concat(base, F.lit("_metadata.json")).alias("name"), note.alias("value")))
+    return papers.select(F.inline(two))
+
+
+def question_statistics(questions: DataFrame) -> DataFrame:
+    """(kind, value, n, percent): the questions in all, by section and by correct answer; percent of the answers only."""
+    q = questions.select("section", "correct_answer")
+    t = q.rollup("section").agg(F.count("*").alias("n")).select(F.when(F.col("section").isNull(), "total").otherwise("section").alias("kind"), F.coalesce("section", F.lit("")).alias("value"), "n", F.lit(None).cast("double").alias("percent"))
+    a = q.groupBy("correct_answer").agg(F.count("*").alias("n"))
+    total = q.agg(F.count("*").alias("_t"))
+    a = a.join(F.broadcast(total)).select(F.lit("answer").alias("kind"), F.col("correct_answer").alias("value"), "n", (100 * X.ratio(F.col("n"), F.col("_t"))).alias("percent"))  # one row is broadcast
+    return t.union(a)
+
+
+def write_questions(questions: DataFrame, path: str) -> None:
+    """Questions in full and with their five fields as JSON, and their statistics as text."""
+    questions.write.mode("overwrite").json(f"{path}/detailed")
+    questions.select("section", "question", "options", "correct_answer", "explanation").write.mode("overwrite").json(f"{path}/simplified")
+    s = question_statistics(questions)
+    line = F.when(F.col("kind") == "total", F.concat(F.lit("Total QA Pairs Generated: "), "n")).when(F.col("kind") == "section", F.concat(F.lit("  "), "value", F.lit(": "), "n")).otherwise(F.concat(F.lit("  "), "value", F.lit(": "), "n", F.lit(" ("), F.format_number("percent", 1), F.lit("%)")))
+    order = F.when(F.col("kind") == "total", 0).when(F.col("kind") == "section", 1).otherwise(2)
+    s.orderBy(order, "value").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/stats")
+
+
+def representative_report(rows: DataFrame) -> DataFrame:
+    """The lines of a Markdown report over ``representative_rows``, by frequency; one entry a relation."""
+    line = F.concat(F.lit("- **"), "subject", F.lit("** "), "predicate", F.lit(" **"), "object", F.lit("** (frequency "), "frequency", F.lit(")"), F.when(F.col("context_text") != "", F.concat(F.lit(": "), cut(F.col("context_text"), 200))).otherwise(""))
+    return rows.orderBy(F.desc("frequency"), "subject", "predicate", "object").select(line.alias("value"))
+
+
+def serialised(t: DataFrame, *columns: str) -> DataFrame:
+    """Each row as one JSON text, nulls kept."""
+    return t.select(F.to_json(F.struct(*(columns or t.columns)), {"ignoreNullFields": "false"}).alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators import claims as C
-from ..operators import graph as G
+from ..operators import store as S
 
 
 def _stored(spark, path: str, before: int, schema) -> DataFrame:
@@ -25,27 +25,33 @@ def _stored(spark, path: str, before: int, schema) -> DataFrame:
 
 
 def claims_to_graph(claims: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write a stream of claims to ``path``/edges (fingerprint, src, dst, rel_type, route, evidence) as far as it is there, then stop.
+    """Write a stream of claims to ``path``/edges and ``path``/nodes as far as it is there, then stop.
 
-    The first claim of a fingerprint counts, across batches too: new fingerprints are anti-joined with the stored ones, so state
-    lies in the table and not in memory. Columns: claim_ord, subject, relation, object, subject_id, object_id, claim_type, evidence,
-    source_paper_id, status.
+    The first claim of a fingerprint (subject, relation, object, paper) counts, across batches too: new fingerprints are anti-joined with
+    the stored ones, so state lies in the table and not in memory. Columns: claim_ord, subject, relation, object, subject_id, object_id,
+    claim_type, evidence, source_paper_id, status. ``stored_nodes`` folds the node rows of all batches.
     """
-    out = f"{path}/edges"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         key = X.fingerprint(*[F.coalesce(F.col(c), F.lit("")) for c in ("subject", "relation", "object", "source_paper_id")])
-        first = C.first_of(gate(batch).withColumn("fingerprint", key), F.col("fingerprint"))
-        route = G.claim_route(F.col("claim_type"), F.col("relation"), F.col("subject"), F.col("object"))
-        kind = F.when(route == "ontology_subclass", "SUBCLASS_OF").when(route == "ontology_type", "TYPE").otherwise(X.sanitize_relation_type(F.col("relation")))
-        rows = first.select("fingerprint", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), kind.alias("rel_type"), route.alias("route"), "evidence")
-        seen = _stored(spark, out, number, rows.schema).select("fingerprint")
-        rows.join(seen, "fingerprint", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        first = C.first_of(S.gate(batch).withColumn("fingerprint", key), F.col("fingerprint"))
+        rows = S.routed(first).select("fingerprint", "src", "dst", "rel_type", "route", "evidence")
+        seen = _stored(spark, f"{path}/edges", number, rows.schema).select("fingerprint")
+        new = first.join(seen, "fingerprint", "left_anti")
+        S.routed(new).select(*rows.columns).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        S.claim_nodes(new).write.mode("overwrite").parquet(f"{path}/nodes/batch={number}")
 
     return claims.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_nodes(spark, path: str) -> DataFrame:
+    """G02 over all batches of ``claims_to_graph``: one row an id; times are batch numbers."""
+    t = spark.read.parquet(f"{path}/nodes")
+    out = t.groupBy("id").agg(F.min_by("name", F.struct("batch", "ord", "name")).alias("name"), F.max("is_concept").alias("is_concept"), F.min("batch").cast("long").alias("created_at"), F.max("batch").cast("long").alias("updated_at"))
+    return out
+
+
 def stage_timings(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Calls and seconds of each event type by window of ``ts``; rows later than ``late`` are left out of closed windows."""
     w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("calls"), F.sum("value").alias("seconds"))
