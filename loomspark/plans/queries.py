@@ -145,13 +145,6 @@ def claims_to_edges(spark, d):
     return ok.groupBy(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), kind.alias("rel_type")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {WITH_CLAIMS} SELECT relation, claim_type, CASE relation WHEN 'subclassOf' THEN CASE claim_type WHEN 'ontology' THEN 'subclass_of' ELSE '' END WHEN 'subclass_of' THEN CASE claim_type WHEN 'ontology' THEN 'subclass_of' ELSE '' END
- WHEN 'associated with' THEN 'associated_with' WHEN 'Risk-Factor' THEN CASE claim_type WHEN 'ontology' THEN 'risk_factor_for' ELSE '' END WHEN 'increased' THEN CASE claim_type WHEN 'instance' THEN 'increases' ELSE '' END
- WHEN 'treats' THEN CASE claim_type WHEN 'ontology' THEN 'treats' ELSE '' END WHEN 'predicts' THEN 'predicts' WHEN 'is_a' THEN CASE claim_type WHEN 'ontology' THEN 'type' ELSE '' END WHEN 'improves' THEN CASE claim_type WHEN 'instance' THEN 'improves' ELSE '' END ELSE '' END AS normalized, count(*) AS n FROM claims GROUP BY 1, 2, 3""")
-def relation_normalise(spark, d):
-    return claims(spark, d).groupBy("relation", "claim_type", X.normalize_relation(F.col("relation"), F.col("claim_type")).alias("normalized")).agg(F.count("*").alias("n"))
-
-
 KEY_SQL = r"lower(trim(regexp_replace(regexp_replace(trim({0}), '\s+', ' ', 'g'), '\s*([,;:()\[\]/\-])\s*', '\1', 'g'), ' .;:,'))"
 
 
@@ -167,11 +160,6 @@ def fingerprint_dedup(spark, d):
     return c.groupBy(X.fingerprint(F.col("subject"), F.col("relation"), F.col("object")).alias("fingerprint")).agg(F.min("claim_ord").alias("claim_ord"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {WITH_CLAIMS} SELECT subject, claim_type, NOT (subject IN ('Figure 3', ' This Study', '---')) AS valid, count(*) AS n FROM claims GROUP BY 1, 2""")
-def valid_entity_filter(spark, d):
-    return claims(spark, d).groupBy("subject", "claim_type").agg(F.count("*").alias("n")).withColumn("valid", C.valid_entity(F.col("subject"), F.col("claim_type")))
-
-
 @query(f"""WITH {WITH_CLAIMS}, c AS (SELECT *, trim(subject) AS s, trim(object) AS o, lower(section_title) AS t FROM claims), r AS (
 SELECT CASE WHEN s = o THEN 'self_loop' WHEN length(evidence) < 10 THEN 'short_evidence' WHEN s LIKE 'Figure%' OR o LIKE 'Table %' THEN 'artifact' WHEN relation NOT IN {_quoted([*X.ONTOLOGY_RELATIONS, *X.INSTANCE_RELATIONS])} THEN 'relation_set'
  WHEN s = '---' THEN 'symbols' WHEN s = 'This Study' THEN 'meta_entity' WHEN evidence LIKE 'In this study%' THEN 'meta_evidence' WHEN t = 'introduction' AND claim_type = 'instance' THEN 'section'
@@ -312,38 +300,12 @@ def precision_recall(spark, d):
     return t.withColumn("precision", F.round(X.ratio(F.col("n_hit"), F.col("n_pred")), 6)).withColumn("recall", F.round(X.ratio(F.col("n_hit"), F.col("n_gold")), 6))
 
 
-@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
-def json_decode(spark, d):
-    return _t(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
-
-
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, count_if(line = '') AS n_blank, count_if(suffix(line, '.')) AS n_ended FROM l GROUP BY 1")
 def line_counts(spark, d):
     lines = F.split("text", "\n")
     return _t(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: x == "")).cast("long").alias("n_blank"), F.size(F.filter(lines, lambda x: x.endswith("."))).cast("long").alias("n_ended"))
 
 
-@query("WITH l AS (SELECT DISTINCT doc_id, source, unnest(list_slice(string_split(text, chr(10)), 1, 3)) AS line FROM documents) SELECT source, regexp_replace(line, '[0-9]', '#', 'g') AS line, count(*) AS n FROM l WHERE length(line) BETWEEN 6 AND 100 GROUP BY 1, 2 HAVING count(*) >= 2")
-def boundary_lines(spark, d):
-    t = _t(spark, d, "documents").select("doc_id", "source", F.explode(F.array_distinct(F.slice(F.split("text", "\n"), 1, 3))).alias("line")).filter(F.length("line").between(6, 100))
-    return t.groupBy("source", F.regexp_replace("line", "[0-9]", "#").alias("line")).agg(F.count("*").alias("n")).filter("n >= 2")
-
-
-@query("SELECT page_id, lead(page_id) OVER (ORDER BY page_id) - 1 AS page_end FROM pages")
-def section_page_ranges(spark, d):
-    p = _t(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 1024).alias("_range"))
-    # The next page lies in the same range of numbers or is the first of a later one: no window over all rows.
-    nxt = p.groupBy("_range").agg(F.min("page_id").alias("first"))
-    after = nxt.withColumn("after", F.lead("first").over(Window.orderBy("_range"))).select("_range", "after")
-    w = Window.partitionBy("_range").orderBy("page_id")
-    return p.withColumn("n", F.lead("page_id").over(w)).join(F.broadcast(after), "_range").select("page_id", (F.coalesce("n", "after") - 1).alias("page_end"))
-
-
-@query("SELECT conv_id, turn, upper(nullif(regexp_extract(text, '\\b([A-Da-d])\\b', 1), '')) AS answer FROM conversations WHERE role = 'assistant'")
-def answer_extraction(spark, d):
-    return _t(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", X.extract_answer(F.col("text")).alias("answer"))
-
-
 # ---- labels, predicates, names and exports
 
 LABEL_SQL = r"trim(regexp_replace(replace(lower({0}), '_', ' '), '\s+', ' ', 'g'), ' .;:,')"
@@ -512,13 +474,6 @@ def _alternatives(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
 
 
-@query(f"""WITH t AS (SELECT lower(trim(line)) AS low FROM ({_LINES})), k AS (SELECT low, trim(regexp_replace(regexp_replace(low, '^(\\d+(\\.\\d+)*|[ivx]+)[.)]?\\s+', ''), '[:.]+$', '')) AS name FROM t)
-SELECT CASE WHEN low = '' THEN 'blank' WHEN name IN {_quoted(L.TAILS)} THEN 'tail' WHEN name IN {_quoted(L.HEADINGS)} THEN 'heading' WHEN regexp_matches(low, '{_alternatives(L.NOISE)}') THEN 'noise'
- WHEN regexp_matches(low, '{_alternatives(L.FRONT_MATTER)}') THEN 'front_matter' WHEN regexp_matches(low, '{_alternatives(L.CAPTION)}') THEN 'caption' ELSE 'body' END AS kind, count(*) AS n FROM k GROUP BY 1""")
-def noise_lines(spark, d):
-    return view(spark, d, _LINES).groupBy(L.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
-
-
 # ---- standard predicates, run reports, Turtle counts, taxonomy rounds
 
 _VARIANTS_SQL = "v(ord, variant, form) AS (VALUES " + ", ".join(f"({k}, '{v}', '{g}')" for k, (v, g) in enumerate(list({v: g for g, vs in R.GROUPS.items() for v in vs}.items()) + [("", "unknown")])) + ")"

@@ -1 +1,316 @@
-"""To come."""
+"""Queries of scalar functions on texts, names, lines and prompts, on texts derived from the star schema so that each rule is met."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import cleaning as L
+from ..functions import names as N
+from ..functions import prompts as M
+from ..functions import sections as S
+from ..functions import text as X
+from ..operators import claims as C
+from ..operators import judge as J
+from .registry import query, quoted, table
+from .testmap import view
+
+
+def _re(x: str) -> str:
+    return x.replace("'", "''")
+
+
+def _duck_list(xs) -> str:
+    return "[" + ", ".join("'" + _re(x) + "'" for x in xs) + "]"
+
+
+# ---- names
+
+_NAMES = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_name || ' Model' WHEN 1 THEN 'HTTPServer_' || p_name WHEN 2 THEN 'convolutional neural network ' || p_size WHEN 3 THEN 'My cnn score' WHEN 4 THEN p_type WHEN 5 THEN 'Long Short Term Memory' WHEN 6 THEN 'x' ELSE p_name || 'BigLSTMcell' END AS a,
+ CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'lstm' WHEN 2 THEN 'CNN ' || p_size WHEN 3 THEN lower(p_type) || ' dataset' ELSE 'Server of ' || p_brand END AS b FROM part"""
+
+
+@query(rf"SELECT p_partkey, replace(regexp_replace(regexp_replace(a, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '_', ' ') AS words, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') AS normal FROM ({_NAMES})")
+def camel_words(spark, d):
+    return view(spark, d, _NAMES).select("p_partkey", X.camel_to_words(F.col("a")).alias("words"), X.normalize_name(F.col("a")).alias("normal"))
+
+
+def _variants(x: str) -> str:
+    n = f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    ends = f"list_transform(list_filter({_duck_list(N.SUFFIXES)}, lambda s: suffix({n}, s) AND length({n}) > length(s) + 3), lambda s: left({n}, length({n}) - length(s)))"
+    words = f"regexp_extract_all({x}, '[A-Z][a-z]*|[a-z]+')"
+    acronym = f"CASE WHEN len({words}) > 1 THEN [lower(array_to_string(list_transform({words}, lambda w: w[1]), ''))] ELSE [] END"
+    pairs = "[" + ", ".join(f"['{a}', '{b}']" for kv in N.ABBREVIATIONS.items() for a, b in (kv, kv[::-1])) + "]"
+    swapped = f"list_transform(list_filter({pairs}, lambda p: contains({n}, p[1])), lambda p: replace({n}, p[1], p[2]))"
+    return f"list_distinct(list_concat(list_concat([{n}], {ends}), list_concat({acronym}, {swapped})))"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({_variants('a')}), ' ') AS variants FROM ({_NAMES})")
+def name_variants(spark, d):
+    return view(spark, d, _NAMES).select("p_partkey", F.array_join(F.array_sort(N.name_variants(F.col("a"))), " ").alias("variants"))
+
+
+_NORM = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_CORE = "list_distinct(regexp_extract_all(regexp_replace(lower({0}), '[^a-z0-9]', '', 'g'), '[a-z]{{4,}}'))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_NORM.format('a')} AS x, {_NORM.format('b')} AS y, {_variants('a')} AS vx, {_variants('b')} AS vy, list_intersect({_CORE.format('a')}, {_CORE.format('b')}) AS c FROM ({_NAMES}))
+SELECT p_partkey, x <> '' AND y <> '' AND (x = y OR (length(x) >= 3 AND length(y) >= 3 AND (contains(x, y) OR contains(y, x) OR list_has_any(vx, vy)
+ OR len(list_filter(vx, lambda v: length(v) >= 3 AND len(list_filter(vy, lambda w: length(w) >= 3 AND (contains(v, w) OR contains(w, v)))) > 0)) > 0 OR len(c) >= 2 OR len(list_filter(c, lambda w: length(w) >= 6)) > 0))) AS same FROM t""")
+def names_match(spark, d):
+    a, b = F.col("a"), F.col("b")
+    t = view(spark, d, _NAMES).withColumn("va", N.name_variants(a)).withColumn("vb", N.name_variants(b))
+    return t.select("p_partkey", N.names_match(a, b, F.col("va"), F.col("vb")).alias("same"))
+
+
+# ---- relations, answers, claims
+
+_RELATIONS = "SELECT p_partkey, CASE p_partkey % " + str(len(X.RELATION_SYNONYMS) + 6) + " " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate([*[" ".join(s.split("_")) if k % 3 else s.upper() if k % 2 else s for k, s in enumerate(X.RELATION_SYNONYMS)], "subClassOf", "Risk-Factor", " treats ", "unknown thing", "measured in", "improvement  in"])) + " END AS relation, CASE p_size % 3 WHEN 0 THEN 'ontology' WHEN 1 THEN 'instance' ELSE 'other' END AS claim_type FROM part"
+_SYN = "syn(k, v) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in X.RELATION_SYNONYMS.items()) + ")"
+
+
+@query(rf"""WITH {_SYN}, r AS ({_RELATIONS}), n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(lower(regexp_replace(trim(relation), '([a-z])([A-Z])', '\1_\2', 'g')), '-', '_'), ' ', '_'), '[^a-z_]', '', 'g'), '_+', '_', 'g'), '_') AS snake FROM r),
+ m AS (SELECT p_partkey, claim_type, coalesce(v, nullif(snake, ''), trim(relation)) AS name FROM n LEFT JOIN syn ON k = snake)
+SELECT p_partkey, CASE WHEN (claim_type = 'ontology' AND name IN {quoted(X.ONTOLOGY_RELATIONS)}) OR (claim_type = 'instance' AND name IN {quoted(X.INSTANCE_RELATIONS)}) OR (claim_type = 'other' AND name IN {quoted((*X.ONTOLOGY_RELATIONS, *X.INSTANCE_RELATIONS))}) THEN name ELSE '' END AS normalized FROM m""")
+def relation_rules(spark, d):
+    return view(spark, d, _RELATIONS).select("p_partkey", X.normalize_relation(F.col("relation"), F.col("claim_type")).alias("normalized"))
+
+
+_ANSWERS = """SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'The correct answer is boxed {c} not B' WHEN 1 THEN 'so boxed{D}' WHEN 2 THEN 'x 答案是 B' WHEN 3 THEN '选择C' WHEN 4 THEN '正确答案是d' WHEN 5 THEN '答案： A' WHEN 6 THEN '选项 b' WHEN 7 THEN 'C' WHEN 8 THEN 'd. because' WHEN 9 THEN 'I take B, or a' WHEN 10 THEN 'no letter' ELSE o_comment END AS response FROM (SELECT o_orderkey, 'ABCD' || o_orderpriority AS o_comment FROM orders)"""
+_PATTERNS = "upper(coalesce(" + ", ".join(f"nullif(regexp_extract(response, '(?i){_re(p)}', 1), '')" for p in X.ANSWER_PATTERNS) + "))"
+
+
+@query(f"SELECT o_orderkey, {_PATTERNS} AS answer FROM ({_ANSWERS})")
+def answer_patterns(spark, d):
+    return view(spark, d, _ANSWERS).select("o_orderkey", X.extract_answer(F.col("response")).alias("answer"))
+
+
+_ENTITIES = """SELECT p_partkey, CASE p_partkey % 17 WHEN 0 THEN p_name WHEN 1 THEN 'x' WHEN 2 THEN 'Abstract' WHEN 3 THEN 'the findings' WHEN 4 THEN 'Findings' WHEN 5 THEN 'Figure ' || p_size WHEN 6 THEN 'our analysis of ' || p_name WHEN 7 THEN p_type || ':' WHEN 8 THEN repeat('word ', 16) WHEN 9 THEN '-- 1 --' WHEN 10 THEN 'patients with a very rare kind of ' || p_type
+ WHEN 11 THEN 'this model showed that it can do more' WHEN 12 THEN 'We' WHEN 13 THEN repeat('long', 31) WHEN 14 THEN ' ' || p_brand || ' ' WHEN 15 THEN 'our review' ELSE 'study' END AS name, CASE WHEN p_size % 2 = 0 THEN 'instance' ELSE 'ontology' END AS claim_type FROM part"""
+_FRAGMENT = f"(len(string_split_regex(low, '\\s+')) > 5 AND (list_has_any(string_split_regex(low, '\\s+'), {_duck_list(C.VERBS)}) OR regexp_matches(low, '^({'|'.join(C.PREFIXES)})')))"
+
+
+@query(f"""WITH e AS (SELECT p_partkey, claim_type, trim(name) AS n, lower(trim(name)) AS low FROM ({_ENTITIES}))
+SELECT p_partkey, NOT (length(n) < 2 OR length(n) > 120 OR low IN {quoted(C.ARTIFACTS)} OR low IN {quoted(C.GENERIC)} OR regexp_matches(low, '^(fig|figure|table|section|page)\\b') OR regexp_matches(low, '^(this|these|those|our)\\s+(study|analysis|result|finding|paper|work|review)\\b')
+ OR regexp_matches(n, '[：:]$') OR len(string_split_regex(n, '\\s+')) > 15 OR length(regexp_replace(n, '[^a-zA-Z0-9]', '', 'g')) < 2 OR {_FRAGMENT} OR (claim_type = 'instance' AND low IN {quoted(C.PRONOUNS)})) AS valid,
+ low IN {quoted(C.META)} OR regexp_matches(low, '^(this|our)\\s+(study|analysis|work|paper|review)\\b') AS meta, {_FRAGMENT} AS fragment FROM e""")
+def entity_rules(spark, d):
+    e = view(spark, d, _ENTITIES)
+    return e.select("p_partkey", C.valid_entity(F.col("name"), F.col("claim_type")).alias("valid"), C.is_meta(F.col("name")).alias("meta"), C.is_fragment(F.lower(X.strip(F.col("name")))).alias("fragment"))
+
+
+_CLAIM_RULES = """SELECT l_orderkey, l_linenumber, CASE l_partkey % 13 WHEN 0 THEN p_name WHEN 1 THEN 'Same thing' WHEN 2 THEN 'Table 3 of ' || p_name WHEN 3 THEN repeat('w ', 16) WHEN 4 THEN '12 -- 3' WHEN 5 THEN 'our review' ELSE p_type END AS subject, CASE l_suppkey % 5 WHEN 0 THEN ' Same thing ' WHEN 1 THEN 'Keywords of' WHEN 2 THEN '...' ELSE 'the object' END AS object,
+ CASE l_linenumber WHEN 1 THEN 'treats' WHEN 2 THEN 'measured_in' WHEN 3 THEN 'causes' WHEN 4 THEN 'nothing' ELSE 'improves' END AS relation, CASE WHEN l_quantity < 5 THEN ' brief ' WHEN l_quantity < 15 THEN 'As we showed in the paper' WHEN l_quantity < 20 THEN 'This Study has found it' ELSE 'a long piece of evidence' END AS evidence,
+ CASE l_returnflag WHEN 'R' THEN 'Introduction and aims' WHEN 'A' THEN 'Materials' ELSE 'Results' END AS section_title, CASE WHEN l_partkey % 2 = 0 THEN 'instance' ELSE 'ontology' END AS claim_type FROM lineitem JOIN part ON p_partkey = l_partkey"""
+
+
+@query(f"""WITH c AS (SELECT *, trim(subject) AS s, trim(object) AS o, trim(evidence) AS e, lower(section_title) AS t FROM ({_CLAIM_RULES})),
+ r AS (SELECT CASE WHEN s = o THEN 'self_loop' WHEN length(e) < 10 THEN 'short_evidence' WHEN regexp_matches(s, '{_re(C.ARTIFACT_START)}') OR regexp_matches(o, '{_re(C.ARTIFACT_START)}') THEN 'artifact' WHEN relation NOT IN {quoted((*X.ONTOLOGY_RELATIONS, *X.INSTANCE_RELATIONS))} THEN 'relation_set'
+  WHEN len(string_split_regex(s, '\\s+')) > 15 OR len(string_split_regex(o, '\\s+')) > 15 THEN 'sentence' WHEN regexp_replace(s, '[\\d\\W_]', '', 'g') = '' OR regexp_replace(o, '[\\d\\W_]', '', 'g') = '' THEN 'symbols'
+  WHEN lower(s) IN {quoted(C.META)} OR regexp_matches(lower(s), '^(this|our)\\s+(study|analysis|work|paper|review)\\b') THEN 'meta_entity' WHEN regexp_matches(e, '{_re(C.META_EVIDENCE)}') THEN 'meta_evidence'
+  WHEN regexp_matches(t, '^(introduction|background)') AND claim_type = 'instance' THEN 'section' WHEN regexp_matches(t, 'methods|experimental|materials') AND relation NOT IN {quoted(C.METHOD_RELATIONS)} THEN 'section' END AS reason FROM c)
+SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+def claim_rules(spark, d):
+    return view(spark, d, _CLAIM_RULES).groupBy(C.drop_reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _claim(k: str) -> str:
+    return f"""'{{"subject":"' || p_name || '","relation":"{k}","object":"' || p_brand || '","evidence":"e' || p_size || '"}}'"""
+
+
+_RESPONSES = f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '```json\\n{{"ontology": [' || {_claim('o')} || '], "instances": [' || {_claim('i')} || ', 3, "loose"]}}\\n```' WHEN 1 THEN '{{"data": [' || {_claim('d')} || ']}}' WHEN 2 THEN '[' || {_claim('l')} || ',' || {_claim('m')} || ']'
+ WHEN 3 THEN 'no json at all' WHEN 4 THEN '{{"ontology": "x", "results": []}}' WHEN 5 THEN '```' || '[' || {_claim('t')} || ']' ELSE NULL END AS response FROM part"""
+
+
+@query("""WITH e(m, pos, claim_type, relation) AS (VALUES (0, 0, 'ontology', 'o'), (0, 1, 'instance', 'i'), (1, 0, 'instance', 'd'), (2, 0, 'instance', 'l'), (2, 1, 'instance', 'm'), (5, 0, 'instance', 't'))
+SELECT p_partkey, pos, claim_type, p_name AS subject, relation, p_brand AS object, 'e' || p_size AS evidence FROM part JOIN e ON p_partkey % 7 = m""")
+def decoded_claims(spark, d):
+    r = view(spark, d, _RESPONSES)
+    return J.decoded_claims(r.select(F.col("p_partkey").cast("string").alias("prompt_hash"), "response")).select(F.col("prompt_hash").cast("long").alias("p_partkey"), "pos", "claim_type", "subject", "relation", "object", "evidence")
+
+
+# ---- lines
+
+_HEADS = [*L.SECTION_NAMES, *L.TAIL_NAMES]
+_LINES = "SELECT l_orderkey, l_linenumber, CASE l_suppkey % 6 WHEN 0 THEN upper(h) WHEN 1 THEN ' 3.1) ' || h WHEN 2 THEN h || ': goes on' WHEN 3 THEN 'IV. ' || h || ' and more' WHEN 4 THEN h || 'x' ELSE 'Section 2: ' || h END AS line FROM (SELECT *, CASE l_partkey % " + str(len(_HEADS)) + " " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(_HEADS)) + " END AS h FROM lineitem)"
+_KNOWN = "known(ord, k, v, tail) AS (VALUES " + ", ".join(f"({n}, '{k}', '{v}', {str(tail).lower()})" for n, (k, v, tail) in enumerate([*[(k, v, False) for k, v in L.SECTION_NAMES.items()], *[(k, v, True) for k, v in L.TAIL_NAMES.items()]])) + ")"
+_NUM = r"(?i)^(?:section\s+)?(?:\d+(?:\.\d+){0,3}|[ivxlcdm]+)[.)\-: ]+"
+
+
+@query(rf"""WITH {_KNOWN}, l AS (SELECT DISTINCT line FROM ({_LINES})), n AS (SELECT line, trim(line) AS s, regexp_replace(trim(line), '{_NUM}', '') AS after, trim(lower(regexp_replace(trim(line, ' :-'), '{_NUM}\s*', ''))) AS key FROM l),
+ m AS (SELECT line, ord, v, tail, CASE WHEN key = k THEN '' WHEN prefix(key, k || ':') THEN trim(s[instr(s, ':') + 1:]) WHEN after <> s AND prefix(lower(after), k) AND NOT regexp_matches(after[length(k) + 1:length(k) + 1], '\w') THEN trim(after[length(k) + 1:]) END AS rest FROM n, known),
+ b AS (SELECT line, arg_min(v, ord) AS name, arg_min(tail, ord) AS tail, arg_min(rest, ord) AS rest FROM m WHERE rest IS NOT NULL GROUP BY 1)
+SELECT line, name, tail, rest FROM l LEFT JOIN b USING (line)""")
+def heading_lines(spark, d):
+    return view(spark, d, _LINES).select("line").distinct().select("line", L.heading(F.col("line")).alias("h")).select("line", "h.*")
+
+
+_NOISY = """SELECT DISTINCT CASE l_partkey % 16 WHEN 0 THEN 'Received ' || l_linenumber WHEN 1 THEN '3. Results' WHEN 2 THEN 'References:' WHEN 3 THEN 'Figure ' || l_linenumber || ' shows' WHEN 4 THEN 'Copyright 2020' WHEN 5 THEN '  ' WHEN 6 THEN 'page ' || l_linenumber WHEN 7 THEN '4 of 9' WHEN 8 THEN 'https://x.org/' || l_linenumber WHEN 9 THEN 'mail me@x.org'
+ WHEN 10 THEN 'Under CreativeCommons terms' WHEN 11 THEN 'Smith et al.' WHEN 12 THEN '(A) panel' WHEN 13 THEN '2020 Smith doi 10' WHEN 14 THEN 'All Rights Reserved' ELSE 'plain body ' || l_linenumber END AS line FROM lineitem"""
+
+
+def _any(patterns) -> str:
+    return "(?i)" + "|".join(f"(?:{_re(p)})" for p in patterns)
+
+
+@query(f"""WITH t AS (SELECT line, trim(line) AS s, lower(trim(line)) AS low FROM ({_NOISY}))
+SELECT line, CASE WHEN s = '' THEN 'blank' WHEN low = 'references:' THEN 'tail' WHEN low = '3. results' THEN 'heading' WHEN regexp_matches(s, '{_any(L.NOISE)}') OR regexp_matches(low, '^https?://') OR contains(low, 'creativecommons') OR contains(low, 'all rights reserved') OR (contains(s, '@') AND length(s) < 120) OR regexp_matches(s, '(?i)^\\d{{4}} .* doi ') OR regexp_matches(s, '^[A-Z][a-z]+ et al\\.$') THEN 'noise'
+ WHEN regexp_matches(s, '{_any(L.FRONT_MATTER)}') THEN 'front_matter' WHEN regexp_matches(s, '(?i)^(fig(?:ure)?\\.?|table|scheme)\\s*\\d+') OR regexp_matches(s, '^\\([A-Z]\\)\\s') THEN 'caption' ELSE 'body' END AS kind FROM t""")
+def line_kinds(spark, d):
+    return view(spark, d, _NOISY).select("line", L.line_kind(F.col("line")).alias("kind"))
+
+
+_INLINE = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name || ' see https://doi.org/10.1/' || p_size || ' here' WHEN 1 THEN p_name || ' DOI: 10.1/x;' WHEN 2 THEN '- ' || p_name || ' © The Author(s) 2020 and more' WHEN 3 THEN p_name || '  Creative  Commons licence' WHEN 4 THEN p_name || '   x License and terms: y' ELSE p_name END AS line FROM part"
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(?i)https?://doi\.org/\S+', '', 'g'), '(?i)\bdoi\s*:?\s*\S+', '', 'g'), '(?i)©\s*the author\(s\).*', '', 'g'), '(?i)creative\s+commons.*', '', 'g'), '(?i)license and terms:.*', '', 'g'), '\s{2,}', ' ', 'g'), ' -;' || chr(9)) AS line FROM (" + _INLINE + ")")
+def inline_noise(spark, d):
+    return view(spark, d, _INLINE).select("p_partkey", L.strip_inline(F.col("line")).alias("line"))
+
+
+_BROKEN = "SELECT p_partkey, replace(CASE p_partkey % 5 WHEN 0 THEN p_name || '@鈥' || p_type WHEN 1 THEN p_name || '-~next(cid:0)' WHEN 2 THEN p_name || '  ~~~~' || p_brand WHEN 3 THEN 'a@~b铿' || p_name || 'åº' ELSE p_name || ' -~x' END, '@', '#') AS raw FROM part"
+
+
+@query(r"""WITH t AS (SELECT p_partkey, replace(replace(raw, '#', chr(13)), '~', chr(10)) AS x FROM (""" + _BROKEN + r"""))
+SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '鈥', '-'), '铿', ''), 'åº', ' '), '(cid:0)', ' '), '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM t""")
+def text_artifacts(spark, d):
+    raw = F.replace(F.replace(F.col("raw"), F.lit("#"), F.lit("\r")), F.lit("~"), F.lit("\n"))
+    return view(spark, d, _BROKEN).select("p_partkey", L.artifacts(raw).alias("text"))
+
+
+_CITED = """SELECT c_custkey, replace(CASE c_custkey % 7 WHEN 0 THEN c_name || '~References~' || c_custkey WHEN 1 THEN 'a~[1] x~b~[2] y~c' WHEN 2 THEN 'a~[1] x~b' WHEN 3 THEN 'the reference~list of ' || c_name WHEN 4 THEN 'Bibliography of it all~' || c_name WHEN 5 THEN 'these references stand in a long line~' || c_name ELSE c_name || '~Funding~x' END, '~', '^') AS text FROM customer"""
+
+
+@query("""WITH l AS (SELECT c_custkey, unnest(string_split(text, '^')) AS x, generate_subscripts(string_split(text, '^'), 1) AS k FROM (""" + _CITED + """)),
+ f AS (SELECT *, lower(x) IN ('references', 'funding') AS tail, lower(x) IN ('reference', 'references', 'bibliography') OR (length(x) < 30 AND (prefix(lower(x), 'reference') OR prefix(lower(x), 'bibliography'))) OR (length(x) < 20 AND (contains(lower(x), 'reference') OR contains(lower(x), 'bibliography'))) AS named, regexp_matches(x, '^\\[\\d+\\]') AS cited FROM l),
+ s AS (SELECT *, named OR tail OR (cited AND count_if(cited) OVER (PARTITION BY c_custkey ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) >= 2) AS stop FROM f),
+ e AS (SELECT c_custkey, min(k) FILTER (stop) AS at FROM s GROUP BY 1)
+SELECT c_custkey, coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (at IS NULL OR k < at), '') AS text FROM s JOIN e USING (c_custkey) GROUP BY 1""".replace(" AS at ", " AS at_ ").replace("(at IS NULL OR k < at)", "(at_ IS NULL OR k < at_)"))
+def without_references(spark, d):
+    return view(spark, d, _CITED).select("c_custkey", L.without_references(F.replace("text", F.lit("^"), F.lit("\n"))).alias("text"))
+
+
+@query(r"""WITH l AS (SELECT source AS path, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+ e AS (SELECT path, unnest(list_concat(ls[1:3], ls[greatest(len(ls) - 2, 1):])) AS x FROM l), n AS (SELECT path, regexp_replace(regexp_replace(lower(x), '\d+', '#', 'g'), '[^a-z0-9# ]', '', 'g') AS line FROM e)
+SELECT path, line, count(*) AS n FROM n WHERE length(line) BETWEEN 6 AND 100 GROUP BY 1, 2 HAVING count(*) >= 2""")
+def boundary_lines(spark, d):
+    return S.boundary_lines(table(spark, d, "documents").select(F.col("source").alias("path"), "text"))
+
+
+# ---- outlines and labels
+
+_MARKS = """SELECT 'd' || CAST(floor(c_custkey / 10) AS INTEGER) AS path, CAST(c_custkey % 10 AS INTEGER) AS ord, CASE WHEN c_custkey % 10 = 8 AND c_custkey % 3 = 0 THEN 'List of References' WHEN c_custkey % 11 = 0 THEN '2.1 small ' || c_custkey WHEN c_custkey % 13 = 0 THEN 'abstract' WHEN c_custkey % 17 = 0 THEN '结果 ' || c_custkey WHEN c_custkey % 19 = 0 THEN '12' ELSE '3. Part  ' || c_custkey END AS title,
+ CAST((c_custkey % 10) * (c_custkey % 7) AS INTEGER) AS page, CAST(1 + c_custkey % 3 AS INTEGER) AS level FROM customer"""
+_OUTLINE = f"""m AS ({_MARKS}), g AS (SELECT * FROM m WHERE regexp_matches(trim(title), '(?i)^abstract\\b') OR regexp_matches(title, '^[一-鿿]') OR regexp_extract(title, '^[\\d.\\s]*([a-zA-Z])', 1) = '' OR regexp_matches(regexp_extract(title, '^[\\d.\\s]*([a-zA-Z])', 1), '[A-Z]')),
+ k AS (SELECT path FROM g GROUP BY 1 HAVING count(*) BETWEEN 3 AND 20), o AS (SELECT * FROM g WHERE path IN (SELECT path FROM k) AND NOT EXISTS (SELECT 1 FROM g r WHERE r.path = g.path AND r.ord <= g.ord AND contains(lower(r.title), 'reference')))"""
+
+
+@query(f"WITH {_OUTLINE} SELECT path, ord, title, page, level FROM o")
+def outline_filter(spark, d):
+    return S.outline(view(spark, d, _MARKS))
+
+
+@query(f"""WITH {_OUTLINE}, s AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page, ord) AS k FROM o), n AS (SELECT a.path, a.k, min(b.k) AS nk FROM s a JOIN s b ON a.path = b.path AND b.k > a.k AND b.level <= a.level GROUP BY 1, 2)
+SELECT s.path, CAST(s.k AS INTEGER) AS section_no, trim(regexp_replace(regexp_replace(s.title, '^[\\d.]+\\s*', ''), '\\s+', ' ', 'g')) AS title, s.page + 1 AS page_start, CASE WHEN nk IS NULL THEN 70 WHEN t.page = s.page THEN s.page + 1 ELSE t.page END AS page_end FROM s LEFT JOIN n ON n.path = s.path AND n.k = s.k LEFT JOIN s t ON t.path = s.path AND t.k = nk""")
+def section_page_ranges(spark, d):
+    m = view(spark, d, _MARKS)
+    return S.page_ranges(S.outline(m), m.select("path").distinct().withColumn("total_pages", F.lit(70)))
+
+
+@query("SELECT count(*) AS total_files, count_if(o_orderkey % 4 = 0) AS processed_successfully, count_if(o_orderkey % 4 = 1) AS skipped_no_bookmarks, count_if(o_orderkey % 4 = 2) AS skipped_too_many_bookmarks, count_if(o_orderkey % 4 = 3) AS failed FROM orders")
+def pdf_batch_stats(spark, d):
+    error = F.expr("CASE o_orderkey % 4 WHEN 1 THEN 'No bookmark structure found' WHEN 2 THEN 'Too many bookmarks: 30 > 20' WHEN 3 THEN 'broken' END")
+    return S.batch_stats(table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), error.alias("error")))
+
+
+_CHUNKS = """SELECT 'p' || o_custkey AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS chunk_index, 's' || o_orderkey AS section_id, CASE o_orderkey % 9 WHEN 0 THEN 'Abstract' WHEN 1 THEN '1. Introduction ' WHEN 2 THEN '讨论' WHEN 3 THEN 'Conclusion' WHEN 4 THEN '' ELSE o_orderpriority END AS title,
+ CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'text ' || o_orderkey END AS text, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 20 AS INTEGER) END AS page_start, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 20 + o_orderkey % 2 AS INTEGER) END AS page_end FROM orders"""
+_EARLY, _CLOSING = "regexp_matches(lower(trim(title)), '\\b(abstract|introduction)\\b')", "(regexp_matches(lower(trim(title)), '\\bdiscussion\\b|\\bconclusion\\b') OR trim(title) = '讨论')"
+_SELECTED = f"""c AS ({_CHUNKS}), f AS (SELECT *, {_EARLY} AS early, bool_or({_EARLY}) OVER (PARTITION BY path) AS has_early, row_number() OVER (PARTITION BY path ORDER BY chunk_index) AS k FROM c WHERE trim(text) <> ''),
+ g AS (SELECT *, CASE WHEN CASE WHEN has_early THEN early ELSE k <= 2 END THEN 0 WHEN {_CLOSING} THEN 1 END AS grp FROM f), s AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY grp, chunk_index) AS INTEGER) AS picked FROM g WHERE grp IS NOT NULL)"""
+
+
+@query(f"WITH {_SELECTED} SELECT path, chunk_index, picked FROM s")
+def chunk_selection(spark, d):
+    return S.selected_chunks(view(spark, d, _CHUNKS)).select("path", "chunk_index", "picked")
+
+
+_PLACE = f"CASE WHEN title = '' THEN section_id WHEN regexp_matches(lower(title), '\\babstract\\b') THEN '摘要' WHEN regexp_matches(lower(title), '\\bintroduction\\b') THEN '前言' ELSE title END || ' / chunk ' || chunk_index"
+
+
+@query(f"SELECT path, chunk_index, {_PLACE} || CASE WHEN page_end IS NOT NULL AND page_end <> page_start THEN ' / pages ' || (page_start + 1) || '-' || (page_end + 1) WHEN page_start IS NOT NULL THEN ' / page ' || (page_start + 1) ELSE '' END AS location FROM ({_CHUNKS})")
+def chunk_locations(spark, d):
+    return view(spark, d, _CHUNKS).select("path", "chunk_index", S.location(F.col("title"), F.col("section_id"), F.col("chunk_index"), F.col("page_start"), F.col("page_end")).alias("location"))
+
+
+@query(f"""WITH {_SELECTED} SELECT path, 'RULES' || chr(10) || chr(10) || 'Paper snippets:' || chr(10) || chr(10) || string_agg('[CHUNK ' || chunk_index || '] id=' || section_id || ' title=''' || title || ''' loc=' || {_PLACE} || chr(10) || trim(text), chr(10) || chr(10) ORDER BY picked) AS payload FROM s GROUP BY 1""")
+def mentor_prompts(spark, d):
+    return M.mentor_prompts(view(spark, d, _CHUNKS), "RULES")
+
+
+@query(f"SELECT path, chunk_index, 'RULES' || chr(10) || chr(10) || 'Section: ' || section_id || chr(10) || text AS payload FROM ({_CHUNKS}) WHERE trim(text) <> ''")
+def section_prompts(spark, d):
+    return M.section_prompts(view(spark, d, _CHUNKS), "RULES")
+
+
+_TRIPLES = "SELECT p_brand AS subject, 'of' AS predicate, p_type AS object, count(*) AS n, min(p_partkey) AS ord FROM part GROUP BY 1, 3"
+
+
+@query(f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY n DESC, ord) AS k FROM ({_TRIPLES}) ORDER BY n DESC, ord LIMIT 150) SELECT 'RULES' || chr(10) || string_agg(k || '. ' || subject || ' | of | ' || object || ' (' || n || ')', chr(10) ORDER BY k) AS payload FROM t""")
+def cluster_prompts(spark, d):
+    return M.cluster_prompts(view(spark, d, _TRIPLES), "RULES")
+
+
+_TEXTS = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'short^A deep Learning system of ' || o_custkey || '^x' WHEN 1 THEN 'no^title here' WHEN 2 THEN '1^2^3^4^5^6^7^8^9^10^a late network model' WHEN 3 THEN '  An Algorithm for ' || o_custkey || '  ' WHEN 4 THEN repeat('network ', 40) ELSE '' END AS text FROM orders"""
+
+
+@query(f"""WITH l AS (SELECT o_orderkey, unnest(string_split(text, '^')) AS x, generate_subscripts(string_split(text, '^'), 1) AS k FROM ({_TEXTS})), g AS (SELECT o_orderkey, arg_min(trim(x), k) AS title FROM l WHERE k <= 10 AND length(trim(x)) > 10 AND length(trim(x)) < 200 AND regexp_matches(lower(x), 'learning|model|network|algorithm') GROUP BY 1)
+SELECT t.o_orderkey, coalesce(title, 'Unknown Title') AS title FROM ({_TEXTS}) t LEFT JOIN g USING (o_orderkey)""")
+def guessed_titles(spark, d):
+    return view(spark, d, _TEXTS).select("o_orderkey", S.guessed_title(F.replace("text", F.lit("^"), F.lit("\n"))).alias("title"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE (o_orderkey * 37 % 20000) / 2.0 END AS s FROM orders), p AS (SELECT *, CAST(floor(s / 3600) AS INTEGER) AS h, CAST(floor((s - 3600 * floor(s / 3600)) / 60) AS INTEGER) AS m, format('{:.1f}', s - 60 * floor(s / 60)) AS r FROM t)
+SELECT o_orderkey, CASE WHEN s < 60 THEN r || 's' WHEN s < 3600 THEN m || 'm ' || r || 's' ELSE h || 'h ' || m || 'm ' || r || 's' END AS duration, 'out_' || o_orderkey || '_' || o_orderstatus || '.ttl' AS file FROM p JOIN orders USING (o_orderkey)""")
+def duration_labels(spark, d):
+    s = F.when(F.expr("o_orderkey % 7 = 0"), 0.0).otherwise(F.expr("CAST(o_orderkey * 37 % 20000 AS DOUBLE) / 2"))
+    return table(spark, d, "orders").select("o_orderkey", S.duration(s).alias("duration"), S.file_name("out_{paper_name}_{timestamp}.ttl", F.concat("o_orderkey", F.lit(".json")), F.col("o_orderstatus")).alias("file"))
+
+
+# ---- texts for a model
+
+_BODY = "repeat('a long body of text ', 8)"
+_PAPER = f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' PMID-' || (100000 + p_partkey) || ' ' ELSE p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN ' About ' || p_name ELSE '' END AS abstract, CASE WHEN p_partkey % 5 = 0 THEN 'k1, ,' || p_brand ELSE '' END AS words,
+ CASE p_size % 4 WHEN 0 THEN 'intro^## References^^' || {_BODY} || '^## ' || p_type || ' ^' || {_BODY} || 'x^y^## Short^no' WHEN 1 THEN 'plain ^^ ' || p_name WHEN 2 THEN '' ELSE '## One^' || repeat('w ', 500) || '^## Two^' || {_BODY} || '^## Three^' || {_BODY} END AS content, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS subdomain, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE NULL END AS parent FROM part"""
+_WIDE = "trim(repeat('a long body of text ', 8))"
+_SUMMARY = f"CASE p_size % 4 WHEN 0 THEN p_type || ': ' || {_WIDE} || ' x y' WHEN 1 THEN 'plain ' || p_name WHEN 2 THEN '' ELSE 'One: ' || trim(left(repeat('w ', 500), 700)) || chr(10) || 'Two: ' || {_WIDE} END"
+
+
+@query(f"""WITH t AS (SELECT t.*, {_SUMMARY} AS summary FROM ({_PAPER}) t JOIN part USING (p_partkey)) SELECT p_partkey, 'Title: ' || trim(title) || CASE WHEN abstract <> '' THEN chr(10) || 'Abstract: ' || trim(abstract) ELSE '' END || CASE WHEN words <> '' THEN chr(10) || 'Keywords: ' || replace(words, ' ,', ' ') ELSE '' END
+ || CASE WHEN abstract = '' AND words = '' AND summary <> '' THEN chr(10) || CASE WHEN p_partkey % 4 = 0 THEN 'Content summary (fallback because title is identifier-like): ' ELSE 'Content summary: ' END || summary ELSE '' END || CASE WHEN subdomain <> '' THEN chr(10) || 'Assigned subdomain: ' || subdomain ELSE '' END || CASE WHEN parent IS NOT NULL THEN chr(10) || 'Parent domain: ' || parent ELSE '' END AS text FROM t""")
+def classification_text(spark, d):
+    t = view(spark, d, _PAPER).withColumn("content", F.replace("content", F.lit("^"), F.lit("\n"))).withColumn("keywords", F.split("words", ","))
+    return t.select("p_partkey", M.classification_text(*[F.col(c) for c in ("title", "abstract", "keywords", "content", "subdomain", "parent")]).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT t.*, {_SUMMARY} AS summary FROM ({_PAPER}) t JOIN part USING (p_partkey)) SELECT p_partkey, 'Title: ' || trim(title) || CASE WHEN subdomain <> '' THEN chr(10) || 'Assigned subdomain: ' || subdomain ELSE '' END || CASE WHEN parent IS NOT NULL THEN chr(10) || 'Parent domain: ' || parent ELSE '' END || CASE WHEN abstract <> '' THEN chr(10) || 'Abstract: ' || trim(abstract) ELSE '' END || CASE WHEN words <> '' THEN chr(10) || 'Keywords: ' || replace(words, ' ,', ' ') ELSE '' END
+ || CASE WHEN abstract = '' AND summary <> '' THEN chr(10) || 'Content summary: ' || summary ELSE '' END || chr(10) || 'Use the assigned subdomain only as a soft prior for interpreting ambiguous terms. Do not invent any fact that is not explicitly supported by the chunk.' AS text FROM t""")
+def extraction_context(spark, d):
+    t = view(spark, d, _PAPER).withColumn("content", F.replace("content", F.lit("^"), F.lit("\n"))).withColumn("keywords", F.split("words", ","))
+    return t.select("p_partkey", M.extraction_context(*[F.col(c) for c in ("title", "subdomain", "parent", "abstract", "keywords", "content")]).alias("text"))
+
+
+@query("""SELECT p_partkey, concat_ws(chr(10), '论文标题: ' || p_name, CASE WHEN p_size % 2 = 0 THEN '论文子领域: ' || p_type END, CASE WHEN p_size % 3 = 0 THEN '父领域: ' || p_brand END) AS claim, '证据: ' || left(repeat(p_name || ' ', 20), 200) || '... | 论文标题: ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' | 论文子领域: ' || p_type ELSE '' END || ' | 声明类型: ontology' AS entity FROM part""")
+def claim_contexts(spark, d):
+    p = table(spark, d, "part")
+    sub, parent, none = F.expr("CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END"), F.expr("CASE WHEN p_size % 3 = 0 THEN p_brand END"), F.lit(None).cast("string")
+    return p.select("p_partkey", M.claim_context(F.col("p_name"), sub, parent, none).alias("claim"), M.entity_context(F.expr("repeat(p_name || ' ', 20)"), F.col("p_name"), sub, none, F.lit("ontology")).alias("entity"))
+
+
+_EDGES = "SELECT p_type AS child, p_brand AS parent, min(CASE WHEN p_size % 2 = 0 THEN 'llm' ELSE '' END) AS source FROM part WHERE p_size < 3 GROUP BY 1, 2"
+
+
+@query(f"""WITH e AS (SELECT * FROM ({_EDGES}) ORDER BY child, parent LIMIT 200), h AS (SELECT string_agg(child || ', rdfs:subClassOf, ' || parent || ', null, ' || CASE source WHEN '' THEN 'graph' ELSE source END, chr(10) ORDER BY child, parent, source) AS t FROM e)
+SELECT p_partkey, '[Top Domain] Biomedicine' || chr(10) || '[Allow New Subdomain] Yes' || chr(10) || '[Given Hierarchy]' || chr(10) || t || chr(10) || chr(10) || '[Given Text]' || chr(10) || p_name || chr(10) AS payload FROM part, h""")
+def classification_prompts(spark, d):
+    h = M.hierarchy_text(view(spark, d, _EDGES), "Biomedicine")
+    return M.classification_prompts(table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("text")), h, "Biomedicine").withColumnRenamed("paper_id", "p_partkey")
