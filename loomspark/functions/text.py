@@ -27,9 +27,13 @@ MEDIUM_RELATIONS = ("associated_with", "inhibits", "activates", "causes", "combi
 ANSWER_PATTERNS = (r"The correct answer is boxed\s*\{([ABCD])\}", r"boxed\s*\{([ABCD])\}", r"答案是\s*([ABCD])", r"选择\s*([ABCD])", r"正确答案是\s*([ABCD])", r"答案：\s*([ABCD])", r"选项\s*([ABCD])", r"^([ABCD])$", r"^([ABCD])\.", r"\b([ABCD])\b")
 
 
+#: White space as texts are stripped of it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    """Trim all Unicode white space."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space; by a set of signs, which costs no search over the whole text."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -38,7 +42,8 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def n_words(x: Column) -> Column:
-    return F.when(strip(x) == "", 0).otherwise(F.size(F.split(strip(x), r"(?U)\s+")))
+    """The runs of signs that are no white space."""
+    return F.regexp_count(x, F.lit(r"(?U)\S+"))
 
 
 def one_of(x: Column, values) -> Column:

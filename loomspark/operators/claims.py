@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,24 +48,31 @@ def valid_entity(name: Column, claim_type: Column) -> Column:
     return ~bad
 
 
-def drop_reason() -> Column:
-    """Why a claim is dropped, by the first rule that says so; null for those that stay."""
-    s, o, r, e = (X.strip(F.col(c)) for c in ("subject", "object", "relation", "evidence"))
-    title = F.lower(X.strip(F.coalesce("section_title", F.lit(""))))
-    symbols = lambda x: F.length(F.regexp_replace(x, r"(?U)[\d\W_]", "")) == 0
-    return (
+def with_drop_reason(claims: DataFrame) -> DataFrame:
+    """Claims with ``drop_reason``: the first rule by which a claim is dropped; null for those that stay.
+
+    The trimmed texts and their word counts are columns of a projection of their own, so that no rule computes them again; the rules that
+    compare come before those that search.
+    """
+    names = ("subject", "object", "relation", "evidence")
+    t = claims.withColumns({f"_{c}": X.strip(F.coalesce(F.col(c), F.lit(""))) for c in names} | {"_title": F.lower(X.strip(F.coalesce("section_title", F.lit(""))))})
+    t = t.withColumns({f"_n_{c}": X.n_words(F.col(f"_{c}")) for c in ("subject", "object", "relation")})
+    s, o, r, e, title = (F.col(c) for c in ("_subject", "_object", "_relation", "_evidence", "_title"))
+    symbols = lambda x: ~x.rlike(r"(?U)[^\d\W_]")
+    why = (
         F.when(s == o, "self_loop")
-        .when(F.length(F.coalesce(e, F.lit(""))) < 10, "short_evidence")
+        .when(F.length(e) < 10, "short_evidence")
         .when(s.rlike(ARTIFACT_START) | o.rlike(ARTIFACT_START), "artifact")
         .when(~r.isin(*X.ONTOLOGY_RELATIONS, *X.INSTANCE_RELATIONS), "relation_set")
-        .when((X.n_words(s) > 15) | (X.n_words(o) > 15), "sentence")
-        .when((F.length(r) > 40) | (X.n_words(r) > 5) | F.lower(r).isin(*ODD_RELATIONS), "relation_shape")
+        .when((F.col("_n_subject") > 15) | (F.col("_n_object") > 15), "sentence")
+        .when((F.length(r) > 40) | (F.col("_n_relation") > 5) | F.lower(r).isin(*ODD_RELATIONS), "relation_shape")
         .when(symbols(s) | symbols(o), "symbols")
         .when(is_meta(s) | is_meta(o), "meta_entity")
         .when(e.rlike(META_EVIDENCE), "meta_evidence")
         .when(title.rlike("^(introduction|background)") & (F.col("claim_type") == "instance"), "section")
         .when(title.rlike("methods|experimental|materials") & ~r.isin(*METHOD_RELATIONS), "section")
     )
+    return t.withColumn("drop_reason", why).select(*claims.columns, "drop_reason")
 
 
 def blacklisted(name: Column) -> Column:
@@ -89,3 +98,8 @@ def cap(claims: DataFrame, n: int, *group: str) -> DataFrame:
     score = X.claim_priority(*[F.col(c) for c in ("claim_type", "relation", "section_title", "subject", "object")])
     w = Window.partitionBy(*group).orderBy(F.desc("priority"), "claim_ord")
     return claims.withColumn("priority", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def bag_union(*chunks: DataFrame) -> DataFrame:
+    """The claims of all chunks, repeated ones too; columns are met by name."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), chunks)

@@ -1,4 +1,4 @@
-"""What a language model answers, as tables: prompts in, responses out, decoded without trust.
+"""What a language model answers, as tables: prompts in, responses out, decoded without trust.
 
 A provider is a function of a frame (prompt_hash, payload) to one of (prompt_hash, response). ``replay`` reads stored answers; rules are plain
 columns; ``remote`` wraps a function that answers a batch of prompts.
@@ -6,10 +6,11 @@ columns; ``remote`` wraps a function that answers a batch of prompts.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -28,23 +29,120 @@ def replay(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     return prompts.select("prompt_hash").distinct().join(answers.select("prompt_hash", "response"), "prompt_hash", "left")
 
 
-def remote(prompts: DataFrame, ask: Callable[[list[str]], list[str | None]], tries: int = 3) -> DataFrame:
-    """Answers by ``ask`` for Arrow batches of distinct prompts; a batch that fails ``tries`` times is answered by nulls."""
+#: Parts of messages that mark an error as passing.
+PASSING = ("connection error", "timeout", "timed out", "max retries exceeded", "ssl", "eof occurred in violation of protocol", "temporarily unavailable", "server error", "rate limit", "429", "503", "502", "504")
+
+
+def retryable(error: BaseException) -> bool:
+    """Connections, timeouts, server statuses, and messages that say so."""
+    status = getattr(error, "status", getattr(getattr(error, "response", None), "status_code", None))
+    if status is not None:
+        return int(status) >= 500
+    return isinstance(error, (ConnectionError, TimeoutError)) or any(m in str(error).lower() for m in PASSING)
+
+
+def delay(attempt: int, base: float = 2.0, most: float = 12.0) -> float:
+    """The seconds to wait after a try, from 1."""
+    return min(base * 2 ** max(0, attempt - 1), most)
+
+
+def remote(prompts: DataFrame, ask: Callable[[list[str]], list[str | None]], tries: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Answers by ``ask`` for Arrow batches of distinct prompts; passing errors are tried again with growing waits.
+
+    A batch that fails for good is answered by ``API Error: ...``, which no decoder takes for an answer. ``ask`` is made once a task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            answers: list[str | None] = [None] * len(b)
-            for _ in range(tries):
+            answers: list[str | None] = []
+            for attempt in range(1, tries + 1):
                 try:
                     answers = ask(list(b["payload"]))
                     break
-                except (ConnectionError, TimeoutError):
-                    continue
+                except Exception as e:  # noqa: BLE001  any error of a client is data here
+                    answers = [f"API Error: {e}"] * len(b)
+                    if attempt == tries or not retryable(e):
+                        break
+                    wait(delay(attempt))
             yield pd.DataFrame({"prompt_hash": b["prompt_hash"], "response": answers})
 
     return prompts.select("prompt_hash", "payload").dropDuplicates(["prompt_hash"]).mapInPandas(run, "prompt_hash STRING, response STRING")
 
 
+def chat_body(model: str, payload: Column, system: str = "", json_mode: bool = False, temperature: float = 0.1, most: int = 8192) -> Column:
+    """The JSON body of a chat request for each payload, for any client that posts it."""
+    say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(*([say("system", F.lit(system))] if system else []), say("user", payload))
+    more = [F.struct(F.lit("json_object").alias("type")).alias("response_format")] if json_mode else []
+    return F.to_json(F.struct(F.lit(model).alias("model"), messages.alias("messages"), F.lit(most).alias("max_tokens"), F.lit(temperature).alias("temperature"), *more))
+
+
+def response_text(body: Column) -> Column:
+    """The text in a response body of any known shape: a list with content parts; choices, output (parts or text), content, text; else the body itself."""
+    b = F.ltrim(F.coalesce(body, F.lit("")))
+    got = lambda p: F.get_json_object(b, p)
+    part = lambda p: F.get(F.filter(F.transform(F.from_json(got(p), "ARRAY<STRING>"), lambda x: F.get_json_object(x, "$.text")), lambda x: x.isNotNull()), F.lit(0))
+    listed = part("$[0].content")
+    mapped = F.when(got("$.choices[0]").isNotNull(), F.coalesce(got("$.choices[0].message.content"), F.lit(""))).when(got("$.output").isNotNull(), F.coalesce(part("$.output[0].content"), got("$.output"))).otherwise(F.coalesce(got("$.content"), got("$.text")))
+    return F.coalesce(F.nullif(F.when(b.startswith("["), listed).when(b.startswith("{"), mapped), F.lit("")), body)
+
+
+def verdicts(answers: DataFrame) -> DataFrame:
+    """(prompt_hash, valid, confidence, reasoning) of judgements; what is no JSON is invalid with confidence 0."""
+    j = F.from_json(cleaned(F.col("response")), "STRUCT<valid BOOLEAN, confidence DOUBLE, reasoning STRING>")
+    t = answers.select("prompt_hash", j.alias("j"))
+    return t.select("prompt_hash", F.coalesce("j.valid", F.lit(False)).alias("valid"), F.coalesce("j.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("j.reasoning", F.lit("Error: no judgement")).alias("reasoning"))
+
+
+def grounded_names(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """(prompt_hash, name, entity_id): what each answer maps the asked names (prompt_hash, name) to; null where it doesn't."""
+    m = answers.select("prompt_hash", F.from_json(cleaned(F.col("response")), "MAP<STRING, STRING>").alias("_m"))
+    return asked.join(m, "prompt_hash", "left").select("prompt_hash", "name", F.try_element_at("_m", F.col("name")).alias("entity_id"))
+
+
+def merge_decisions(answers: DataFrame) -> DataFrame:
+    """(query_id, decision, entity_id): ``merge`` only where the answer says so and names an entity, else ``new``."""
+    j = F.from_json(cleaned(F.col("response")), "STRUCT<decision STRING, entity_id STRING>")
+    t = answers.select("query_id", j.alias("j"))
+    merge = F.coalesce((F.lower("j.decision") == "merge") & (F.coalesce("j.entity_id", F.lit("")) != ""), F.lit(False))
+    return t.select("query_id", F.when(merge, "merge").otherwise("new").alias("decision"), F.when(merge, F.col("j.entity_id")).alias("entity_id"))
+
+
+def mock(prompts: DataFrame) -> DataFrame:
+    """The fixed provider of tests: every judgement is valid with confidence 0.9."""
+    return prompts.select("prompt_hash").distinct().withColumn("response", F.lit('{"valid": true, "confidence": 0.9, "reasoning": "mock_reasoning"}'))
+
+
+def batched(claims: DataFrame, size: int = 20, group: str = "paper_id") -> DataFrame:
+    """(group, batch, claim_ords): the claims of each group in batches of ``size`` by ``claim_ord``."""
+    w = Window.partitionBy(group).orderBy("claim_ord")
+    b = claims.select(group, "claim_ord", F.floor((F.row_number().over(w) - 1) / size).alias("batch"))
+    return b.groupBy(group, "batch").agg(F.array_sort(F.collect_list("claim_ord")).alias("claim_ords"))
+
+
+def positional(batches: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
+    """(claim_ord, response): the answer list of each batch (keys, response) dealt to its claims by position; null where it is too short or no list."""
+    a = answers.select(*keys, F.from_json(cleaned(F.col("response")), "ARRAY<STRING>").alias("_a"))
+    t = batches.join(a, list(keys), "left").select(F.posexplode("claim_ords").alias("_k", "claim_ord"), "_a")
+    return t.select("claim_ord", F.get("_a", F.col("_k")).alias("response"))
+
+
+def uncached(claims: DataFrame, cache: DataFrame) -> DataFrame:
+    """The claims whose fingerprint (subject, relation, object, paper) no cached verdict has."""
+    key = X.fingerprint(*[F.coalesce(F.col(c), F.lit("")) for c in ("subject", "relation", "object", "source_paper_id")])
+    return claims.withColumn("fingerprint", key).join(cache.select("fingerprint").distinct(), "fingerprint", "left_anti")
+
+
+def triples_from(answers: DataFrame) -> DataFrame:
+    """(path, kind, name, note) of items in mentor answers; items of other kinds or without name or note go."""
+    item = "STRUCT<`类型` STRING, `名称` STRING, `片段` STRING>"
+    r = cleaned(F.col("response"))
+    t = answers.select("path", F.posexplode(X.json_maps(F.get_json_object(F.when(r.startswith("{"), r), "$.items"), item)).alias("pos", "i"))
+    text = lambda c: X.strip(F.coalesce(F.col(f"i.{c}"), F.lit("")))
+    t = t.select("path", "pos", text("类型").alias("kind"), text("名称").alias("name"), text("片段").alias("note"))
+    return t.filter(F.col("kind").isin("概念", "关系") & (F.col("name") != "") & (F.col("note") != ""))
+
+
 def cleaned(response: Column) -> Column:
     """the text inside a fence, else the text without loose fence marks."""
     r = X.strip(F.coalesce(response, F.lit("")))

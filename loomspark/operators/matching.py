@@ -57,3 +57,14 @@ def scores(n_gold: DataFrame, n_pred: DataFrame, n_hit: DataFrame) -> DataFrame:
         one = one.join(t.toDF(name).withColumn("_one", F.lit(1)), "_one")
     out = one.drop("_one").withColumn("precision", X.ratio(F.col("n_hit"), F.col("n_pred"))).withColumn("recall", X.ratio(F.col("n_hit"), F.col("n_gold")))
     return out.withColumn("f1", X.f1(F.col("precision"), F.col("recall")))
+
+
+def unmatched(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(paper_id, side, name) of the distinct gold and predicted names that no pair holds."""
+    left = lambda t, c: t.select("paper_id", F.col("name")).distinct().join(pairs.select("paper_id", F.col(c).alias("name")), ["paper_id", "name"], "left_anti").select("paper_id", F.lit(c).alias("side"), "name")
+    return left(gold, "gold").union(left(pred, "pred"))
+
+
+def once(t: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key in any case: the smallest by text."""
+    return t.groupBy(*[F.lower(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct(*t.columns)).alias("r")).select("r.*")

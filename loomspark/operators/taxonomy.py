@@ -129,3 +129,49 @@ def apply_round(candidates: DataFrame, subdomains: DataFrame, suggests: DataFram
     first = moved.groupBy("paper_id").agg(F.min(F.struct("_c", "_s")).alias("f")).select("paper_id", F.col("f._s").alias("_s"))
     papers = first.join(now, "_s").select("paper_id", F.col("name").alias("subdomain"), F.col("parent").alias("parent_domain"))
     return {"candidates": left, "subdomains": now.drop("_s"), "links": links, "papers": papers}
+
+
+# ---- labels of a hierarchy and the fallback without a model
+
+
+def known_labels(hierarchy: DataFrame, root: str) -> DataFrame:
+    """The distinct normalised labels of a hierarchy (child, parent, ord) with ``ord``, their place: the root first, then children and parents as they come."""
+    both = hierarchy.select("ord", F.posexplode(F.array("child", "parent")).alias("k", "label")).select((2 * F.col("ord") + F.col("k")).alias("ord"), X.normalize_label(F.col("label")).alias("name"))
+    first = hierarchy.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("ord"), X.normalize_label(F.lit(root)).alias("name"))
+    return both.unionByName(first).filter("name != ''").groupBy("name").agg(F.min("ord").alias("ord"))
+
+
+def first_parents(hierarchy: DataFrame) -> DataFrame:
+    """(child, parent): the first parent of each normalised child."""
+    t = hierarchy.select("ord", *[X.normalize_label(F.col(c)).alias(c) for c in ("child", "parent")]).filter("child != '' and parent != ''")
+    return t.groupBy("child").agg(F.min_by("parent", "ord").alias("parent"))
+
+
+def keyword_scores(papers: DataFrame, rules: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
+    """(paper_id, subdomain, parent_domain, score, confidence): the first best rule (parent, subdomain, keywords) by keywords in the normalised text.
+
+    Without a hit: cancer, pregnancy and infection words give their default, else general clinical medicine; the confidence is 0.4
+    with a hit and 0.25 without. The rules are a parameter of some dozens and are evaluated as literals.
+    """
+    text = X.normalize_label(F.coalesce("text", F.lit("")))
+    scores = F.array(*[sum((F.contains(F.col("_t"), X.normalize_label(F.lit(w))).cast("int") for w in words), F.lit(0)) for _, _, words in rules])
+    t = papers.select("paper_id", text.alias("_t")).withColumn("_s", scores).withColumn("score", F.coalesce(F.array_max("_s"), F.lit(0)))
+    at = F.array_position("_s", F.col("score")).cast("int") - 1
+    pick = lambda k: F.get(F.array(*[X.normalize_label(F.lit(r[k])) for r in rules]), at)
+    holds = lambda *ws: reduce(lambda a, b: a | b, [F.contains(F.col("_t"), F.lit(w)) for w in ws])
+    default = lambda cancer, birth, germ, other: F.when(holds("cancer", "tumor", "carcinoma"), cancer).when(holds("pregnan", "maternal", "fetal"), birth).when(holds("infection", "virus", "bacterial"), germ).otherwise(other)
+    hit = F.col("score") > 0
+    sub = F.when(hit, pick(1)).otherwise(default("cancer biology and therapy", "maternal-fetal medicine", "clinical infectious diseases", "general clinical medicine"))
+    up = F.when(hit, pick(0)).otherwise(default("oncology", "obstetrics and gynecology", "infectious diseases", None))
+    return t.select("paper_id", sub.alias("subdomain"), up.alias("parent_domain"), "score", F.when(hit, 0.4).otherwise(0.25).alias("confidence"))
+
+
+def relations_of(subdomain: Column, parent: Column, known: Column, given: Column) -> Column:
+    """The distinct normalised subclass relations of an answer, loops and blanks apart; a label that isn't known comes first, below its parent."""
+    n = lambda c: X.normalize_label(F.coalesce(c, F.lit("")))
+    one = lambda s, o: F.struct(s.alias("subject"), F.lit("subclass_of").alias("relation"), o.alias("object"))
+    none = F.filter(F.array(one(F.lit(""), F.lit(""))), lambda r: r.subject != "")
+    said = F.transform(F.filter(F.coalesce(given, F.array().cast("array<struct<subject:string,relation:string,object:string>>")), lambda r: (X.normalize_label(r.relation, keep_underscore=True) == "subclass_of") & (n(r.subject) != "") & (n(r.object) != "") & (n(r.subject) != n(r.object))), lambda r: one(n(r.subject), n(r.object)))
+    own = F.when(~known & (subdomain != "") & (parent != "") & (subdomain != parent), F.array(one(subdomain, parent))).otherwise(none)
+    distinct = F.array_distinct(said)
+    return F.concat(F.filter(own, lambda r: ~F.coalesce(F.array_contains(distinct, r), F.lit(False))), distinct)

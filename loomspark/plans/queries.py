@@ -71,13 +71,6 @@ def entity_context_topn(spark, d):
     return G.entity_context(n, edges(spark, d).drop("is_ontology"), wanted, 10)
 
 
-@query(f"WITH {WITH_EDGES}, {WITH_NODES} SELECT c.name AS child, p.name AS parent FROM edges JOIN nodes c ON src = c.id JOIN nodes p ON dst = p.id WHERE rel_type = 'subclass_of'")
-def ontology_hierarchy(spark, d):
-    n = nodes(spark, d)
-    e = edges(spark, d).filter("rel_type = 'subclass_of'")
-    return e.join(n.select(F.col("id").alias("src"), F.col("name").alias("child")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("parent")), "dst").select("child", "parent")
-
-
 @query(f"""WITH RECURSIVE {WITH_EDGES}, h AS (SELECT src, dst FROM edges WHERE rel_type IN ('subclass_of', 'located_in')),
  c AS (SELECT src AS child, dst AS ancestor, 1 AS distance FROM h UNION SELECT child, dst, distance + 1 FROM c JOIN h ON ancestor = src WHERE distance < 3)
 SELECT child, ancestor, min(distance) AS distance FROM c GROUP BY 1, 2""")
@@ -85,13 +78,6 @@ def hierarchy_closure(spark, d):
     return G.closure(edges(spark, d).filter("rel_type IN ('subclass_of', 'located_in')"), 3)
 
 
-@query(f"WITH {WITH_EDGES}, {WITH_NODES} SELECT p.name AS concept, c.id AS instance FROM edges JOIN nodes c ON src = c.id JOIN nodes p ON dst = p.id WHERE rel_type = 'located_in' AND p.is_concept")
-def instances_of_concept(spark, d):
-    n = nodes(spark, d)
-    concepts = n.filter("is_concept").select(F.col("id").alias("dst"), F.col("name").alias("concept"))
-    return edges(spark, d).filter("rel_type = 'located_in'").join(concepts, "dst").join(n.select(F.col("id").alias("src")), "src").select("concept", F.col("src").alias("instance"))
-
-
 @query(f"WITH {WITH_EDGES}, {WITH_NODES}, e AS (SELECT * FROM edges WHERE rel_type IN ('placed', 'subclass_of')) SELECT id, name FROM nodes WHERE NOT coalesce(is_concept, false) AND NOT EXISTS (SELECT 1 FROM e WHERE src = id OR dst = id)")
 def isolated_nodes(spark, d):
     return G.isolated(nodes(spark, d), edges(spark, d).filter("rel_type IN ('placed', 'subclass_of')"), keep_concepts=True).select("id", "name")
@@ -127,24 +113,6 @@ def claim_routing(spark, d):
     return c.groupBy(G.claim_route(F.col("claim_type"), F.col("relation"), F.col("subject"), F.col("object")).alias("route"), "claim_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {WITH_CLAIMS}, ok AS (SELECT * FROM claims WHERE subject_id <> object_id AND lower(subject) <> lower(object)),
- n AS (SELECT subject_id AS id, subject AS name, {ROUTE_SQL} <> 'instance' AS is_concept FROM ok UNION ALL SELECT object_id, object, {ROUTE_SQL} <> 'instance' FROM ok)
-SELECT id, min(name) AS name, bool_or(is_concept) AS is_concept FROM n GROUP BY id""")
-def claims_to_nodes(spark, d):
-    ok = claims(spark, d).filter("subject_id != object_id and lower(subject) != lower(object)")
-    concept = G.claim_route(F.col("claim_type"), F.col("relation"), F.col("subject"), F.col("object")) != "instance"
-    ends = lambda s: ok.select(F.col(f"{s}_id").alias("id"), F.col(s).alias("name"), concept.alias("is_concept"))
-    return G.upsert_nodes(ends("subject"), ends("object"))
-
-
-@query(f"WITH {WITH_CLAIMS} SELECT subject_id AS src, object_id AS dst, CASE {ROUTE_SQL} WHEN 'ontology_subclass' THEN 'SUBCLASS_OF' WHEN 'ontology_type' THEN 'TYPE' ELSE regexp_replace(replace(relation, ' ', '_'), '[^一-龥a-zA-Z0-9_]', '', 'g') END AS rel_type, count(*) AS n FROM claims WHERE subject_id <> object_id AND lower(subject) <> lower(object) GROUP BY 1, 2, 3")
-def claims_to_edges(spark, d):
-    ok = claims(spark, d).filter("subject_id != object_id and lower(subject) != lower(object)")
-    route = G.claim_route(F.col("claim_type"), F.col("relation"), F.col("subject"), F.col("object"))
-    kind = F.when(route == "ontology_subclass", "SUBCLASS_OF").when(route == "ontology_type", "TYPE").otherwise(X.sanitize_relation_type(F.col("relation")))
-    return ok.groupBy(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), kind.alias("rel_type")).agg(F.count("*").alias("n"))
-
-
 KEY_SQL = r"lower(trim(regexp_replace(regexp_replace(trim({0}), '\s+', ' ', 'g'), '\s*([,;:()\[\]/\-])\s*', '\1', 'g'), ' .;:,'))"
 
 
@@ -165,7 +133,7 @@ SELECT CASE WHEN s = o THEN 'self_loop' WHEN length(evidence) < 10 THEN 'short_e
  WHEN s = '---' THEN 'symbols' WHEN s = 'This Study' THEN 'meta_entity' WHEN evidence LIKE 'In this study%' THEN 'meta_evidence' WHEN t = 'introduction' AND claim_type = 'instance' THEN 'section'
  WHEN t LIKE '%methods%' AND relation NOT IN {_quoted(C.METHOD_RELATIONS)} THEN 'section' END AS reason FROM c) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def claim_filter_reasons(spark, d):
-    return claims(spark, d).groupBy(C.drop_reason().alias("reason")).agg(F.count("*").alias("n"))
+    return C.with_drop_reason(claims(spark, d)).groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {WITH_CLAIMS} SELECT CASE WHEN subject_id = object_id THEN 'self_loop' WHEN lower(subject) = lower(object) THEN 'same_entity' WHEN trim(subject) = '' OR regexp_matches(subject, '^({'|'.join(C.NAME_BLACKLIST)})|({'|'.join(C.NAME_BLACKLIST)})$') THEN 'invalid_subject'
@@ -192,106 +160,23 @@ def validation_batches(spark, d):
 # ---- vectors
 
 _DIST = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2])))"
-_RANKED = f"SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, d FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_DIST} AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id % 100 <> 0)"
-
-
-def _vectors(spark, d):
-    e = _t(spark, d, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return q, e.filter("vec_id % 100 != 0").select("vec_id", F.col("embedding").alias("v"))
-
-
-@query(f"SELECT query_id, vec_id, rank, round(d, 5) AS d FROM ({_RANKED}) WHERE rank <= 5")
-def vector_topk(spark, d):
-    return V.top_k(*_vectors(spark, d), 5).select("query_id", "vec_id", "rank", F.round("d", 5).alias("d"))
-
-
-@query(f"SELECT query_id, CASE WHEN d < 1.3 THEN 'v' || vec_id ELSE 'new' || query_id END AS entity_id, NOT d < 1.3 AS is_new FROM ({_RANKED}) WHERE rank = 1")
-def vector_top1_resolve(spark, d):
-    return V.resolve(*_vectors(spark, d), 1.3)
+_RANKED = f"SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, d FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_DIST} AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0)"
 
 
 # ---- taxonomy
 
 
 
-_RULES = {"the": ("the", "thth"), "french": ("eau", "aux"), "german": ("sch", "ung"), "spanish": ("ción", "mente")}
-
-
-@query("WITH s AS (SELECT doc_id, " + ", ".join("(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ws) + f") AS {k}" for k, ws in _RULES.items()) + " FROM documents) SELECT doc_id, CASE greatest(the, french, german, spanish) WHEN 0 THEN 'general' WHEN the THEN 'the' WHEN french THEN 'french' WHEN german THEN 'german' ELSE 'spanish' END AS label, CAST(greatest(the, french, german, spanish) AS BIGINT) AS score FROM s")
-def keyword_rule_classify(spark, d):
-    low = F.lower("text")
-    scores = [sum((low.contains(w).cast("long") for w in ws), F.lit(0).cast("long")) for ws in _RULES.values()]
-    s = _t(spark, d, "documents").select("doc_id", *[x.alias(k) for x, k in zip(scores, _RULES)]).withColumn("score", F.greatest(*_RULES))
-    label = F.when(F.col("score") == 0, "general")
-    for k in _RULES:
-        label = label.when(F.col(k) == F.col("score"), k)
-    return s.select("doc_id", label.alias("label"), "score")
 
 
 # ---- reports
 
-@query("""WITH t AS (SELECT user_id, count(*) AS n, count_if(event_type = 'view') AS extracted, count_if(event_type = 'click') AS grounded, count_if(event_type = 'purchase') AS written FROM events GROUP BY 1)
-SELECT user_id, extracted, grounded, written, CASE WHEN extracted = 0 THEN 0.0 ELSE round(grounded / extracted, 6) END AS grounding_rate, round(written / (sum(written) OVER ()), 6) AS share FROM t""")
-def pipeline_efficiency(spark, d):
-    kind = lambda k, n: F.count_if(F.col("event_type") == k).alias(n)
-    t = _t(spark, d, "events").groupBy("user_id").agg(kind("view", "extracted"), kind("click", "grounded"), kind("purchase", "written"))
-    total = t.agg(F.sum("written").alias("total"))
-    return t.join(F.broadcast(total)).select("user_id", "extracted", "grounded", "written", F.round(X.ratio(F.col("grounded"), F.col("extracted")), 6).alias("grounding_rate"), F.round(X.ratio(F.col("written"), F.col("total")), 6).alias("share"))
-
-
-@query("SELECT event_type, user_id, count(*) AS calls, round(sum(value), 4) AS seconds FROM events GROUP BY ROLLUP (event_type, user_id)")
-def stage_timing_rollup(spark, d):
-    return _t(spark, d, "events").rollup("event_type", "user_id").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("seconds"))
-
-
-@query("WITH c AS (SELECT l_returnflag AS relation, l_shipdate, l_orderkey FROM lineitem) SELECT relation, count(*) AS n, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS papers FROM c GROUP BY 1")
-def relation_distribution(spark, d):
-    return _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("relation")).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("papers"))
-
-
-@query(f"WITH {WITH_EDGES}, f AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT count(*) AS entities, round(avg(n), 6) AS mean_degree, count_if(n = 1) AS single, count_if(n > 1) AS shared FROM f")
-def entity_coverage(spark, d):
-    e = edges(spark, d)
-    f = e.select(F.col("src").alias("id")).union(e.select("dst")).groupBy("id").agg(F.count("*").alias("n"))
-    return f.agg(F.count("*").alias("entities"), F.round(F.avg("n"), 6).alias("mean_degree"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("shared"))
-
-
-@query(f"WITH {WITH_CLAIMS}, f AS (SELECT subject, relation, object, count(*) AS n, min(claim_ord) AS first_ord FROM claims GROUP BY 1, 2, 3) SELECT subject, relation, object, n FROM f ORDER BY n DESC, first_ord LIMIT 150")
-def relation_frequency_top(spark, d):
-    f = claims(spark, d).groupBy("subject", "relation", "object").agg(F.count("*").alias("n"), F.min("claim_ord").alias("first_ord"))
-    return f.orderBy(F.desc("n"), "first_ord").limit(150).drop("first_ord")
-
-
 @query(f"WITH {WITH_CLAIMS}, r AS (SELECT subject, relation, object, evidence, claim_ord, row_number() OVER (PARTITION BY subject, relation, object ORDER BY length(evidence) DESC, claim_ord) AS rn FROM claims) SELECT subject, relation, object, evidence FROM r WHERE rn = 1")
 def best_context(spark, d):
     c = claims(spark, d)
     return c.groupBy("subject", "relation", "object").agg(F.min_by("evidence", F.struct(-F.length("evidence"), "claim_ord")).alias("evidence"))
 
 
-@query("SELECT count(*) AS questions, max(n) AS most, min(n) AS least, round(avg(n), 6) AS mean, count(DISTINCT o_custkey) AS papers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
-def question_stats(spark, d):
-    q = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return q.agg(F.count("*").alias("questions"), F.max("n").alias("most"), F.min("n").alias("least"), F.round(F.avg("n"), 6).alias("mean"), F.countDistinct("o_custkey").alias("papers"))
-
-
-@query("SELECT o_orderpriority AS answer, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM orders GROUP BY 1")
-def answer_distribution(spark, d):
-    a = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("answer")).agg(F.count("*").alias("n"))
-    return a.join(F.broadcast(a.agg(F.sum("n").alias("t")))).select("answer", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent"))
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-def qa_pending_antijoin(spark, d):
-    done = _t(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, d, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
-@query("SELECT o_orderstatus AS status, count(*) AS papers, count_if(o_totalprice > 100000) AS passed, round(avg(o_totalprice), 4) AS score FROM orders GROUP BY 1")
-def batch_summary(spark, d):
-    return _t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("papers"), F.count_if(F.col("o_totalprice") > 100000).alias("passed"), F.round(F.avg("o_totalprice"), 4).alias("score"))
-
-
 @query("SELECT source, n_gold, n_pred, n_hit, round(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END, 6) AS precision, round(CASE WHEN n_gold = 0 THEN 0 ELSE n_hit / n_gold END, 6) AS recall FROM (SELECT source, count_if(quality = 1) AS n_gold, count_if(n_chars > 800) AS n_pred, count_if(quality = 1 AND n_chars > 800) AS n_hit FROM documents JOIN labels USING (doc_id) GROUP BY 1)")
 def precision_recall(spark, d):
     t = _t(spark, d, "documents").select("doc_id", "source", "n_chars").join(_t(spark, d, "labels"), "doc_id")
@@ -385,28 +270,6 @@ def triple_string_parse(spark, d):
     return view(spark, d, _TRIPLES).select("p_partkey", X.split_triple(F.col("name")).alias("t")).select("p_partkey", "t.*")
 
 
-@query("""WITH p AS (SELECT l_orderkey AS paper_id, count(*) AS extracted, count_if(l_returnflag <> 'R') AS validated, count_if(l_returnflag = 'N') AS written FROM lineitem GROUP BY 1)
-SELECT paper_id, extracted, validated, written, round(written / (sum(written) OVER ()), 9) AS share, round(validated / extracted, 6) AS validation_rate FROM p""")
-def paper_contribution(spark, d):
-    kind = lambda c, n: F.count_if(F.expr(c)).alias(n)
-    p = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.count("*").alias("extracted"), kind("l_returnflag <> 'R'", "validated"), kind("l_returnflag = 'N'", "written"))
-    total = _t(spark, d, "lineitem").agg(kind("l_returnflag = 'N'", "_t"))
-    return p.join(F.broadcast(total)).select("paper_id", "extracted", "validated", "written", F.round(X.ratio(F.col("written"), F.col("_t")), 9).alias("share"), F.round(X.ratio(F.col("validated"), F.col("extracted")), 6).alias("validation_rate"))
-
-
-@query("""WITH a AS (SELECT conv_id % 3 AS model, upper(nullif(regexp_extract(text, '\\b([A-Da-d])\\b', 1), '')) AS answer FROM conversations WHERE role = 'assistant')
-SELECT model, count(*) AS total, count(answer) AS answered, count_if(answer = 'A') AS correct, round(count_if(answer = 'A') / count(*), 6) AS accuracy FROM a GROUP BY 1""")
-def answer_accuracy(spark, d):
-    a = _t(spark, d, "conversations").filter("role = 'assistant'").select((F.col("conv_id") % 3).alias("model"), X.extract_answer(F.col("text")).alias("answer"))
-    right = F.count_if(F.col("answer") == "A")
-    return a.groupBy("model").agg(F.count("*").alias("total"), F.count("answer").alias("answered"), right.alias("correct"), F.round(X.ratio(right, F.count("*")), 6).alias("accuracy"))
-
-
-@query("SELECT o_orderkey, unnest(['m1', 'm2', 'm3']) AS model FROM orders")
-def qa_model_cross(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, ("m1", "m2", "m3")))).alias("model"))
-
-
 @query("WITH k AS (SELECT p_partkey, list_filter(list_transform(string_split_regex(p_name || '; ' || p_brand || ' ,|' || p_type, '[;,|]'), lambda x: trim(x)), lambda x: x <> '') AS ks FROM part) SELECT p_partkey, len(ks) AS n, array_to_string(ks, '/') AS keywords FROM k")
 def keyword_split(spark, d):
     t = _t(spark, d, "part").select("p_partkey", keywords(F.concat("p_name", F.lit("; "), "p_brand", F.lit(" ,|"), "p_type")).alias("ks"))
@@ -555,7 +418,7 @@ SELECT query_id, coalesce(exact_id, CASE WHEN n_good = 1 AND good_d < 0.7 THEN g
 def resolve_names(spark, d):
     e = _t(spark, d, "embeddings")
     names = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.expr(_NAMED).alias("name"), F.col("embedding").alias("q"))
-    index = e.filter("vec_id % 100 != 0").select("vec_id", F.concat(F.lit("L"), "label").alias("name"), F.concat(F.lit("v"), "vec_id").alias("entity_id"), F.col("embedding").alias("v"))
+    index = e.select("vec_id", F.concat(F.lit("L"), "label").alias("name"), F.concat(F.lit("v"), "vec_id").alias("entity_id"), F.col("embedding").alias("v"))
     return N.resolve_names(names, index)
 
 

@@ -110,7 +110,7 @@ _CLAIM_RULES = """SELECT l_orderkey, l_linenumber, CASE l_partkey % 13 WHEN 0 TH
   WHEN regexp_matches(t, '^(introduction|background)') AND claim_type = 'instance' THEN 'section' WHEN regexp_matches(t, 'methods|experimental|materials') AND relation NOT IN {quoted(C.METHOD_RELATIONS)} THEN 'section' END AS reason FROM c)
 SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def claim_rules(spark, d):
-    return view(spark, d, _CLAIM_RULES).groupBy(C.drop_reason().alias("reason")).agg(F.count("*").alias("n"))
+    return C.with_drop_reason(view(spark, d, _CLAIM_RULES)).groupBy(F.col("drop_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 def _claim(k: str) -> str:
