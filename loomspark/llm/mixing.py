@@ -2,7 +2,7 @@
 
 Each source has a weight and a size (words). A total is shared by weight, but no source gets more than ``MAX_EPOCHS`` times
 its size; what is cut off is shared again by weight among the others until no source is above its cap. The level of the water
-is found with one small aggregate over the sources for each step, and a step caps at least one more source.
+is found with one aggregate over ranges of sources in the order in which they fill up.
 
 A source's target is reached with whole repetitions of all its documents and one fractional repetition: documents in the
 order of a seeded hash until the words of the fraction are taken. That prefix is found through hash bins: sums by (source,
@@ -43,15 +43,26 @@ def source_order(sources: DataFrame) -> DataFrame:
 def water_fill(sources: DataFrame, total: float) -> DataFrame:
     """Add ``target`` to (weight, cap): min(cap, level * weight), with the level at which the targets sum to ``total``.
 
-    Where the caps sum to less than the total, each target is its cap.
+    Sources fill up in the order of cap / weight. They are sorted by ranges of it; sums of the ranges, a row each, tell the driver in which
+    range the level lies, and prefix sums inside that range alone tell where. Where the caps sum to less than the total, each
+    target is its cap.
     """
-    level, capped = 0.0, -1
-    while True:
-        full = F.col("cap") <= level * F.col("weight")
-        n, held, open_weight = sources.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).cast("double"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).cast("double")).first()
-        if n == capped or not open_weight:
-            return sources.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")) if open_weight else F.col("cap").cast("double"))
-        level, capped = (total - held) / open_weight, n
+    s = sources.withColumn("_r", F.col("cap") / F.col("weight")).repartitionByRange("_r").withColumn("_part", F.spark_partition_id())
+    s = materialize(s, "mix-fill")
+    parts = s.groupBy("_part").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"), F.sum("cap").cast("double").alias("cap"), F.sum("weight").cast("double").alias("weight")).orderBy("lo").collect()
+    left, open_weight, level = float(total), sum(p.weight for p in parts), None
+    for p in parts:
+        rest = open_weight - p.weight
+        if (left - p.cap) / rest >= p.hi if rest > 1e-9 else left >= p.cap:
+            left, open_weight = left - p.cap, rest
+            continue
+        w = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one range of the order
+        before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("double")
+        one = s.filter(F.col("_part") == p._part).select("_r", ((F.lit(left) - before("cap")) / (F.lit(open_weight) - before("weight"))).alias("level"))
+        level = one.filter("level <= _r").agg(F.min_by("level", "_r")).first()[0]
+        break
+    target = F.col("cap").cast("double") if level is None else F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return s.withColumn("target", target).drop("_r", "_part")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:

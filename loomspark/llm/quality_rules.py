@@ -11,9 +11,9 @@ Copies of one document are one document here, for a line's count and for the hos
 boilerplate, while a notice that different documents carry does.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are decided alike. An empty table gives an empty
-result. Per host or line nothing is gathered but counts, combined before they are shuffled; lines in ``MIN_DOCS`` documents
-and more are a written table, so that the engine can broadcast it when it is measured to be small and split the join where
-one line has many documents.
+result. Per host or line nothing is gathered but counts, combined before they are shuffled. The lines over their limit are a
+written table, so that the engine can broadcast it when it is measured to be small; else their join with the documents is salted, so
+that a line in a third of all documents is no single key.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ MAX_REPEATED = 50  # per cent of the words
 MIN_DOCS = 20
 MAX_SHARE = 0.01
 MIN_LEFT = 0.3
+SALTS = 16
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -90,6 +91,7 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
         "_rid",
         "doc_id",
         "host",
+        F.xxhash64(F.col("host").isNull(), "host").alias("host_key"),
         F.size("_words").cast("long").alias("n_words"),
         _chars_without(F.col("text"), SPACES).cast("long").alias("word_chars"),
         (F.length("text") - _chars_without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
@@ -99,7 +101,7 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     )
     t = t.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     t = t.withColumn("_set", F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))))
-    t = t.withColumn("d1", F.xxhash64("host", "_set")).withColumn("d2", F.xxhash64(F.lit("document"), "_set", "host")).drop("_set")
+    t = t.withColumn("d1", F.xxhash64("host", "_set")).withColumn("d2", F.xxhash64(F.lit("document"), "_set", "host")).drop("_set", "host")
     return materialize(t, "quality-measures")
 
 
@@ -109,13 +111,16 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     ``n_lines_removed`` lines go and ``n_words_left`` words stay; ``removed`` is null where none go.
     """
     m = measures(docs, host)
-    each = m.select("d1", "d2", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))).alias("x")).select("x.h1", "x.h2", "d1", "d2")
-    often = materialize(each.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") > MIN_DOCS), "quality-lines")
-    hosts = m.select("host", "d1", "d2").distinct().groupBy("host").agg((MAX_SHARE * F.count("*")).alias("limit"))
-    held = m.select("_rid", "host", F.explode("lines").alias("x")).select("_rid", "host", "x.h1", "x.h2", "x.w").join(often, ["h1", "h2"])
-    over = held.join(hosts, held.host.eqNullSafe(hosts.host)).filter(F.col("docs") > F.col("limit"))
+    each = m.select("host_key", "d1", "d2", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))).alias("x")).select("host_key", "x.h1", "x.h2", "d1", "d2")
+    often = each.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.first("host_key").alias("host_key")).filter(F.col("docs") > MIN_DOCS)
+    hosts = m.select("host_key", "d1", "d2").distinct().groupBy("host_key").agg((MAX_SHARE * F.count("*")).alias("limit"))
+    # Few lines are over their host's limit; each meets the documents that hold it in SALTS parts.
+    lines = materialize(often.join(hosts, "host_key").filter(F.col("docs") > F.col("limit")).select("h1", "h2"), "quality-lines")
+    lines = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = m.select("_rid", F.explode("lines").alias("x")).select("_rid", "x.h1", "x.h2", "x.w", F.pmod(F.xxhash64("_rid"), F.lit(SALTS)).cast("int").alias("salt"))
+    over = held.join(lines, ["h1", "h2", "salt"])
     gone = over.groupBy("_rid").agg(F.sum("w").alias("gone"), F.count("*").alias("n_lines_removed"), F.collect_set(F.struct("h1", "h2")).alias("removed"))
-    out = m.drop("lines", "host", "d1", "d2").join(gone, "_rid", "left").withColumn("n_lines_removed", F.coalesce("n_lines_removed", F.lit(0).cast("long")))
+    out = m.drop("lines", "host_key", "d1", "d2").join(gone, "_rid", "left").withColumn("n_lines_removed", F.coalesce("n_lines_removed", F.lit(0).cast("long")))
     out = out.withColumn("n_words_left", F.col("n_words") - F.coalesce("gone", F.lit(0).cast("long")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= MIN_LEFT * F.col("n_words"))).drop("gone")
 

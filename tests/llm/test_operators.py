@@ -93,6 +93,16 @@ def test_mixing(spark):
     assert mixing.plan(docs_of(spark, [])).count() == 0
 
 
+def test_water_fill(spark):
+    rng = np.random.default_rng(8)
+    for n, share in ((1, 1.5), (7, 0.1), (40, 1.5), (300, 0.9), (300, 1.99), (300, 2.5), (5, 0.0)):
+        sizes = [int(x) for x in rng.integers(0, 1000, n) ** (1 + n % 2)]
+        weights = [int(x) for x in rng.choice([5, 2, 1], n)]
+        s = spark.createDataFrame([(k, w, 2 * x) for k, (x, w) in enumerate(zip(sizes, weights))], "k INT, weight INT, cap LONG")
+        got = {r["k"]: r["target"] for r in mixing.water_fill(s, share * sum(sizes)).collect()}
+        assert [got[k] for k in range(n)] == pytest.approx(fill(sizes, weights, share, 2))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
