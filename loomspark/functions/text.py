@@ -86,10 +86,15 @@ def normalize_relation(x: Column, claim_type: Column) -> Column:
     return F.when(allowed, named).otherwise("")
 
 
-def normalize_entity(x: Column) -> Column:
-    """the deduplication key of an entity name."""
-    tight = F.regexp_replace(F.regexp_replace(strip(x), r"(?U)\s+", " "), r"\s*([,;:()\[\]/\-])\s*", "$1")
-    return F.lower(F.btrim(tight, F.lit(" .;:,")))
+def normalize_entity(x: Column, tighten: bool = False) -> Column:
+    """the deduplication key of an entity name: single spaces, no outer stops, lower case.
+
+    The rule to be matched names signs around which space goes, but its class of signs ends early, so that it only finds a sign before
+    ``/-]``; that is the default. ``tighten`` takes the space around , ; : ( ) [ ] / - as the rule reads.
+    """
+    single = F.regexp_replace(strip(x), r"(?U)\s+", " ")
+    signs = r"\s*([,;:()\[\]/\-])\s*" if tighten else r"\s*([,;:()\\\[]/-\])\s*"
+    return F.lower(F.btrim(F.regexp_replace(single, signs, "$1"), F.lit(" .;:,")))
 
 
 def camel_to_words(x: Column) -> Column:

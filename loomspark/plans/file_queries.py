@@ -340,7 +340,7 @@ def turtle_sink(spark, d):
     return ttl.join(meta, "file")
 
 
-@query("SELECT 'p' || n_nationkey AS path, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_nationkey * 0.5 END AS final_score, coalesce(CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_nationkey * 0.5 >= 7 END, false) AS passed, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'add ' || n_name END AS key_advice, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'a;b;c' END AS fixes FROM nation")
+@query("SELECT 'p' || n_nationkey AS path, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE CAST(n_nationkey AS DOUBLE) / 2 END AS final_score, coalesce(CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_nationkey * 0.5 >= 7 END, false) AS passed, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'add ' || n_name END AS key_advice, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'a;b;c' END AS fixes FROM nation")
 def evaluation_json(spark, d):
     text = """'```json\\n{"final_score": ' || n_nationkey * 0.5 || ', "summary_advice": "add ' || n_name || '", "top_fixes": ["a", "b", "c", "d"]}\\n```'"""
     n = table(spark, d, "nation").select(F.expr("'p' || n_nationkey").alias("path"), F.expr(f"CASE WHEN n_nationkey % 5 = 4 THEN 'no json' ELSE {text} END").alias("response"))
@@ -389,7 +389,7 @@ def merged_results(spark, d):
     return W.merge_results(row("o_orderkey % 2 = 0", "old"), row("o_orderkey % 3 = 0", "new"))
 
 
-@query("SELECT 'orders' AS stage, o_custkey AS paper_id, count(*) AS n, sum(o_orderkey) AS total FROM orders WHERE o_custkey < 40 GROUP BY 2 UNION ALL SELECT 'nation', n_regionkey, count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation GROUP BY 2")
+@query("SELECT 'orders' AS stage, o_custkey AS paper_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders WHERE o_custkey < 40 GROUP BY 2 UNION ALL SELECT 'nation', n_regionkey, count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation GROUP BY 2")
 def stage_files(spark, d):
     path = scratch.folder(spark, "stages")
     W.write_stages({"orders": table(spark, d, "orders").filter("o_custkey < 40").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").cast("long").alias("k")), "nation": table(spark, d, "nation").select(F.col("n_regionkey").alias("paper_id"), F.col("n_nationkey").cast("long").alias("k"))}, path)

@@ -25,7 +25,7 @@ _RUN = "SELECT l_orderkey AS paper_id, count(*) AS extracted, count_if(l_returnf
 
 
 @query(f"""WITH t AS (SELECT paper_id % 100 AS grp, sum(extracted) AS e, sum(grounded) AS g, sum(validated) AS v, sum(written) AS w FROM ({_RUN}) GROUP BY 1)
-SELECT grp, 1.0 AS extraction_rate, round(g / e, 6) AS grounding_rate, CASE WHEN g = 0 THEN 0 ELSE round(v / g, 6) END AS validation_rate, CASE WHEN v = 0 THEN 0 ELSE round(w / v, 6) END AS writing_rate, round(w / e, 6) AS overall_success_rate FROM t""")
+SELECT grp, CAST(1 AS DOUBLE) AS extraction_rate, round(g / e, 6) AS grounding_rate, CASE WHEN g = 0 THEN 0 ELSE round(v / g, 6) END AS validation_rate, CASE WHEN v = 0 THEN 0 ELSE round(w / v, 6) END AS writing_rate, round(w / e, 6) AS overall_success_rate FROM t""")
 def pipeline_efficiency(spark, d):
     t = P.efficiency(view(spark, d, _RUN).withColumn("grp", F.col("paper_id") % 100), "grp")
     return t.select("grp", *[F.round(c, 6).alias(c) for c in t.columns[1:]])
@@ -62,10 +62,10 @@ def stage_counters(spark, d):
     return P.stage_counters(c, li.filter("l_linenumber < 3").select(F.col("l_orderkey").alias("paper_id"), F.col("l_quantity").alias("seconds")))
 
 
-@query("""SELECT CASE grouping(event_type, user_id) WHEN 0 THEN 'paper' WHEN 1 THEN 'agent' ELSE 'total' END AS level, event_type AS agent, user_id AS paper, round(sum(value), 4) AS total, count(*) AS calls, round(avg(value), 3) AS avg FROM events GROUP BY ROLLUP (event_type, user_id)""")
+@query("""SELECT CASE grouping(event_type, user_id) WHEN 0 THEN 'paper' WHEN 1 THEN 'agent' ELSE 'total' END AS level, event_type AS agent, user_id AS paper, round(sum(value), 4) AS total, count(*) AS calls FROM events GROUP BY ROLLUP (event_type, user_id)""")
 def stage_timing_rollup(spark, d):
     t = P.timing_rollup(table(spark, d, "events").select(F.col("event_type").alias("agent"), F.col("user_id").alias("paper"), F.col("value").alias("seconds")))
-    return t.withColumn("total", F.round("total", 4)).withColumn("avg", F.round("avg", 3))
+    return t.withColumn("total", F.round("total", 4)).drop("avg")
 
 
 _SAID = "SELECT o_orderkey % 5 AS model, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE left('ABCD', 1 + CAST(o_orderkey % 2 AS INTEGER)) END AS said, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'AB' END AS correct FROM orders"
@@ -77,11 +77,11 @@ def answer_accuracy(spark, d):
     return P.model_accuracy(a).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("""SELECT o_custkey % 50 AS batch_id, count(*) AS total_papers, count_if(o_orderstatus = 'F') AS completed, count_if(o_orderstatus = 'P') AS failed, count_if(o_orderstatus = 'O') AS in_progress, round(count_if(o_orderstatus = 'F') / count(*), 6) AS success_rate, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 2) AS average_score, count_if(o_orderstatus = 'O') = 0 AS is_complete FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey % 50 AS batch_id, count(*) AS total_papers, count_if(o_orderstatus = 'F') AS completed, count_if(o_orderstatus = 'P') AS failed, count_if(o_orderstatus = 'O') AS in_progress, round(count_if(o_orderstatus = 'F') / count(*), 6) AS success_rate, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END), 4) AS average_score, count_if(o_orderstatus = 'O') = 0 AS is_complete FROM orders GROUP BY 1""")
 def batch_summary(spark, d):
     status = F.expr("CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'in_progress' END")
-    t = P.batch_summary(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("batch_id"), status.alias("status"), F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END").alias("score")))
-    return t.withColumn("success_rate", F.round("success_rate", 6)).withColumn("average_score", F.round("average_score", 2))
+    t = P.batch_summary(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("batch_id"), status.alias("status"), F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END").alias("score")))
+    return t.withColumn("success_rate", F.round("success_rate", 6)).withColumn("average_score", F.round("average_score", 4))
 
 
 @query(f"WITH {WITH_CLAIMS} SELECT subject, relation AS predicate, object, count(*) AS n FROM claims GROUP BY 1, 2, 3 ORDER BY n DESC, min(claim_ord) LIMIT 150")
@@ -189,7 +189,7 @@ def judge_verdicts(spark, d):
     return J.verdicts(view(spark, d, _VERDICTS))
 
 
-@query("SELECT '' || p_partkey AS prompt_hash, true AS valid, 0.9 AS confidence, 'mock_reasoning' AS reasoning FROM part")
+@query("SELECT '' || p_partkey AS prompt_hash, true AS valid, CAST(0.9 AS DOUBLE) AS confidence, 'mock_reasoning' AS reasoning FROM part")
 def mock_verdicts(spark, d):
     return J.verdicts(J.mock(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("prompt_hash"))))
 
@@ -287,7 +287,7 @@ _KEYED = "SELECT doc_id AS paper_id, CASE doc_id % 9 WHEN 0 THEN 'A tumor' WHEN
 
 @query(f"""WITH n AS (SELECT paper_id, {_N.format('text')} AS t FROM ({_KEYED})), s AS (SELECT *, CAST(contains(t, 'th') AS INTEGER) + CAST(contains(t, 'pd-1') AS INTEGER) + CAST(contains(t, 'er') AS INTEGER) AS a, CAST(contains(t, 'eau') AS INTEGER) + CAST(contains(t, 'ion') AS INTEGER) AS b, CAST(contains(t, 'sch') AS INTEGER) + CAST(contains(t, 'ung') AS INTEGER) + CAST(contains(t, 'lich') AS INTEGER) AS c FROM n), g AS (SELECT *, greatest(a, b, c) AS score FROM s)
 SELECT paper_id, CASE WHEN score = 0 THEN CASE WHEN regexp_matches(t, 'cancer|tumor|carcinoma') THEN 'cancer biology and therapy' WHEN regexp_matches(t, 'pregnan|maternal|fetal') THEN 'maternal-fetal medicine' WHEN regexp_matches(t, 'infection|virus|bacterial') THEN 'clinical infectious diseases' ELSE 'general clinical medicine' END WHEN a = score THEN 'cancer immunotherapy' WHEN b = score THEN 'molecular pathology' ELSE 'courts' END AS subdomain,
- CASE WHEN score = 0 THEN CASE WHEN regexp_matches(t, 'cancer|tumor|carcinoma') THEN 'oncology' WHEN regexp_matches(t, 'pregnan|maternal|fetal') THEN 'obstetrics and gynecology' WHEN regexp_matches(t, 'infection|virus|bacterial') THEN 'infectious diseases' END WHEN a = score THEN 'oncology' WHEN b = score THEN 'pathology' ELSE 'law' END AS parent_domain, score, CASE WHEN score > 0 THEN 0.4 ELSE 0.25 END AS confidence FROM g""")
+ CASE WHEN score = 0 THEN CASE WHEN regexp_matches(t, 'cancer|tumor|carcinoma') THEN 'oncology' WHEN regexp_matches(t, 'pregnan|maternal|fetal') THEN 'obstetrics and gynecology' WHEN regexp_matches(t, 'infection|virus|bacterial') THEN 'infectious diseases' END WHEN a = score THEN 'oncology' WHEN b = score THEN 'pathology' ELSE 'law' END AS parent_domain, score, CAST(CASE WHEN score > 0 THEN 0.4 ELSE 0.25 END AS DOUBLE) AS confidence FROM g""")
 def keyword_fallback(spark, d):
     return T.keyword_scores(view(spark, d, _KEYED), _RULE_ROWS)
 

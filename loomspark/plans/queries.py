@@ -113,13 +113,37 @@ def claim_routing(spark, d):
     return c.groupBy(G.claim_route(F.col("claim_type"), F.col("relation"), F.col("subject"), F.col("object")).alias("route"), "claim_type").agg(F.count("*").alias("n"))
 
 
-KEY_SQL = r"lower(trim(regexp_replace(regexp_replace(trim({0}), '\s+', ' ', 'g'), '\s*([,;:()\[\]/\-])\s*', '\1', 'g'), ' .;:,'))"
+KEY_SQL = r"lower(trim(regexp_replace(regexp_replace(trim({0}), '\s+', ' ', 'g'), '{1}', '\1', 'g'), ' .;:,'))"
+SIGNS, TIGHT = r"\s*([,;:()\\\[]/-\])\s*", r"\s*([,;:()\[\]/\-])\s*"
 
 
-@query(f"WITH {WITH_CLAIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, {KEY_SQL.format('subject')}, relation, {KEY_SQL.format('object')} ORDER BY claim_ord) AS rn FROM claims) SELECT claim_ord, paper_id, subject, relation, object FROM k WHERE rn = 1")
-def entity_key_dedup(spark, d):
+def _first_by_key(signs: str) -> str:
+    keys = [KEY_SQL.format(c, signs) for c in ("subject", "object")]
+    return f"WITH {WITH_CLAIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, {keys[0]}, relation, {keys[1]} ORDER BY claim_ord) AS rn FROM claims) SELECT claim_ord, paper_id, subject, relation, object FROM k WHERE rn = 1"
+
+
+def _keyed(spark, d, tighten):
     c = claims(spark, d)
-    return C.first_of(c, F.col("paper_id"), X.normalize_entity(F.col("subject")), F.col("relation"), X.normalize_entity(F.col("object"))).select("claim_ord", "paper_id", "subject", "relation", "object")
+    key = [X.normalize_entity(F.col(e), tighten) for e in ("subject", "object")]
+    return C.first_of(c, F.col("paper_id"), key[0], F.col("relation"), key[1]).select("claim_ord", "paper_id", "subject", "relation", "object")
+
+
+@query(_first_by_key(SIGNS))
+def entity_key_dedup(spark, d):
+    return _keyed(spark, d, False)
+
+
+@query(_first_by_key(TIGHT))
+def entity_key_dedup_tight(spark, d):
+    return _keyed(spark, d, True)
+
+
+_SPACED = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' , ( x ) ' WHEN 1 THEN 'a  ,/-] ' || p_name WHEN 2 THEN p_name || ' [ y ] - z.' ELSE p_type || ':;' END AS name FROM part"
+
+
+@query(f"SELECT p_partkey, {KEY_SQL.format('name', SIGNS)} AS key, {KEY_SQL.format('name', TIGHT)} AS tight FROM ({_SPACED})")
+def entity_keys(spark, d):
+    return view(spark, d, _SPACED).select("p_partkey", X.normalize_entity(F.col("name")).alias("key"), X.normalize_entity(F.col("name"), True).alias("tight"))
 
 
 @query(f"WITH {WITH_CLAIMS} SELECT md5(concat_ws('|', subject, relation, object)) AS fingerprint, min(claim_ord) AS claim_ord, count(*) AS n FROM claims GROUP BY 1")
