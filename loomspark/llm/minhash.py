@@ -41,7 +41,7 @@ T, T_ALL = 35, 80
 PREFIX = K1 - T + 1
 LIST = 4096  # up to here a list is one tile; merging would copy each of its rows about twenty times
 LEVELS = 2
-BLOCK = 4096
+BLOCK = 1280  # rows of a block; a tile holds two
 BLOCK_BYTES = 8 << 20
 DENSE = 0.3
 PROBE = 7
@@ -324,11 +324,14 @@ def _open_lists(postings: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiled(rows: DataFrame, group: str, blocks, *columns: str) -> DataFrame:
-    """(group, tile, side, columns) of a group cut in blocks, each block against each; in order of group and tile."""
+    """(group, tile, side, columns) of a group cut in blocks, each block against each; in order of group and tile.
+
+    Tiles are dealt by ranges of (group, tile) that hold about as many rows each: dealt by hash, some task would get several of the largest.
+    """
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct((F.least(x, block) * blocks + F.greatest(x, block)).alias("tile"), F.when(x == block, 0).when(block < x, 1).otherwise(2).alias("side")))
     rows = rows.select(group, F.explode(tiles).alias("_t"), *columns).select(group, "_t.tile", "_t.side", *columns)
-    return rows.repartition(group, "tile").sortWithinPartitions(group, "tile")
+    return rows.repartitionByRange(group, "tile").sortWithinPartitions(group, "tile")
 
 
 def rest(postings: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame | None:
