@@ -417,15 +417,37 @@ def turtle_counts(spark, d):
 _ROUND = "SELECT DISTINCT p_name AS candidate, CASE WHEN length(p_name) % 3 = 0 THEN 'promote' WHEN length(p_name) % 3 = 1 THEN 'merge' ELSE 'dropped' END AS action, CASE WHEN length(p_name) % 3 = 1 THEN 'Old One' ELSE p_name END AS target_subdomain, 'New Root' AS parent_domain FROM part"
 
 
-@query(f"""WITH d AS ({_ROUND}), o AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 40),
- m AS (SELECT p_partkey AS paper_id, action, target_subdomain AS subdomain FROM part JOIN d ON p_name = candidate WHERE action <> 'dropped' AND p_name IN (SELECT p_name FROM o))
-SELECT paper_id, subdomain, CASE WHEN action = 'promote' THEN 'New Root' ELSE 'Root' END AS parent_domain FROM m""")
-def taxonomy_round(spark, d):
+_MOVED = f"""d AS ({_ROUND}), o AS (SELECT DISTINCT p_name FROM part WHERE p_size <= 40), a AS (SELECT * FROM d WHERE action <> 'dropped' AND candidate IN (SELECT p_name FROM o))"""
+
+
+def _round_tables(spark, d):
     part = _t(spark, d, "part")
     candidates = part.filter("p_size <= 40").select(F.col("p_name").alias("name")).distinct().withColumn("status", F.lit("candidate"))
     known = spark.sql("SELECT 'Old one.' AS name, 'Root' AS parent, 'confirmed' AS status, 1 AS taxonomy_version")
     suggests = part.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("candidate"))
-    return T.apply_round(candidates, known, suggests, view(spark, d, _ROUND), 2)["papers"]
+    return T.apply_round(candidates, known, suggests, view(spark, d, _ROUND), 2)
+
+
+@query(f"""WITH {_MOVED}, m AS (SELECT p_partkey AS paper_id, action, target_subdomain AS subdomain FROM part JOIN a ON p_name = candidate)
+SELECT paper_id, subdomain, CASE WHEN action = 'promote' THEN 'New Root' ELSE 'Root' END AS parent_domain FROM m""")
+def taxonomy_round(spark, d):
+    return _round_tables(spark, d)["papers"]
+
+
+@query(f"WITH {_MOVED} SELECT p_name AS name, CASE action WHEN 'promote' THEN 'promoted' WHEN 'merge' THEN 'merged' ELSE 'candidate' END AS status FROM o LEFT JOIN a ON p_name = candidate")
+def taxonomy_round_candidates(spark, d):
+    return _round_tables(spark, d)["candidates"].select("name", "status")
+
+
+@query(f"WITH {_MOVED} SELECT lower(candidate) AS candidate, CASE action WHEN 'promote' THEN 'PROMOTED_TO' ELSE 'MERGED_INTO' END AS rel_type, target_subdomain AS target FROM a")
+def taxonomy_round_links(spark, d):
+    return _round_tables(spark, d)["links"]
+
+
+@query(f"""WITH {_MOVED} SELECT candidate AS name, 'New Root' AS parent, 'confirmed' AS status, 2 AS taxonomy_version FROM a WHERE action = 'promote' UNION ALL SELECT 'New Root', NULL, 'confirmed', 2 WHERE EXISTS (SELECT 1 FROM a WHERE action = 'promote')
+UNION ALL SELECT CASE WHEN EXISTS (SELECT 1 FROM a WHERE action = 'merge') THEN 'Old One' ELSE 'Old one.' END, 'Root', 'confirmed', CASE WHEN EXISTS (SELECT 1 FROM a WHERE action = 'merge') THEN 2 ELSE 1 END""")
+def taxonomy_round_subdomains(spark, d):
+    return _round_tables(spark, d)["subdomains"].select("name", "parent", "status", "taxonomy_version")
 
 
 # ---- grounding and exports
@@ -457,12 +479,12 @@ def ground_claims(spark, d):
 
 @query("""WITH r AS (SELECT p_name AS subject, p_brand AS predicate, p_type AS object, repeat('x', p_size) AS context, p_partkey AS ord FROM part),
  b AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY length(context) DESC, ord) AS k, count(*) OVER (PARTITION BY subject, predicate, object) AS frequency FROM r)
-SELECT 'S' || ord AS source_section, CAST(ord % 7 AS VARCHAR) AS source_chunk, context AS context_text, frequency FROM b WHERE k = 1""")
+SELECT 'S' || ord AS source_section, CAST(ord % 7 AS VARCHAR) AS source_chunk, context AS context_text, frequency, ':' || array_to_string(list_transform(list_filter(list_transform(string_split_regex(trim(subject), '[\\s_]+'), lambda w: regexp_replace(w, '[^\\w]', '', 'g')), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '_') AS subject, ':' || array_to_string(list_transform(list_filter(list_transform(string_split_regex(trim(predicate), '[\\s_]+'), lambda w: regexp_replace(w, '[^\\w]', '', 'g')), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '_') AS predicate, ':' || array_to_string(list_transform(list_filter(list_transform(string_split_regex(trim(object), '[\\s_]+'), lambda w: regexp_replace(w, '[^\\w]', '', 'g')), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '_') AS object FROM b WHERE k = 1""")
 def representative_relations(spark, d):
     p = _t(spark, d, "part")
     r = p.select(F.col("p_name").alias("subject"), F.col("p_brand").alias("predicate"), F.col("p_type").alias("object"), F.expr("repeat('x', p_size)").alias("context"), F.col("p_partkey").alias("ord"),
                  F.concat(F.lit("S"), "p_partkey").alias("section"), (F.col("p_partkey") % 7).cast("string").alias("chunk"), F.col("p_name").alias("paper"))
-    return W.representative_rows(r, r).select("source_section", "source_chunk", "context_text", "frequency")
+    return W.representative_rows(r, r).select("subject", "predicate", "object", "source_section", "source_chunk", "context_text", "frequency")
 
 
 @query("SELECT conv_id AS paper_id, role AS section, min(turn) AS first, CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS content_length, string_agg(turn, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1, 2")
