@@ -346,12 +346,6 @@ def evidence_window(spark, d):
     return _t(spark, d, "documents").select("doc_id", K.surroundings(F.substring("text", 40, 25), F.col("text")).alias("context"))
 
 
-@query(None)
-def paper_chunks(spark, d):
-    """F25 on whole documents; the tests hold it against plain Python."""
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(K.chunks(F.col("text"), 500)).alias("chunk_index", "chunk"))
-
-
 # ---- lines of extracted pages
 
 _LINES = "SELECT l_orderkey, l_linenumber, CASE l_partkey % 12 WHEN 0 THEN 'Received ' || l_quantity WHEN 1 THEN '3. Results' WHEN 2 THEN 'References:' WHEN 3 THEN 'Figure 2 shows' WHEN 4 THEN 'Copyright 2020' WHEN 5 THEN '  ' WHEN 6 THEN 'page 12' WHEN 7 THEN '4 of 9' WHEN 8 THEN 'iv) Discussion.' WHEN 9 THEN 'published online' WHEN 10 THEN 'tables are long' ELSE 'plain body' END AS line FROM lineitem"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chunking as K
 from ..functions import cleaning as L
 from ..functions import names as N
 from ..functions import prompts as M
@@ -314,3 +315,34 @@ SELECT p_partkey, '[Top Domain] Biomedicine' || chr(10) || '[Allow New Subdomain
 def classification_prompts(spark, d):
     h = M.hierarchy_text(view(spark, d, _EDGES), "Biomedicine")
     return M.classification_prompts(table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("text")), h, "Biomedicine").withColumnRenamed("paper_id", "p_partkey")
+
+
+# ---- chunks: neighbouring units are packed as far as they fit, which SQL says by recursion over the units
+
+_PACKED = """n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY i, j) AS k FROM u WHERE trim(x) <> ''),
+ r AS (SELECT conv_id, part, k, x AS cur, 1 AS no FROM n WHERE k = 1 UNION ALL SELECT n.conv_id, n.part, n.k, CASE WHEN length(cur) + 2 + length(x) > 700 THEN x ELSE cur || chr(10) || chr(10) || x END, CASE WHEN length(cur) + 2 + length(x) > 700 THEN no + 1 ELSE no END FROM r JOIN n ON n.conv_id = r.conv_id AND n.part = r.part AND n.k = r.k + 1),
+ c AS (SELECT conv_id, part, no, arg_max(cur, k) AS content FROM r GROUP BY 1, 2, 3)"""
+_CUT = "string_split(regexp_replace({0}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_NUMBERED = "unnest({0}) AS x, generate_subscripts({0}, 1) AS j"
+
+
+def _conversations(spark, d, text):
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    return t.select("conv_id", F.array_join(F.transform("ts", text), "\n\n").alias("text"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT conv_id, 1 AS part, turn AS i, trim(text, ' ' || chr(10)) AS p FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''), u AS (SELECT conv_id, part, i, {_NUMBERED.format("CASE WHEN length(p) <= 700 THEN [p] ELSE " + _CUT.format('p') + " END")} FROM p), {_PACKED}
+SELECT conv_id, 'part' || CASE WHEN no = 1 THEN '' ELSE '' || no END AS chunk_id, content, CAST(coalesce(sum(length(content)) OVER w, 0) AS INTEGER) AS start_char, CAST(coalesce(sum(length(content)) OVER w, 0) + length(content) AS INTEGER) AS end_char, CAST(len(regexp_extract_all(content, '\\S+')) AS INTEGER) AS word_count
+FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def section_chunks(spark, d):
+    t = _conversations(spark, d, lambda x: X.strip(x.text))
+    return t.select("conv_id", F.inline(S.chunks(F.col("text"), F.lit("part"), 700)))
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT conv_id, turn AS part, 'Section: ' || role || turn || chr(10) || trim(text, ' ' || chr(10)) AS p, '## ' || role || turn || chr(10) || trim(text, ' ' || chr(10)) AS raw FROM conversations),
+ w AS (SELECT conv_id, string_agg(raw, chr(10) || chr(10) ORDER BY part) AS whole FROM b GROUP BY 1), u AS (SELECT conv_id, part, 1 AS i, {_NUMBERED.format("CASE WHEN length(p) <= 700 THEN [p] ELSE " + _CUT.format('p') + " END")} FROM b), {_PACKED},
+ a AS (SELECT conv_id, part, no, content FROM c JOIN w USING (conv_id) WHERE length(whole) > 700 UNION ALL SELECT conv_id, 0, 1, whole FROM w WHERE length(whole) <= 700)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, no) - 1 AS INTEGER) AS chunk_index, content AS chunk, CASE WHEN prefix(content, 'Section: ') THEN split_part(content[10:], chr(10), 1) ELSE '' END AS section FROM a""")
+def paper_chunks(spark, d):
+    t = _conversations(spark, d, lambda x: F.concat(F.lit("## "), x.role, x.turn, F.lit("\n"), X.strip(x.text)))
+    return t.select("conv_id", F.posexplode(K.chunks(F.col("text"), 700)).alias("chunk_index", "chunk")).withColumn("section", K.section_title(F.col("chunk")))
