@@ -8,7 +8,8 @@ all documents are computed once, in batches, and the rules run inside the engine
 Only rows with crc32(doc_id as text) mod 5 != 0 are learnt from, at most ``SAMPLE`` of them, those with the smallest hash of their
 id (the bound is the one documented limit; scoring covers all rows). Labels, lang, source and doc_id are no inputs of a score.
 Null and empty texts have all-zero statistics and get a score as any other. Repeated and null ids are scored like others; null
-ids are held out by no rule (``held_out`` null becomes false) and not learnt from. Without labelled rows of both classes, all
+ids are held out by no rule (``held_out`` null becomes false) and not learnt from. Several labels of one id count once, as their
+majority (1 on a tie); each row of a labelled id is learnt from. Texts of any length are read whole; other columns don't matter. Without labelled rows of both classes, all
 scores are the share of label 1, or 0.5. An empty table gives an empty result.
 """
 
@@ -199,6 +200,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
 def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows that aren't held out: those with the smallest hash of their id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null")
+    known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))  # labels of one id that differ: the majority, ties count as 1
     order = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)).alias("_order")
     rows = stats.filter(~held_out() & F.col("doc_id").isNotNull()).join(known, "doc_id").select("*", order)
     n = rows.count()

@@ -277,6 +277,37 @@ def test_classifier(spark):
     assert len(got) == 602
 
 
+def test_classifier_edge_cases(spark):
+    rng = np.random.default_rng(3)
+    word = lambda good: "".join(rng.choice(list("abcdef"), 5)) if good else "#$%9Z"
+    rows = [(i // 2, " ".join(word(i % 4 < 2) for _ in range(40))) for i in range(400)]  # each id twice
+    docs = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows] + [(5_000, "#$% " * 200_000, 0.0, 0), (None, None, 0.0, 0), (None, "", 0.0, 0)], "doc_id long, text string, score double, n_words int")
+    truth = [(i, int(i % 2 == 0)) for i in range(200)]
+    labels = spark.createDataFrame([(i, y, 0) for i, y in truth for _ in range(3)] + [(i, 1 - y, 0) for i, y in truth] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = classifier.score(docs, labels).collect()
+    assert len(got) == 403 and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([r.predicted == (1 - r.doc_id % 2) for r in got if r.doc_id is not None and r.doc_id < 1_000]) > 0.95
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
+    assert classifier.score(docs.limit(0), labels).count() == 0
+    assert {r.score for r in classifier.score(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame([(1, "a b\n" * 40, None, 7, "x"), (1, "a b\n" * 40, None, 7, "x"), (2, None, "h", 7, "x"), (None, "w" * 300_000, "h", 7, "x")], "doc_id long, text string, source string, n_words int, removed string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_lines_removed, r.n_words_left, r.kept) for r in quality_rules.quality_rules(docs).collect())
+    assert got == [(0, 1, 0, 1, False), (1, 80, 0, 80, False), (1, 80, 0, 80, False), (2, 0, 0, 0, False)]
+    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_method_rejects_where_the_base_rules_keep(spark):
+    notice = lambda k: " ".join(f"n{k}_{j}" for j in range(30))
+    body = lambda i, n: " ".join(f"w{i}_{j}" for j in range(n))
+    rows = [(i, "\n".join([notice(0), notice(1), notice(2), body(i, 60 if i % 2 else 20)]), "h") for i in range(60)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs_of(spark, rows)).collect()}
+    assert all(not r.base_failed and r.n_lines_removed == 3 for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == {i for i in range(60) if i % 2}
+
+
 def test_rules_as_columns_agree_with_arrays(spark):
     rng = np.random.default_rng(2)
     x = rng.random((400, len(classifier.FEATURES)))
