@@ -89,6 +89,7 @@ def apart(docs: DataFrame, f: Callable[[DataFrame], DataFrame], *used: str) -> D
     return f(docs.toDF(*(c if c in used else f"_{k}_column" for k, c in enumerate(docs.columns)))).toDF(*docs.columns)
 
 
+MOST_FILES = 50_000  # more leave no seed that keeps them apart
 _FILE_ROWS = 1 << 31  # rows of one file that a number leaves room for
 
 
@@ -110,7 +111,10 @@ def files_of(docs: DataFrame) -> list[str]:
     relation = plan.relation() if plan.nodeName() == "LogicalRelation" else None
     if relation is None or not relation.getClass().getSimpleName() == "HadoopFsRelation" or "parquet" not in relation.fileFormat().toString().lower():
         return []
-    files = [re.sub("^([a-z0-9]+:)///", r"\1/", f) for f in relation.location().inputFiles()]  # as _metadata.file_path writes them
+    found = relation.location().inputFiles()
+    if len(found) > MOST_FILES:
+        return []
+    files = [re.sub("^([a-z0-9]+:)///", r"\1/", f) for f in found]  # as _metadata.file_path writes them
     return files if len(set(files)) == len(files) else []
 
 
