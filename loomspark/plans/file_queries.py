@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import predicates as R
@@ -11,7 +13,7 @@ from ..operators import store as S
 from ..sources import exports as E
 from ..sources import papers as A
 from ..sources import pdf as D
-from ..sources import scratch
+from ..sources import scratch, settings
 from ..sources import turtle as U
 from ..sources import writers as W
 from ..streaming import ingest as I
@@ -421,3 +423,41 @@ def resume_pending(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("paper_"), "p_partkey").alias("paper_id"), "p_size")
     done = _back(spark, p.filter("p_size % 3 = 0").select("paper_id", F.lit("x").alias("question")), lambda t, x: t.write.json(x), lambda x: spark.read.json(x))
     return I.pending(p, done).select("paper_id")
+
+
+# ---- settings and files
+
+
+def _settings(spark, d, dialect, name):
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # settings are a driver's; the nations stand for a file of 25 keys
+    text = json.dumps({f"k{r.n_nationkey}": name.format(r.n_nationkey) for r in rows})
+    env = {f"N{r.n_nationkey}": r.n_name for r in rows if r.n_nationkey % 2 == 0}
+    return spark.createDataFrame(list(settings.load(text, env, dialect).items()), "key STRING, value STRING")
+
+
+@query("SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'd' || n_nationkey END || '/' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS value FROM nation")
+def settings_defaults(spark, d):
+    return _settings(spark, d, settings.expand, "${{N{0}:-d{0}}}/${{N{0}}}")
+
+
+@query("SELECT 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '/' || n_name ELSE '$N' || n_nationkey || '/${N' || n_nationkey || '}' END AS value FROM nation")
+def settings_shell(spark, d):
+    return _settings(spark, d, settings.expand_shell, "$N{0}/${{N{0}}}")
+
+
+@query("SELECT CASE WHEN n_regionkey % 2 = 0 THEN r_name END AS category, n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 3 UNION ALL SELECT NULL, 'default' FROM region WHERE r_regionkey = 3")
+def prompt_examples(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", "r_name", "n_name").collect()  # a prompt's examples are few
+    out = []
+    for k in sorted({r.n_regionkey for r in rows}):
+        mine = [{"text": r.n_name} for r in rows if r.n_regionkey == k]
+        given = {r.r_name: mine for r in rows if r.n_regionkey == k} if k % 2 == 0 else [{"text": "五脏"}] if k == 3 else mine
+        out += settings.examples(json.dumps(given), [{"text": "default"}])
+    return spark.createDataFrame([(x.get("category"), x["text"]) for x in out], "category STRING, text STRING")
+
+
+@query("SELECT 'n' || n_nationkey || '.txt' AS file, CAST(length(n_name) + 1 AS BIGINT) AS size_bytes, round((length(n_name) + 1) / 1048576, 2) AS size_mb FROM nation")
+def file_stats(spark, d):
+    path = scratch.folder(spark, "files")
+    W.write_named(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".txt")).alias("name"), F.col("n_name").alias("value")), path)
+    return U.file_stats(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "size_bytes", "size_mb")

@@ -346,3 +346,50 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, no)
 def paper_chunks(spark, d):
     t = _conversations(spark, d, lambda x: F.concat(F.lit("## "), x.role, x.turn, F.lit("\n"), X.strip(x.text)))
     return t.select("conv_id", F.posexplode(K.chunks(F.col("text"), 700)).alias("chunk_index", "chunk")).withColumn("section", K.section_title(F.col("chunk")))
+
+
+# ---- cleaned pages, records and sections: what must be left is stated by how each text is made
+
+_BODY_LINE = "'The ' || p_name || ' of ' || p_brand || ' has a body of more than eight words here.'"
+_BLOCKS = f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Received ' || p_size || '^' || p_name || ' title^1. Introduction^' || {_BODY_LINE} || '^page 3' WHEN 1 THEN {_BODY_LINE} || '^Figure ' || p_size || ' A ' || p_name || '^short tail^' || {_BODY_LINE} WHEN 2 THEN 'An exam-^ple that^goes on. ^Next one' WHEN 3 THEN 'mail x@y.org^All rights reserved^Smith et al.^kept ' || p_brand
+ WHEN 4 THEN 'Lost^RESULTS: we saw^' || p_name || '^(' || p_size || ')' ELSE '^  ^' END AS text FROM part"""
+
+
+@query(f"""SELECT p_partkey, replace(CASE p_partkey % 6 WHEN 0 THEN 'Introduction^' || {_BODY_LINE} WHEN 1 THEN {_BODY_LINE} || '^' || {_BODY_LINE} WHEN 2 THEN 'An example that goes on.^Next one' WHEN 3 THEN 'kept ' || p_brand WHEN 4 THEN 'Results we saw ' || p_name || ' (' || p_size || ')' ELSE '' END, '^', chr(10)) AS text FROM part""")
+def clean_blocks(spark, d):
+    return view(spark, d, _BLOCKS).select("p_partkey", L.clean_block(F.replace("text", F.lit("^"), F.lit("\n"))).alias("text"))
+
+
+_RECORDS = f"""SELECT 'p' AS path, CAST(p_partkey AS INTEGER) AS pos, 's' || p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'Funding' WHEN 1 THEN 'Results' WHEN 2 THEN 'Chunk 2' WHEN 3 THEN 'Results' WHEN 4 THEN '2. METHODS' WHEN 5 THEN 'Abstract' ELSE NULL END AS section_title, 2 AS page_start,
+ CASE p_partkey % 7 WHEN 1 THEN b || '^' || b || '^References^No.' WHEN 2 THEN 'Methods^' || b || '^' || b WHEN 3 THEN b WHEN 4 THEN b || '^Table 3 of it^' || b || '^' || b || '^See doi: 10.1/x' WHEN 5 THEN 'Jane Doe and John Roe^' || b || '^' || b || '^Keywords: a, b^One Two^' || b WHEN 6 THEN NULL ELSE b || '^' || b END AS text FROM (SELECT p_partkey, {_BODY_LINE} AS b FROM part)"""
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS k, {_BODY_LINE} AS b FROM part)
+SELECT 's' || k AS id, CASE k % 7 WHEN 1 THEN 'Results' WHEN 2 THEN 'Methods' WHEN 4 THEN 'Methods' ELSE 'Abstract' END AS section_title, replace(CASE k % 7 WHEN 4 THEN b || '^' || b || '^' || b WHEN 5 THEN b || '^' || b || '^Keywords: a, b' ELSE b || '^' || b END, '^', chr(10)) AS text, k % 7 = 1 AS tail_truncated FROM b WHERE k % 7 IN (1, 2, 4, 5)""")
+def cleaned_records(spark, d):
+    r = view(spark, d, _RECORDS).withColumn("text", F.replace("text", F.lit("^"), F.lit("\n")))
+    return S.clean_records(r, spark.createDataFrame([], "path STRING, line STRING")).select("id", "section_title", "text", "tail_truncated")
+
+
+_PAGES = f"""SELECT 'd' || p_partkey AS path, page, CASE WHEN p_partkey % 3 = 2 THEN 'page without heading ' || page || '.' WHEN page = 1 THEN 'Front^Abstract^' || b || '^2. Methods^One ' || p_size ELSE 'results were ' || p_brand || '^' || b || CASE WHEN p_partkey % 3 = 1 THEN '^Funding^Gone^Discussion^Gone' ELSE '^Discussion^Last.' END END AS text FROM (SELECT p_partkey, p_size, p_brand, {_BODY_LINE} AS b FROM part), (SELECT 1 AS page UNION ALL SELECT 2)"""
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS k, p_size, p_brand, {_BODY_LINE} AS b FROM part), s AS (
+ SELECT k, 1 AS section_no, 'Abstract' AS title, b AS content, 1 AS page_start, 1 AS page_end FROM b WHERE k % 3 < 2 UNION ALL SELECT k, 2, 'Methods', 'One ' || p_size, 1, 2 FROM b WHERE k % 3 < 2 UNION ALL SELECT k, 3, 'Results', 'were ' || p_brand || chr(10) || b, 2, 2 FROM b WHERE k % 3 < 2 UNION ALL SELECT k, 4, 'Discussion', 'Last.', 2, 2 FROM b WHERE k % 3 = 0)
+SELECT 'd' || k AS path, section_no, title, content, page_start, page_end FROM s""")
+def document_sections(spark, d):
+    return S.by_headings(view(spark, d, _PAGES).withColumn("text", F.replace("text", F.lit("^"), F.lit("\n"))))
+
+
+@query("SELECT 'd' || p_partkey AS path, 1 AS section_no, 'Chunk 1' AS title, 'page without heading 1.' || chr(10) || chr(10) || 'page without heading 2.' AS content, 1 AS page_start, 2 AS page_end FROM part WHERE p_partkey % 3 = 2")
+def documents_by_size(spark, d):
+    return S.by_size(view(spark, d, _PAGES).filter("startswith(text, 'page without')"))
+
+
+_TITLED = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'head^2.1 The ' || p_name || ' again^rest^' || p_size WHEN 1 THEN 'a^our the ' || p_name || ' follows^b' WHEN 2 THEN 'a^References^b' ELSE 'nothing' END AS text, '3. The  ' || p_name AS title FROM part"
+
+
+@query("""SELECT p_partkey, replace(CASE p_partkey % 4 WHEN 0 THEN 'rest^' || p_size WHEN 1 THEN 'b' WHEN 2 THEN 'a^References^b' ELSE 'nothing' END, '^', chr(10)) AS after, replace(CASE p_partkey % 4 WHEN 0 THEN 'head' WHEN 1 THEN 'a' WHEN 2 THEN 'a' ELSE 'nothing' END, '^', chr(10)) AS before FROM part""")
+def title_cuts(spark, d):
+    text = F.replace("text", F.lit("^"), F.lit("\n"))
+    return view(spark, d, _TITLED).select("p_partkey", L.after_title(text, F.col("title")).alias("after"), L.before_title(text, F.col("title")).alias("before"))

@@ -19,6 +19,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def file_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes, size_mb, modified_time) of the files of a folder; contents are not read."""
+    t = spark.read.format("binaryFile").load(path)
+    return t.select("path", F.col("length").alias("size_bytes"), F.round(F.col("length") / (1 << 20), 2).alias("size_mb"), F.col("modificationTime").alias("modified_time"))
+
+
 def _lines(blocks: DataFrame, *keep: str) -> DataFrame:
     t = blocks.select(*keep, F.posexplode(F.split("block", "\n")).alias("pos", "_raw")).withColumn("line", X.strip(F.col("_raw"))).drop("_raw")
     return t.filter("line != '' AND NOT startswith(line, '#')")
