@@ -188,19 +188,26 @@ def clean_records(recs: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """
     heads = boundary_lines(recs) if heads is None else heads
     h = heads.groupBy("path").agg(F.collect_list("line").alias("_heads"))
-    t = recs.join(h, "path", "left").withColumn("title0", X.strip(F.coalesce("section_title", F.lit(""))))
-    t = t.withColumn("_th", L.heading(F.col("title0"))).filter(~F.coalesce("_th.tail", F.lit(False)))
-    t = t.withColumn("_b", L.before_tail(L.clean_block(F.col("text"), F.coalesce("_heads", F.array().cast(_TEXTS)))))
     filled = lambda x: F.filter(F.transform(F.split(x, "\n"), X.strip), lambda y: y != "")
-    t = t.withColumn("_ls", filled(F.col("_b.text"))).filter(F.size("_ls") > 0).withColumn("_h", L.heading(F.get("_ls", F.lit(0)))).filter(~F.coalesce("_h.tail", F.lit(False)))
+    t = recs.join(h, "path", "left").withColumn("title0", X.strip(F.coalesce("section_title", F.lit(""))))
+    t = _computed(t, _th=L.heading(F.col("title0"))).filter(~F.coalesce("_th.tail", F.lit(False)))
+    t = _computed(t, _b=L.before_tail(L.clean_block(F.col("text"), F.coalesce("_heads", F.array().cast(_TEXTS)))))
+    t = _computed(t, _ls=filled(F.col("_b.text"))).filter(F.size("_ls") > 0)
+    t = _computed(t, _h=L.heading(F.get("_ls", F.lit(0)))).filter(~F.coalesce("_h.tail", F.lit(False)))
     untitled = (F.col("title0") == "") | F.lower("title0").startswith("chunk")
     named = F.col("_h").isNotNull() & untitled
     rest = F.when(F.col("_h.rest") != "", F.array("_h.rest")).otherwise(F.array().cast(_TEXTS))
-    t = t.withColumn("_ls", F.when(named, F.concat(rest, F.slice("_ls", 2, F.size("_ls")))).otherwise(F.col("_ls"))).withColumn("section", F.when(named, F.col("_h.name")).otherwise(F.coalesce("_th.name", "title0")))
-    t = t.withColumn("_c", L.before_tail(F.array_join(L.record_lines(F.col("_ls"), F.col("section")), "\n"))).withColumn("_ms", L.merged(filled(F.col("_c.text")))).withColumn("_t", F.array_join("_ms", "\n"))
-    n, body = X.n_words(F.col("_t")), F.size(F.filter("_ms", L.is_body))
-    weak = F.lower("section").startswith("chunk") & (F.coalesce("page_start", F.lit(1)) == 1) & (n < 180) & (body < 2)
-    return t.filter((n >= 20) & ~weak).select("path", "pos", "id", F.col("section").alias("section_title"), "page_start", F.col("_t").alias("text"), (F.col("_b.cut") | F.col("_c.cut")).alias("tail_truncated"))
+    t = _computed(t, _ls2=F.when(named, F.concat(rest, F.slice("_ls", 2, F.size("_ls")))).otherwise(F.col("_ls")), section=F.when(named, F.col("_h.name")).otherwise(F.coalesce("_th.name", "title0")))
+    t = _computed(t, _c=L.before_tail(F.array_join(L.record_lines(F.col("_ls2"), F.col("section")), "\n")))
+    t = _computed(t, _ms=L.merged(filled(F.col("_c.text"))))
+    t = _computed(t, _t=F.array_join("_ms", "\n"), _n=X.n_words(F.array_join("_ms", "\n"))).filter("_n >= 20")
+    weak = F.lower("section").startswith("chunk") & (F.coalesce("page_start", F.lit(1)) == 1) & (F.col("_n") < 180) & (F.size(F.filter("_ms", L.is_body)) < 2)
+    return t.filter(~weak).select("path", "pos", "id", F.col("section").alias("section_title"), "page_start", F.col("_t").alias("text"), (F.col("_b.cut") | F.col("_c.cut")).alias("tail_truncated"))
+
+
+def _computed(t: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that no filter behind them is computed again from: they come out of a generator, which filters don't pass."""
+    return t.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def is_abstract(title: Column) -> Column:
