@@ -193,18 +193,26 @@ def linkable(sets: DataFrame) -> DataFrame:
     return sets.select("node").join(alone, "node", "left_anti")
 
 
+STAR_SALTS = 8
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of the links (a, b); root is the smallest node of the component."""
+    """(node, root) for the nodes of the links (a, b); root is the smallest node of the component.
+
+    The centre of a group of copies has as many edges as the group has members, so joins on a node are dealt in ``STAR_SALTS`` parts by its neighbour.
+    """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "near-edges")
+    salted = lambda t: t.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(STAR_SALTS)).cast("int"))
+    spread = lambda t: t.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
     before = None
     while True:
         # Large star: larger neighbours of u move to the smallest neighbour of u (or u).
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted(both.filter("v > u")).join(spread(least), ["u", "_s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours move to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
+        small = salted(large).join(spread(least), ["u", "_s"]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         edges = materialize(small, "near-edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
