@@ -255,7 +255,7 @@ def test_preference_pairs(spark):
     got = {r.pair_id: r for r in preference.digest(preference.format_pairs(preference.other_answers(preference.conversations_of(docs)))).collect()}
     assert set(got) == {0, 1, -2, -1, 6, 7}
     assert {k: (r.rejected_id, r.n_common) for k, r in got.items()} == {0: (1, 1), 1: (0, 1), -2: (-1, 1), -1: (-2, 1), 6: (7, 1999), 7: (6, 1)}
-    assert got[0].rejected == "<|im_start|>assistant\ntwo<|im_end|>\n<|im_start|>user\nthanks<|im_end|>\n" and got[0].rejected_spans == "48:62"
+    assert got[0].rejected == "<|im_start|>assistant\ntwo<|im_end|>\n<|im_start|>user\nthanks<|im_end|>\n" and got[0].rejected_spans == "52:66"
     assert preference.other_answers(preference.conversations_of(docs.limit(0))).count() == 0
 
 
