@@ -5,6 +5,8 @@ What depends on the lines before is a fold over the array, so a text stays one r
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,12 +62,18 @@ def heading_key(line: Column) -> Column:
     return X.strip(F.lower(F.regexp_replace(t, NUMBERED + r"\s*", "")))
 
 
+def names_literal(names: dict[str, tuple[str, bool]]) -> Column:
+    """An array of (k, v, t) that is one constant for the planner."""
+    rows = [{"k": k, "v": v, "t": t} for k, (v, t) in names.items()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<k:string,v:string,t:boolean>>")
+
+
 def heading(line: Column) -> Column:
     """(name, tail, rest) of a heading line, null for other lines: a known heading alone, before a colon, or after a number.
 
     The first known heading in order counts, sections before tails; ``rest`` is the text that goes on after it.
     """
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(tail).alias("t")) for names, tail in ((SECTION_NAMES, False), (TAIL_NAMES, True)) for k, v in names.items()])
+    known = names_literal({k: (v, tail) for names, tail in ((SECTION_NAMES, False), (TAIL_NAMES, True)) for k, v in names.items()})
 
     def found(t: Column, a: Column) -> Column:
         beyond = F.substring(t.after, F.length(a.k) + 1, F.length(t.after))

@@ -98,7 +98,7 @@ def by_headings(pages: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     t = pages.filter(X.strip(F.coalesce("text", F.lit(""))) != "").select("path", "page", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", X.strip(line)).filter("line != ''")
-    names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in L.SECTION_NAMES.items()])
+    names = L.names_literal({k: (v, False) for k, v in L.SECTION_NAMES.items()})
     rest = lambda a: X.strip(F.substring(line, F.length(a.k) + 1, F.length(line)))
     loose = F.get(F.filter(names, lambda a: F.startswith(F.lower(line), a.k) & ~F.substring(line, F.length(a.k) + 1, F.lit(1)).rlike(r"(?U)\w") & (rest(a) != "")), F.lit(0))
     h = F.coalesce(L.heading(line), F.when(F.col("i") < 3, X.let(F.struct(loose.alias("a")), lambda x: F.when(x.a.isNotNull(), F.struct(x.a.v.alias("name"), F.lit(False).alias("tail"), rest(x.a).alias("rest"))))))
