@@ -203,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "near-edges")
     salted = lambda t: t.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(STAR_SALTS)).cast("int"))
-    spread = lambda t: t.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1))))
+    spread = lambda t: t.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALTS - 1)))).hint("merge")  # noqa: E731  no broadcast: its size is estimated before the rows are multiplied
     before = None
     while True:
         # Large star: larger neighbours of u move to the smallest neighbour of u (or u).
