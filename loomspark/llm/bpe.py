@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import WS, files_of, materialize, rows_of
 
 BLOCK_BYTES = 24 << 20
+WHOLE_BYTES = 8 << 20  # where ids and texts come out whole, a block is a smaller one
 PART_BYTES = 12 << 20
 TABLE_WORDS = 1_000_000
 
@@ -104,7 +105,7 @@ _LOCAL_DDL = "block long, part int, packed binary, rids array<long>, doc_ids arr
 _LOCAL = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("packed", pa.binary()), ("rids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
 
-def _number(parts: int):
+def _number(parts: int, block_bytes: int):
     """Blocks of documents: a row for the distinct words of each part (lines), and one with the documents as numbers of words.
 
     The r-th word of part p has the number ``r * parts + p``; frequent words have small ones.
@@ -134,12 +135,12 @@ def _number(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, size = TaskContext.get().partitionId() << 24, [], 0
         for b in batches:
-            step = max(1, int(b.num_rows * BLOCK_BYTES / max(b.nbytes, 1)))
+            step = max(1, int(b.num_rows * block_bytes / max(b.nbytes, 1)))
             for k in range(0, b.num_rows, step):
                 part = b.slice(k, step)
                 held.append(part)
                 size += b.nbytes * part.num_rows // b.num_rows
-                if size > BLOCK_BYTES:
+                if size > block_bytes:
                     yield block(made, pa.Table.from_batches(held))
                     made, held, size = made + 1, [], 0
         if held:
@@ -179,14 +180,26 @@ def _place(pieces, parts: int, digests: bool):
 
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
         """The documents of a block: numbers replaced by ids and by pieces, by position."""
-        piece_of, ids, texts = pieces.value, {}, {}
-        for part, lens, packed in zip(*(words.column(c).to_pylist() for c in ("part", "lens", "ids"))):
+        piece_of, lens = pieces.value, [unpack(x) for x in words.column("lens").to_pylist()]
+        ids = [b""] * (parts * max(map(len, lens)))
+        texts = ids.copy()
+        for part, n_ids, packed in zip(words.column("part").to_pylist(), lens, words.column("ids").to_pylist()):
             x, at = unpack(packed).astype(np.uint32).tobytes(), 0
-            for r, n in enumerate(unpack(lens).tolist()):
+            for r, n in enumerate(n_ids.tolist()):
                 ids[r * parts + part] = one = x[at : at + 4 * n]
                 texts[r * parts + part] = b" ".join(map(piece_of.__getitem__, array("I", one)))
                 at += 4 * n
-        out = []
+        out, batches = [], []
+
+        def done() -> None:
+            """The rows so far as a batch, so that only one form of most texts is held."""
+            columns = [list(c) for c in zip(*out)]
+            if not digests:
+                columns[3] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, columns[3])], dtype=np.int64).astype(np.int32) // 4, pa.array(np.frombuffer(b"".join(columns[3]), np.int32)))
+                columns[4] = pa.array(columns[4], pa.binary()).cast(pa.string())
+            batches.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+            out.clear()
+
         for rids, doc_ids, sizes, packed in zip(*(docs.column(c).to_pylist() for c in ("rids", "doc_ids", "sizes", "packed"))):
             numbers, at = unpack(packed), 0
             for rid, doc_id, size in zip(rids, doc_ids, sizes):
@@ -194,11 +207,12 @@ def _place(pieces, parts: int, digests: bool):
                 at += size
                 x = b"".join(map(ids.__getitem__, mine))
                 text = b" ".join(filter(None, map(texts.__getitem__, mine)))
-                if digests:
-                    out.append((rid, doc_id, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(text).hexdigest()))
-                else:
-                    out.append((rid, doc_id, len(x) // 4, array("i", x), text.decode()))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
+                out.append((rid, doc_id, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(text).hexdigest()) if digests else (rid, doc_id, len(x) // 4, x, text))
+                if len(out) >= 500:
+                    done()
+        if out:
+            done()
+        return pa.Table.from_batches(batches, schema)
 
     return run
 
@@ -221,7 +235,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     blob = sc.broadcast(text)  # the vocabulary file, a few MB; executors need no copy
     pieces = sc.broadcast({i: p.encode() for p, i in load_tokenizer(text).get_vocab(with_added_tokens=True).items()})  # the id-to-piece table
     words = rows_of(docs).select("_rid", "doc_id", F.split("text", f"[{WS}]+").alias("words"))
-    local = materialize(words.mapInArrow(_number(parts), _LOCAL_DDL), "bpe-words")
+    local = materialize(words.mapInArrow(_number(parts, BLOCK_BYTES if digests else WHOLE_BYTES), _LOCAL_DDL), "bpe-words")
     distinct = local.filter("part is not null").select("block", "part", "packed").repartition(parts, "part")
     ids = distinct.mapInArrow(_encode(blob), "block long, part int, lens binary, ids binary")
     blocks = local.filter("part is null").select("block", "rids", "doc_ids", "sizes", "packed")

@@ -33,6 +33,7 @@ def brute(text):
 
 def test_same_as_library_on_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(bpe, "WHOLE_BYTES", 200)
     docs = spark.createDataFrame([(i, t, "x", "clash") for i, t in CASES], "doc_id long, text string, word string, block string").coalesce(2)
     got = bpe.encode_decode(docs, vocabulary(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *brute(t))) for i, t in CASES)
@@ -65,7 +66,7 @@ def test_packed_numbers():
 def test_each_distinct_word_once(spark, monkeypatch):
     """Words in many blocks and documents reach the tokenizer once."""
     docs = spark.createDataFrame([(i, "a b a c" + " w" * (i % 5)) for i in range(500)], "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(bpe, "WHOLE_BYTES", 500)
     seen = spark.sparkContext.accumulator(0)
 
     class Counting:
