@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import scratch
 from .turtle import files
 
 _META = "STRUCT<title STRING, paper_title STRING, document_title STRING, abstract STRING, keywords STRING, keyword STRING, mesh_terms STRING, pmid STRING, doi STRING, journal STRING, year STRING, authors STRING, section_title STRING, page_start INT, page_end INT, lang STRING>"
@@ -154,16 +155,9 @@ def prototype_papers(texts: DataFrame) -> DataFrame:
 
 
 def natural_order(names: DataFrame, name: str = "name") -> DataFrame:
-    """``ord`` from 0: paper_<n> by number, then other names by text; names are files or their stems.
-
-    Ranges of the order are numbered apart and shifted by what lies before, so no task holds all names.
-    """
+    """``ord`` from 0: paper_<n> by number, then other names by text; names are files or their stems. They are written once."""
     number = F.expr(f"try_cast(regexp_extract({name}, '^paper_([0-9]+)([.]json)?$', 1) AS bigint)")
-    t = names.withColumn("_k", F.struct(number.isNull().alias("a"), number.alias("n"), F.col(name).alias("s")))
-    t = t.repartitionByRange("_k").sortWithinPartitions("_k").withColumn("_p", F.spark_partition_id())
-    t = t.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k")))
-    before = t.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return t.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("ord", F.col("_before") + F.col("_i") - 1).drop("_k", "_p", "_i", "_before")  # one row a partition
+    return scratch.in_order(names, number.isNull(), number, F.col(name), name="ord", tag="names")
 
 
 def graph_csv(nodes: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -109,3 +109,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "n"), header=True).count() == 2
     old, new = [spark.createDataFrame(r, "paper_id STRING, question STRING, model STRING, ok BOOLEAN") for r in ([("1", "q", "m", False), ("2", "q", "m", True)], [("1", "q", "m", True)])]
     assert sorted((r["paper_id"], r["ok"]) for r in W.merge_results(old, new).collect()) == [("1", True), ("2", True)]
+
+
+def test_natural_order_of_many_names(spark):
+    n = 40_000  # more than the ranges' bounds are drawn from, in rows so wide that ranges are joined otherwise without their notes
+    t = spark.range(n, numPartitions=3).selectExpr("CASE WHEN id % 2 = 0 THEN 'paper_' || (id * 7919 % 40000) || '.json' ELSE 'q' || id END AS name", "array_join(transform(sequence(1, 4), k -> sha2('' || (id * 4 + k), 512)), '') AS note")
+    got = [(r["ord"], r["name"]) for r in P.natural_order(t).filter("length(note) = 512").select("ord", "name").orderBy("ord").collect()]
+    names = sorted((f"paper_{k * 7919 % n}.json" if k % 2 == 0 else f"q{k}" for k in range(n)), key=lambda x: (x[0] == "q", int(x[6:-5]) if x[0] == "p" else 0, x))
+    assert got == list(enumerate(names))
+    assert P.natural_order(t.limit(0)).count() == 0
